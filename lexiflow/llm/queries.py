@@ -3,17 +3,26 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .minhash import near_duplicates
+from .substrings import remove_repeats
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = remove_repeats(table(spark, sf_dir, "documents"), length=100)
+    removed = F.aggregate(F.zip_with("ends", "starts", lambda a, b: a - b), F.lit(0).cast("long"), lambda a, b: a + b)
+    return done.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op5_suffix_array_dedup": op5_suffix_array_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
