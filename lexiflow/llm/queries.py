@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontaminate import contamination, judged
 from .minhash import near_duplicates
+from .packing import packed
 from .substrings import remove_repeats
 
 
@@ -21,6 +22,11 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = packed(table(spark, sf_dir, "documents"), max_tokens=2048, with_ids=False)
+    return done.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = judged(contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13), min_share=0.05)
     names = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
@@ -30,6 +36,7 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 QUERIES = {
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
+    "op6_packing": op6_packing,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
 }
 
