@@ -6,9 +6,10 @@ coordinate fills. Two sets agree in a coordinate with the probability of their J
 concentration of independent draws, in a handful of rounds instead of one for each coordinate.
 
 Documents whose shingle sets are equal form a class, represented by its smallest doc_id. Representatives meet in band
-buckets. Each bucket first compares its members with its smallest and largest id only; components of the links so
-verified then tell which buckets still hold members of different components, and just those pairs are compared. No
-bucket expands into all its pairs, and none is capped.
+buckets. Each bucket first compares its members with one of them, the one that meets most others; components of the
+links so verified then tell which buckets still hold members of different components. Shingles that only one member of
+such a group has bound its intersection with any other from above, which rules out most of these pairs; the others are
+compared. No bucket expands into all its pairs, and none is capped.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from .components import components
 
 #: Bands and coordinates in each: two sets of similarity 0.8 share no band with probability (1 - 0.8**5)**32 = 3e-6.
 BANDS, ROWS = 32, 5
-#: Of the sketch's first 128 one-bit coordinates, a pair of similarity 0.8 differs in 12.8 on average (deviation 3.4); more than this many is 7 deviations off.
-MAX_BITS = 37
+#: Of the sketch's first 128 one-bit coordinates, a pair of similarity 0.8 differs in 12.8 on average (deviation 3.4); more than this many is 6 deviations off.
+MAX_BITS = 34
 
 _BYTE = mix(np.arange(256, dtype=np.uint64), 77)
 _SPACE = np.zeros(256, bool)
@@ -140,10 +141,8 @@ def _set_batches(size: int):
     return run
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = docs.join(ids, "doc_id", "left_semi").select("doc_id", text_bytes().alias("text")).mapInArrow(_set_batches(size), "doc_id long, shingles array<long>").groupBy("doc_id").agg(F.min("shingles").alias("shingles"))
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y")).cast("long")
     return both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
@@ -155,6 +154,12 @@ def _alike(percent: int):
     return (100 * F.least("p.n", "q.n") >= percent * F.greatest("p.n", "q.n")) & (bits <= MAX_BITS)
 
 
+def _mixed(rows: DataFrame) -> DataFrame:
+    """Rows of keys that hold more than one component."""
+    keys = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+    return rows.join(keys, "key", "left_semi")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` of each row of ``docs`` (doc_id, text; other columns are ignored).
 
@@ -171,25 +176,35 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
 
     one = sketched.join(classes.select(F.col("rep").alias("doc_id"), "s1", "s2"), ["doc_id", "s1", "s2"], "left_semi")
     rows_ = one.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "b1", "b2")
-    me = F.struct("id", "n", "b1", "b2")
-    ends = rows_.groupBy("key").agg(F.min(me).alias("lo"), F.max(me).alias("hi")).where("lo.id <> hi.id")
-    shared = materialise(rows_.join(ends, "key"))
-    star = None
-    for end in ("lo", "hi"):
-        q = shared.select(F.struct("id", "n", "b1", "b2").alias("p"), F.col(end).alias("q"))
-        q = q.where((F.col("p.id") != F.col("q.id")) & _alike(percent)).select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b"))
-        star = q if star is None else star.union(q)
-    star = materialise(star.distinct())
-    links = materialise(_verified(star, docs, size, percent))
+    buckets = rows_.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key", "c")
+    shared = materialise(rows_.join(buckets, "key"))
+    ids = shared.select(F.col("id").alias("doc_id")).distinct()
+    sets = docs.join(ids, "doc_id", "left_semi").select("doc_id", text_bytes().alias("text")).mapInArrow(_set_batches(size), "doc_id long, shingles array<long>")
+    sets = materialise(sets.groupBy("doc_id").agg(F.min("shingles").alias("shingles")))
+
+    # A bucket's first partner for all: the member that meets most others, as near the middle of its group as any.
+    score = shared.groupBy("id").agg(F.sum("c").alias("score"))
+    leads = shared.join(score, "id").groupBy("key").agg(F.max(F.struct("score", "id", "n", "b1", "b2")).alias("q"))
+    star = shared.select("key", F.struct("id", "n", "b1", "b2").alias("p")).join(leads, "key").where((F.col("p.id") != F.col("q.id")) & _alike(percent))
+    star = materialise(star.select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).distinct())
+    links = materialise(_verified(star, sets, percent))
     found = components(links)
 
     # What is left: members of a bucket that the links so far leave in different components.
     labelled = shared.select("key", "id", "n", "b1", "b2").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    left = labelled.join(mixed, "key", "left_semi")
-    rest = left.alias("p").join(left.alias("q"), (F.col("p.key") == F.col("q.key")) & (F.col("p.id") < F.col("q.id")) & (F.col("p.component") != F.col("q.component")) & _alike(percent))
+    left = materialise(_mixed(labelled))
+    # Shingles that no other member of the same cluster of buckets has bound every intersection from above.
+    lows = left.groupBy("key").agg(F.min("id").alias("lo"))
+    cluster = components(left.join(lows, "key").select("id", "lo"), "id", "lo")
+    own = left.select("id").distinct().join(cluster, "id", "left").select("id", F.coalesce("component", "id").alias("cluster"))
+    words = sets.join(own, sets.doc_id == own.id).select("cluster", "id", F.explode("shingles").alias("shingle"))
+    alone = words.groupBy("cluster", "shingle").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1").groupBy("id").agg(F.count("*").alias("alone"))
+    bound = left.join(alone, "id", "left").withColumn("most", F.col("n") - F.coalesce("alone", F.lit(0)))
+    bound = materialise(_mixed(bound.where(f"100 * most >= {percent} * n").drop("alone")))
+    most = F.least("p.most", "q.most")
+    rest = bound.alias("p").join(bound.alias("q"), (F.col("p.key") == F.col("q.key")) & (F.col("p.id") < F.col("q.id")) & (F.col("p.component") != F.col("q.component")) & (100 * most >= percent * (F.col("p.n") + F.col("q.n") - most)) & _alike(percent))
     rest = materialise(rest.select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct().join(star, ["a", "b"], "left_anti"))
-    more = materialise(_verified(rest, docs, size, percent))
+    more = materialise(_verified(rest, sets, percent))
     if not more.isEmpty():
         found = components(links.union(more))
     out = member.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
