@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .crf import fit_quality, quality_scores
 from .decontaminate import contamination, judged
 from .minhash import near_duplicates
 from .packing import packed
@@ -33,10 +34,23 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names.cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+def held_out() -> Column:
+    """Rows whose labels are never learned from."""
+    return F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_quality(docs, table(spark, sf_dir, "labels").where(~held_out()))
+    done = quality_scores(docs, model)
+    return done.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
 QUERIES = {
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_packing": op6_packing,
+    "op10_quality_classifier": op10_quality_classifier,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
 }
 
