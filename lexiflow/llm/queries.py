@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import chat_format
 from .common import table
 from .crf import fit_quality, quality_scores
 from .decontaminate import contamination, judged
@@ -12,6 +13,7 @@ from .licenses import PHRASES, TEMPLATES, THRESHOLD, license_scan
 from .minhash import near_duplicates
 from .packing import packed
 from .substrings import remove_repeats
+from .warc import fixity_audit, warc_records
 
 
 def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +24,22 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
 
 
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format(table(spark, sf_dir, "conversations"))
+
+
+def damaged(records: DataFrame) -> DataFrame:
+    """A replica with known damage: by the MD5 of the page_id some records lose a byte's value, some are gone."""
+    mark = F.md5(F.col("page_id").cast("string"))
+    broken = F.concat(F.expr("substring(record, 1, octet_length(record) - 1)"), F.lit(b"\0"))
+    return records.where(~mark.startswith("f0")).withColumn("record", F.when(mark.startswith("0"), broken).otherwise(F.col("record")))
+
+
+def op7_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc_records(table(spark, sf_dir, "pages"))
+    return fixity_audit(records, damaged(records))
+
+
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = remove_repeats(table(spark, sf_dir, "documents"), length=100)
     removed = F.aggregate(F.zip_with("ends", "starts", lambda a, b: a - b), F.lit(0).cast("long"), lambda a, b: a + b)
@@ -54,6 +72,8 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_license_scans": op1_license_scans,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op4_chat_formatting": op4_chat_formatting,
+    "op7_warc_fixity": op7_warc_fixity,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_packing": op6_packing,
     "op10_quality_classifier": op10_quality_classifier,
@@ -67,6 +87,31 @@ TEMPLATE_ROWS = ", ".join(f"('{label}', {sorted(set(text.replace('.', ' ').split
 PHRASE_ROWS = ", ".join(f"('{label}', {phrase.split()})" for phrase, label in PHRASES.items())
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_chat_formatting": """
+WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS turns,
+    string_agg('<|im_start|>' || CASE WHEN trim(coalesce(role, '')) = '' THEN 'user' ELSE lower(trim(replace(replace(role, '<|im_start|>', '<| im_start|>'), '<|im_end|>', '<| im_end|>'))) END || chr(10)
+      || replace(replace(coalesce(text, ''), '<|im_start|>', '<| im_start|>'), '<|im_end|>', '<| im_end|>') || '<|im_end|>' || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS rendered
+  FROM t GROUP BY conv_id)
+SELECT conv_id, len(turns)::BIGINT AS n_turns, rendered FROM c a
+WHERE NOT EXISTS (
+  SELECT 1 FROM c b WHERE b.turns[1] = a.turns[1] AND b.conv_id <> a.conv_id AND len(b.turns) >= len(a.turns) AND b.turns[1 : len(a.turns)] = a.turns
+    AND (len(b.turns) > len(a.turns) OR b.conv_id < a.conv_id))
+""",
+    "op7_warc_fixity": """
+WITH r AS (
+  SELECT page_id, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10)
+    || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'WARC-Block-Digest: sha256:' || sha256(coalesce(html, '')) || chr(13) || chr(10)
+    || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record
+  FROM pages WHERE page_id IS NOT NULL),
+one AS (SELECT page_id, min({'digest': sha256(record), 'length': strlen(record)}) AS x FROM r GROUP BY page_id)
+SELECT page_id, (page_id // 4096)::BIGINT AS file_id,
+  coalesce(sum(x.length) OVER (PARTITION BY page_id // 4096 ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset",
+  x.length::BIGINT AS length, x.digest AS digest,
+  CASE WHEN starts_with(md5(page_id::VARCHAR), 'f0') THEN 'missing' WHEN starts_with(md5(page_id::VARCHAR), '0') THEN 'corrupt' ELSE 'ok' END AS status
+FROM one
+""",
     "op1_license_scans": f"""
 WITH t(label, words) AS (VALUES {TEMPLATE_ROWS}),
 p(label, phrase) AS (VALUES {PHRASE_ROWS}),
