@@ -13,6 +13,7 @@ from .licenses import PHRASES, TEMPLATES, THRESHOLD, license_scan
 from .minhash import near_duplicates
 from .packing import packed
 from .substrings import remove_repeats
+from .vptree import nearest
 from .warc import fixity_audit, warc_records
 
 
@@ -51,6 +52,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op8_vantage_point_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = judged(contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13), min_share=0.05)
     names = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
@@ -77,6 +83,7 @@ QUERIES = {
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_packing": op6_packing,
     "op10_quality_classifier": op10_quality_classifier,
+    "op8_vantage_point_search": op8_vantage_point_search,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
 }
 
