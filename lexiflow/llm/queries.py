@@ -10,6 +10,7 @@ from .common import table
 from .crf import fit_quality, quality_scores
 from .decontaminate import contamination, judged
 from .licenses import PHRASES, TEMPLATES, THRESHOLD, license_scan
+from .lm import pseudo_likelihood
 from .minhash import near_duplicates
 from .packing import packed
 from .substrings import remove_repeats
@@ -21,6 +22,10 @@ def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
 
@@ -77,6 +82,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_license_scans": op1_license_scans,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_chat_formatting": op4_chat_formatting,
     "op7_warc_fixity": op7_warc_fixity,
