@@ -170,14 +170,17 @@ def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays([part["quality"], pa.array([b.astype("<f4").tobytes() for b, _, _ in made], pa.binary()), pa.array([n.astype("<i4").tobytes() for _, n, _ in made], pa.binary())], ["quality", "features", "lengths"])
 
 
-def _score_batches(model: dict):
+_SCORED = "_scored_text"
+
+
+def _score_batches(model: dict, out: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                found = scores(Batch(*_measured([t.as_buffer().to_pybytes() for t in part["text"]])), model)
-                columns = [part[c] for c in part.schema.names if c != "text"]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(found)], [*(c for c in part.schema.names if c != "text"), "score"])
+                found = scores(Batch(*_measured([t.as_buffer().to_pybytes() for t in part[_SCORED]])), model)
+                names = [c for c in part.schema.names if c != _SCORED]
+                yield pa.RecordBatch.from_arrays([*(part[c] for c in names), pa.array(found)], [*names, out])
 
     return run
 
@@ -198,11 +201,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS
     return train(base, np.concatenate(lengths).astype(float), np.array([len(n) for n in lengths]), np.array([q for q, _, _ in made], float))
 
 
-def quality_scores(docs: DataFrame, model: dict, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``carry`` columns and ``score`` (0 to 1, higher: likelier good) of each row of ``docs``; null text as empty.
+def quality_scores(docs: DataFrame, model: dict, carry: tuple[str, ...] = ("doc_id",), out: str = "score") -> DataFrame:
+    """``carry`` columns and ``out`` (0 to 1, higher: likelier good) of each row of ``docs``; null text as empty.
 
-    Rows are scored one by one from their text alone: repeated rows get equal scores, an empty table no rows.
+    Rows are scored one by one from their text alone: repeated rows get equal scores, an empty table no rows. ``out``
+    must not be one of the carried columns.
     """
-    rows = docs.select(*carry, text_bytes().alias("text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    return rows.mapInArrow(_score_batches(model), f"{schema}, score double")
+    rows = docs.select(*(F.col(f"`{c}`") for c in carry), text_bytes().alias(_SCORED))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != _SCORED)
+    return rows.mapInArrow(_score_batches(model, out), f"{schema}, `{out}` double")

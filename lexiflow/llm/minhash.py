@@ -7,9 +7,10 @@ concentration of independent draws, in a handful of rounds instead of one for ea
 
 Documents whose shingle sets are equal form a class, represented by its smallest doc_id. Representatives meet in band
 buckets. Each bucket first compares its members with one of them, the one that meets most others; components of the
-links so verified then tell which buckets still hold members of different components. Shingles that only one member of
-such a group has bound its intersection with any other from above, which rules out most of these pairs; the others are
-compared. No bucket expands into all its pairs, and none is capped.
+links so verified then tell which buckets still hold members of different components. Two of these share what both share
+with the bucket's partner, and shingles that it lacks. The first part is bounded by what is known; pairs for which it
+could be enough are compared, and so are pairs that meet in a shingle of the second kind. All others are ruled out without
+being formed. No bucket is capped.
 """
 
 from __future__ import annotations
@@ -141,11 +142,19 @@ def _set_batches(size: int):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough."""
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the full shingle sets x of a and y of b."""
+    return pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
+
+
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs with the sizes of their sets (na, nb) and of the intersection (common)."""
     common = F.size(F.array_intersect("x", "y")).cast("long")
-    return both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
+    return _with_sets(pairs, sets).select("a", "b", F.size("x").cast("long").alias("na"), F.size("y").cast("long").alias("nb"), common.alias("common"))
+
+
+def _linked(compared: DataFrame, percent: int) -> DataFrame:
+    return compared.where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
 
 
 def _alike(percent: int):
@@ -154,6 +163,11 @@ def _alike(percent: int):
     return (100 * F.least("p.n", "q.n") >= percent * F.greatest("p.n", "q.n")) & (bits <= MAX_BITS)
 
 
+def _enough(common, percent: int):
+    """Whether sides p and q can be similar enough with at most ``common`` shingles in both."""
+    return 100 * common >= percent * (F.col("p.n") + F.col("q.n") - common)
+
+
 def _mixed(rows: DataFrame) -> DataFrame:
     """Rows of keys that hold more than one component."""
     keys = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
@@ -186,25 +200,31 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     score = shared.groupBy("id").agg(F.sum("c").alias("score"))
     leads = shared.join(score, "id").groupBy("key").agg(F.max(F.struct("score", "id", "n", "b1", "b2")).alias("q"))
     star = shared.select("key", F.struct("id", "n", "b1", "b2").alias("p")).join(leads, "key").where((F.col("p.id") != F.col("q.id")) & _alike(percent))
-    star = materialise(star.select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).distinct())
-    links = materialise(_verified(star, sets, percent))
+    star = materialise(_compared(star.select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct(), sets))
+    links = _linked(star, percent)
     found = components(links)
 
     # What is left: members of a bucket that the links so far leave in different components.
     labelled = shared.select("key", "id", "n", "b1", "b2").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    left = materialise(_mixed(labelled))
-    # Shingles that no other member of the same cluster of buckets has bound every intersection from above.
-    lows = left.groupBy("key").agg(F.min("id").alias("lo"))
-    cluster = components(left.join(lows, "key").select("id", "lo"), "id", "lo")
-    own = left.select("id").distinct().join(cluster, "id", "left").select("id", F.coalesce("component", "id").alias("cluster"))
-    words = sets.join(own, sets.doc_id == own.id).select("cluster", "id", F.explode("shingles").alias("shingle"))
-    alone = words.groupBy("cluster", "shingle").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1").groupBy("id").agg(F.count("*").alias("alone"))
-    bound = left.join(alone, "id", "left").withColumn("most", F.col("n") - F.coalesce("alone", F.lit(0)))
-    bound = materialise(_mixed(bound.where(f"100 * most >= {percent} * n").drop("alone")))
-    most = F.least("p.most", "q.most")
-    rest = bound.alias("p").join(bound.alias("q"), (F.col("p.key") == F.col("q.key")) & (F.col("p.id") < F.col("q.id")) & (F.col("p.component") != F.col("q.component")) & (100 * most >= percent * (F.col("p.n") + F.col("q.n") - most)) & _alike(percent))
-    rest = materialise(rest.select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct().join(star, ["a", "b"], "left_anti"))
-    more = materialise(_verified(rest, sets, percent))
+    mixed = _mixed(labelled).join(leads.select("key", F.col("q.id").alias("lead")), "key")
+    known = star.select(F.col("a").alias("id"), F.col("b").alias("lead"), "common")
+    left = materialise(mixed.join(known, ["id", "lead"], "left"))  # common: shared with the lead; null where that wasn't compared
+    main = left.groupBy("key", "component").count().groupBy("key").agg(F.max(F.struct("count", "component")).alias("m")).select("key", F.col("m.component").alias("main"))
+    odd = left.join(main, "key")
+    apart = (F.col("p.component") != F.col("q.component")) & ((F.col("q.component") == F.col("p.main")) | (F.col("p.id") < F.col("q.id")))
+    # Without a shingle outside the lead's set in common, two members share at most what the lesser shares with the lead.
+    inner = F.least(F.coalesce("p.common", "p.n"), F.coalesce("q.common", "q.n"))
+    one = odd.where("component <> main").alias("p").join(odd.alias("q"), (F.col("p.key") == F.col("q.key")) & apart & _enough(inner, percent) & _alike(percent))
+    # With one, they meet there.
+    own = odd.where("common is not null").drop("key").distinct()
+    added = _with_sets(own.select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct(), sets).select(F.col("a").alias("id"), F.col("b").alias("lead"), F.explode(F.array_except("x", "y")).alias("shingle"))
+    added = own.join(added, ["id", "lead"])
+    outer = F.least("p.common", "q.common") + F.least(F.col("p.n") - F.col("p.common"), F.col("q.n") - F.col("q.common"))
+    meet = (F.col("p.lead") == F.col("q.lead")) & (F.col("p.shingle") == F.col("q.shingle"))
+    two = added.where("component <> main").alias("p").join(added.alias("q"), meet & (F.col("p.main") == F.col("q.main")) & apart & _enough(outer, percent) & _alike(percent))
+    pair = [F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")]
+    rest = one.select(*pair).union(two.select(*pair)).distinct()
+    more = materialise(_linked(_compared(rest, sets), percent))
     if not more.isEmpty():
         found = components(links.union(more))
     out = member.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))

@@ -292,7 +292,20 @@ def spans_of(cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return cuts["start"][at].astype(np.int64), reach[np.append(at[1:], len(cuts)) - 1].astype(np.int64)
 
 
-def _apply(length: int):
+def whole_characters(text: bytes, starts: list[int], ends: list[int]) -> tuple[list[int], list[int]]:
+    """Runs narrowed so that none begins or ends inside a UTF-8 character; runs without a whole character go."""
+    out = []
+    for s, e in zip(starts, ends, strict=True):
+        while s < e and 128 <= text[s] < 192:
+            s += 1
+        while e > s and e < len(text) and 128 <= text[e] < 192:
+            e -= 1
+        if s < e:
+            out.append((s, e))
+    return [s for s, _ in out], [e for _, e in out]
+
+
+def _apply(length: int, characters: bool):
     """Step 5: a row for each document of the block, with its maximal removed runs."""
 
     def run(key: tuple[pa.Scalar, ...], docs: pa.Table, cuts: pa.Table) -> pa.Table:
@@ -305,22 +318,23 @@ def _apply(length: int):
         for d, c, text in zip(block.ids.tolist(), block.copy.tolist(), block.texts, strict=True):
             lo, hi = np.searchsorted(cut["doc"], [d, d + 1])
             own = cut[lo:hi][cut["copy"][lo:hi] == c]
-            s, e = spans_of(own) if len(own) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            starts.append(s.tolist())
-            ends.append(e.tolist())
+            s, e = (x.tolist() for x in spans_of(own)) if len(own) else ([], [])
+            s, e = whole_characters(text, s, e) if characters else (s, e)
+            starts.append(s)
+            ends.append(e)
             kept.append(b"".join(text[a:b] for a, b in zip([0, *ends[-1]], [*starts[-1], len(text)], strict=True)))
         return pa.table({"doc_id": pa.array(block.ids, pa.int64()), "copy": pa.array(block.copy, pa.int32()), "n_bytes": pa.array([len(x) for x in block.texts], pa.int64()), "starts": pa.array(starts, pa.list_(pa.int64())), "ends": pa.array(ends, pa.list_(pa.int64())), "kept_text": pa.array(kept, pa.binary())})
 
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, block_bytes: int = BLOCK, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, block_bytes: int = BLOCK, hot: int = HOT, characters: bool = False) -> DataFrame:
     """``(doc_id, copy, n_bytes, starts, ends, kept_text)`` of each row of ``docs`` (doc_id, text; others are ignored).
 
     ``starts`` and ``ends`` are the maximal removed runs of bytes: every byte covered by a string of ``length`` bytes
     that also starts earlier, in a smaller doc_id or before in the same text. ``kept_text`` holds the other bytes. Null
     and empty texts have no bytes and lose none. Rows of one doc_id count in the order of their texts (``copy`` 0, 1, ..)
-    so that of repeated rows the first stays. Rows without a doc_id are left out. ``length`` is at least twice the
+    so that of repeated rows the first stays. With ``characters`` runs are narrowed to whole UTF-8 characters. Rows without a doc_id are left out. ``length`` is at least twice the
     k-gram. An empty table gives an empty result.
     """
     if length < 2 * GRAM:
@@ -333,4 +347,4 @@ def remove_repeats(docs: DataFrame, length: int = 100, block_bytes: int = BLOCK,
     asked = named.groupBy("bucket").applyInArrow(_ask(hot), "block long, blob binary")
     sent = dealt.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(_send(buckets, length), "bucket long, blob binary, bytes binary")
     cuts = sent.groupBy("bucket").applyInArrow(_judge(length), "block long, blob binary")
-    return dealt.groupBy("block").cogroup(cuts.groupBy("block")).applyInArrow(_apply(length), "doc_id long, copy int, n_bytes long, starts array<long>, ends array<long>, kept_text binary")
+    return dealt.groupBy("block").cogroup(cuts.groupBy("block")).applyInArrow(_apply(length, characters), "doc_id long, copy int, n_bytes long, starts array<long>, ends array<long>, kept_text binary")
