@@ -123,7 +123,7 @@ def shuffled(options: Column, row_id: Column, seed: str) -> Column:
 
 def relabelled(answer: Column, order: Column) -> Column:
     """The new letter of an answer."""
-    return F.element_at(F.transform(F.filter(order, lambda e: e["old"] == answer), lambda e: e["new"]), 1)
+    return F.get(F.transform(F.filter(order, lambda e: e["old"] == answer), lambda e: e["new"]), F.lit(0))
 
 
 def remapped_scores(scores: Column, order: Column) -> Column:

@@ -116,7 +116,7 @@ def best_and_margin(scores: DataFrame, options: list[str], gold: str) -> DataFra
     pairs = F.array(*(F.struct(F.col(o).alias("v"), F.lit(-i).alias("i"), F.lit(o).alias("name")) for i, o in enumerate(options)))
     best = F.array_max(pairs)
     others = F.array_max(F.transform(F.filter(pairs, lambda p: p["name"] != F.col(gold)), lambda p: p["v"]))
-    own = F.element_at(F.transform(F.filter(pairs, lambda p: p["name"] == F.col(gold)), lambda p: p["v"]), 1)
+    own = F.get(F.transform(F.filter(pairs, lambda p: p["name"] == F.col(gold)), lambda p: p["v"]), F.lit(0))
     return scores.withColumn("pred", best["name"]).withColumn("margin", own - others)
 
 
@@ -183,12 +183,12 @@ def description(rows: DataFrame, records: DataFrame, key: str, want: str, order:
     """Text of each key in the wanted language, else in the first of ``order`` that has one, else any."""
     found = rows.join(records, key, "left")
     picks = [F.element_at("desc", x) for x in dict.fromkeys((want, *order))]
-    return found.withColumn("text", F.coalesce(*(F.when(F.trim(p) != "", p) for p in picks), F.element_at(F.map_values("desc"), 1)))
+    return found.withColumn("text", F.coalesce(*(F.when(F.trim(p) != "", p) for p in picks), F.get(F.map_values("desc"), F.lit(0))))
 
 
 def zip_priors(rows: DataFrame, segments: str, priors: str) -> DataFrame:
     """Segments with the prior at their place if there are as many, else with an even split of the span."""
-    n, lo, hi = F.size(priors), F.element_at(segments, 1)["start"], F.element_at(segments, -1)["end"]
+    n, lo, hi = F.size(priors), F.get(segments, F.lit(0))["start"], F.try_element_at(segments, F.lit(-1))["end"]
     even = F.transform(priors, lambda p, i: F.struct((lo + (hi - lo) * i / n).alias("start"), (lo + (hi - lo) * (i + 1) / n).alias("end"), p.alias("prior")))
     same = F.zip_with(segments, priors, lambda s, p: F.struct(s["start"].cast("double").alias("start"), s["end"].cast("double").alias("end"), p.alias("prior")))
     return rows.withColumn("zipped", F.when(F.size(segments) == n, same).otherwise(even))
