@@ -201,7 +201,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shard
     union = F.aggregate(
         "spans",
         F.array().cast("array<struct<starts:bigint,ends:bigint>>"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["ends"] >= x["starts"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.element_at(acc, -1)["starts"].alias("starts"), F.greatest(F.element_at(acc, -1)["ends"], x["ends"]).alias("ends"))))).otherwise(F.concat(acc, F.array(x))),
+        lambda acc, x: F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["ends"] >= x["starts"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["starts"].alias("starts"), F.greatest(F.try_element_at(acc, F.lit(-1))["ends"], x["ends"]).alias("ends"))))).otherwise(F.concat(acc, F.array(x))),
     )
     return merged.withColumn("spans", union).select("doc_id", "row", "n_words", F.col("spans.starts").alias("starts"), F.col("spans.ends").alias("ends"), "items")
 

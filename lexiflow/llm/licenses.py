@@ -84,7 +84,7 @@ def similar_blocks(blocks: DataFrame, templates: dict[str, str] | None = None, t
     room = 1 + F.least(F.col("size") - F.col("at") - 1, F.size("own") - F.col("place") - 1)
     # The first word that block and template share stands in both prefixes; later ones need no probe of their own.
     met = probes.join(F.broadcast(prefixes), "word").where((F.size("own") >= F.col("need")) & (F.col("place") <= F.size("own") - F.col("need")) & (room >= F.col("need")))
-    found = met.join(F.broadcast(whole), "label").withColumn("common", F.array_intersect("template", "own")).where(F.element_at("common", 1).isNotNull() & (F.size("common") >= F.col("need")))
+    found = met.join(F.broadcast(whole), "label").withColumn("common", F.array_intersect("template", "own")).where((F.size("common") >= F.col("need")))
     first = F.array_min(F.transform("common", lambda w: F.array_position("own", w)))  # one row for each block and template
     return found.where(first == F.col("place") + 1).select(*key, "label", (F.size("common") / F.col("size")).alias("containment"))
 
