@@ -39,14 +39,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts all but the first occurrence of strings of 100 bytes, by whole characters; texts of which nothing is left go."""
-    cut = remove_repeats(docs, length=100, characters=True).select("doc_id", F.col("copy").alias("_copy"), "n_bytes", F.col("kept_text").cast("string").alias("_text"), (F.size("starts") > 0).alias("_cut"))
-    order = W.partitionBy("doc_id").orderBy(F.coalesce("text", F.lit("")))
-    rows = docs.withColumn("_copy", F.row_number().over(order) - 1).join(cut.drop("n_bytes"), ["doc_id", "_copy"])
-    rows = rows.where(~F.col("_cut") | (F.col("_text") != ""))
-    change = {"text": F.when(F.col("_cut"), F.col("_text")).otherwise(F.col("text"))}
+    cut = remove_repeats(docs.withColumn("_null", F.col("text").isNull()), length=100, characters=True, carry=(*(c for c in docs.columns if c != "text"), "_null"))
+    shorter, text = F.size("starts") > 0, F.col("kept_text").cast("string")
+    rows = cut.where(~shorter | (F.length("kept_text") > 0))
+    change = {"text": F.when(~F.col("carried._null"), text)}
     if "n_chars" in docs.columns:
-        change["n_chars"] = F.when(F.col("_cut"), F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return rows.withColumns(change).select(docs.columns)
+        change["n_chars"] = F.when(shorter, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("carried.n_chars"))
+    return rows.select(*(change[c].alias(c) if c in change else F.col(f"carried.`{c}`").alias(c) for c in docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

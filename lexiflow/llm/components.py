@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def _rounds(edges: DataFrame) -> DataFrame:
@@ -30,5 +30,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         n, total = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if not n or (n, total) == seen:
             return now.select(F.col("u").alias("id"), F.col("v").alias("component"))
-        seen, now = (n, total), materialise(_rounds(now))
+        seen, before, now = (n, total), now, materialise(_rounds(now))
+        discard(before)
     raise RuntimeError("components did not settle")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_chunks, materialise, mix, text_bytes
+from .common import byte_chunks, discard, materialise, mix, text_bytes
 from .components import components
 
 #: Bands and coordinates in each: two sets of similarity 0.8 share no band with probability (1 - 0.8**5)**32 = 3e-6.
@@ -227,5 +227,6 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     more = materialise(_linked(_compared(rest, sets), percent))
     if not more.isEmpty():
         found = components(links.union(more))
+    discard(shared, sets, star, left, more)
     out = member.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))

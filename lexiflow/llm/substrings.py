@@ -47,7 +47,7 @@ class Block:
         data, offsets = buffers(table["text"])
         texts = [data[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
         order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
-        self.ids, self.texts, self.length = ids[order], [texts[i] for i in order], length
+        self.ids, self.texts, self.length, self.order = ids[order], [texts[i] for i in order], length, order
         same = np.concatenate([[False], self.ids[1:] == self.ids[:-1]]) if len(ids) else np.zeros(0, bool)
         run = np.arange(len(ids))
         self.copy = (run - np.maximum.accumulate(np.where(same, 0, run))).astype(np.int32)  # 0, 1, .. among rows of one doc_id
@@ -305,13 +305,11 @@ def whole_characters(text: bytes, starts: list[int], ends: list[int]) -> tuple[l
     return [s for s, _ in out], [e for _, e in out]
 
 
-def _apply(length: int, characters: bool):
+def _apply(length: int, characters: bool, carried: list[str]):
     """Step 5: a row for each document of the block, with its maximal removed runs."""
 
     def run(key: tuple[pa.Scalar, ...], docs: pa.Table, cuts: pa.Table) -> pa.Table:
-        block = Block(docs, length) if docs.num_rows else None
-        if block is None:
-            return pa.table({"doc_id": pa.array([], pa.int64()), "copy": pa.array([], pa.int32()), "n_bytes": pa.array([], pa.int64()), "starts": pa.array([], pa.list_(pa.int64())), "ends": pa.array([], pa.list_(pa.int64())), "kept_text": pa.array([], pa.binary())})
+        block = Block(docs, length)
         cut = np.concatenate([np.zeros(0, _CUT), *(np.frombuffer(x, _CUT) for x in cuts["blob"].to_pylist())])
         cut = cut[np.lexsort((cut["start"], cut["copy"], cut["doc"]))]
         starts, ends, kept = [], [], []
@@ -323,23 +321,27 @@ def _apply(length: int, characters: bool):
             starts.append(s)
             ends.append(e)
             kept.append(b"".join(text[a:b] for a, b in zip([0, *ends[-1]], [*starts[-1], len(text)], strict=True)))
-        return pa.table({"doc_id": pa.array(block.ids, pa.int64()), "copy": pa.array(block.copy, pa.int32()), "n_bytes": pa.array([len(x) for x in block.texts], pa.int64()), "starts": pa.array(starts, pa.list_(pa.int64())), "ends": pa.array(ends, pa.list_(pa.int64())), "kept_text": pa.array(kept, pa.binary())})
+        others = docs.select(carried).take(pa.array(block.order, pa.int64()))
+        return pa.table({"doc_id": pa.array(block.ids, pa.int64()), "copy": pa.array(block.copy, pa.int32()), "n_bytes": pa.array([len(x) for x in block.texts], pa.int64()), "starts": pa.array(starts, pa.list_(pa.int64())), "ends": pa.array(ends, pa.list_(pa.int64())), "kept_text": pa.array(kept, pa.binary())} | dict(zip(carried, others.columns, strict=True)))
 
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, block_bytes: int = BLOCK, hot: int = HOT, characters: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, block_bytes: int = BLOCK, hot: int = HOT, characters: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """``(doc_id, copy, n_bytes, starts, ends, kept_text)`` of each row of ``docs`` (doc_id, text; others are ignored).
 
     ``starts`` and ``ends`` are the maximal removed runs of bytes: every byte covered by a string of ``length`` bytes
     that also starts earlier, in a smaller doc_id or before in the same text. ``kept_text`` holds the other bytes. Null
     and empty texts have no bytes and lose none. Rows of one doc_id count in the order of their texts (``copy`` 0, 1, ..)
-    so that of repeated rows the first stays. With ``characters`` runs are narrowed to whole UTF-8 characters. Rows without a doc_id are left out. ``length`` is at least twice the
+    so that of repeated rows the first stays. With ``characters`` runs are narrowed to whole UTF-8 characters. Columns in ``carry`` come along as a struct ``carried``. Rows without a doc_id are left out. ``length`` is at least twice the
     k-gram. An empty table gives an empty result.
     """
     if length < 2 * GRAM:
         raise ValueError(f"length must be {2 * GRAM} or more")
-    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
+    others = [F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(carry)]
+    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"), *others)
+    carried = [f"_c{i}" for i in range(len(carry))]
+    kinds = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carried)
     blocks = max(1, -(-total_bytes(docs) // block_bytes))
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
     buckets = max(1, -(-blocks // 2))
@@ -347,4 +349,5 @@ def remove_repeats(docs: DataFrame, length: int = 100, block_bytes: int = BLOCK,
     asked = named.groupBy("bucket").applyInArrow(_ask(hot), "block long, blob binary")
     sent = dealt.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(_send(buckets, length), "bucket long, blob binary, bytes binary")
     cuts = sent.groupBy("bucket").applyInArrow(_judge(length), "block long, blob binary")
-    return dealt.groupBy("block").cogroup(cuts.groupBy("block")).applyInArrow(_apply(length, characters), "doc_id long, copy int, n_bytes long, starts array<long>, ends array<long>, kept_text binary")
+    out = dealt.groupBy("block").cogroup(cuts.groupBy("block")).applyInArrow(_apply(length, characters, carried), f"doc_id long, copy int, n_bytes long, starts array<long>, ends array<long>, kept_text binary{kinds}")
+    return out if not carry else out.select(*out.columns[:6], F.struct(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(carry))).alias("carried"))
