@@ -151,3 +151,11 @@ def last_turns(turns: Column, n: int = 5) -> Column:
 def redacted(fields: Column, secret: str = r"(?i)key|token|secret|password|phone") -> Column:
     """A map with the values of secret keys masked."""
     return F.transform_values(fields, lambda k, v: F.when(k.rlike(secret), "***").otherwise(v))
+
+
+def repaired_score(score: Column, question_no: Column, by_number: dict[tuple[int, int], int], default: int = 3) -> Column:
+    """A score out of range replaced by that of the question's number range."""
+    out = F.when(score.between(1, 5), score)
+    for (lo, hi), value in by_number.items():
+        out = out.when(question_no.between(lo, hi), value)
+    return out.otherwise(default)

@@ -142,3 +142,36 @@ def changes(text: str) -> list[dict]:
 
 #: Column function of ``changes``.
 explained = each(changes, "array<struct<type:string,place:int,before:string,after:string>>")
+
+
+#: Stops and nasals of an IPA sequence by place, their tense and aspirated forms.
+IPA_NASAL = {"k̚": "ŋ", "t̚": "n", "p̚": "m"}
+IPA_TENSE = {"k": "k͈", "t": "t͈", "p": "p͈", "s": "s͈", "tɕ": "t͈ɕ"}
+IPA_ASPIRATED = {"k": "kʰ", "t": "tʰ", "p": "pʰ", "tɕ": "tɕʰ"}
+IPA_OPEN = {"k̚": "k", "t̚": "t", "p̚": "p"}
+
+
+def surface_ipa(phones: list[str]) -> list[str]:
+    """The rules between neighbouring consonants on an IPA sequence: aspiration, nasals, liquids, tense stops."""
+    out = list(phones)
+    for i in range(len(out) - 1):
+        a, b = out[i], out[i + 1]
+        if a in IPA_OPEN and b == "h":
+            out[i], out[i + 1] = "", IPA_ASPIRATED[IPA_OPEN[a]]
+        elif a == "h" and b in IPA_ASPIRATED:
+            out[i], out[i + 1] = "", IPA_ASPIRATED[b]
+        elif b in ("ɾ", "l") and a in ("m", "ŋ", "k̚", "p̚"):
+            out[i], out[i + 1] = IPA_NASAL.get(a, a), "n"
+        elif a in IPA_NASAL and b in ("n", "m"):
+            out[i] = IPA_NASAL[a]
+        elif (a, b) in (("n", "ɾ"), ("n", "l"), ("l", "n")):
+            out[i], out[i + 1] = "l", "l"
+        elif a in IPA_OPEN and b in IPA_TENSE:
+            out[i + 1] = IPA_TENSE[b]
+    return [p for p in out if p]
+
+
+#: Column function of ``surface_ipa``.
+ipa_surface = each(surface_ipa, "array<string>")
+#: Rules that hold within a word, without insertion across its parts.
+IN_WORD = Options(n_insertion=False, final_sounds=True)

@@ -96,3 +96,8 @@ def shortfall(filled: DataFrame, targets: DataFrame, slot: str) -> DataFrame:
 def round_robin_fill(rows: DataFrame, slots: int, order: str) -> DataFrame:
     """Leftover rows dealt over slots in turn."""
     return round_robin(rows, slots, order).withColumnRenamed("shard", "slot")
+
+
+def usable_lengths(rows: DataFrame, text: str, size: str, least: int, most: int, bytes_per_frame: int) -> DataFrame:
+    """Rows whose text has a length within bounds, with the number of frames estimated from their file's size."""
+    return rows.where(F.length(text).between(least, most)).withColumn("frames", F.floor(F.col(size) / bytes_per_frame))

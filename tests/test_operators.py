@@ -172,3 +172,18 @@ def test_streams():
     assert streams.balanced_json('a {"b": "}"} c') == '{"b": "}"}'
     assert streams.highlight("abc", "abd") == "ab[d]"
     assert streams.tag_chunks("가 (bell) 나") == [{"kind": "text", "value": "가"}, {"kind": "sfx", "value": "bell"}, {"kind": "text", "value": "나"}]
+
+
+def test_ipa_phonology():
+    assert phonology.surface_ipa(["k", "u", "k̚", "m", "u", "l"]) == ["k", "u", "ŋ", "m", "u", "l"]
+    assert phonology.surface_ipa(["i", "p̚", "h", "a"]) == ["i", "pʰ", "a"]
+    assert phonology.surface_ipa(["s", "i", "n", "ɾ", "a"]) == ["s", "i", "l", "l", "a"]
+    assert phonology.surface("부엌", phonology.IN_WORD)[0] == "부억"
+
+
+def test_repairs(spark):
+    df = spark.createDataFrame([(9, 3), (2, 3), (None, 30)], "score int, no int")
+    got = df.select(canonical.repaired_score(F.col("score"), F.col("no"), {(1, 10): 4}).alias("s")).collect()
+    assert [r.s for r in got] == [4, 2, 3]
+    rows = spark.createDataFrame([("ab", 100), ("", 10)], "t string, size long")
+    assert values(splits.usable_lengths(rows, "t", "size", 1, 5, 8), "frames") == [(12,)]
