@@ -234,7 +234,7 @@ def oov_tokens(spark, sf_dir):
   c AS (SELECT doc_id, token, count(*) AS n, min(place) AS first_place FROM t WHERE token NOT IN ('the', 'of', 'and', 'in') GROUP BY ALL)
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first_place) AS rank FROM c) WHERE rank <= 3""")
 def topk_keyphrases(spark, sf_dir):
-    return records.top_per_key(_tokens(table(spark, sf_dir, "documents"), "doc_id"), "doc_id", "token", "place", 3, ["the", "of", "and", "in"])
+    return records.top_per_key(_tokens(table(spark, sf_dir, "documents"), "doc_id"), "doc_id", "token", "place", 3, ["the", "of", "and", "in"]).withColumn("first_place", F.col("first_place").cast("long"))
 
 
 @query("SELECT event_type, n FROM (SELECT event_type, count(*) AS n, min(event_id) AS f FROM events GROUP BY event_type ORDER BY n DESC, f LIMIT 3)")
