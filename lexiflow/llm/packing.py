@@ -32,8 +32,8 @@ MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS = 2048, 256, 2048
 LOOK = 16
 #: Ends a document.
 END = 1
-#: Entries of a worker's table of known words.
-KNOWN = 400_000
+#: Entries of each of a worker's two tables of known words: those of late, and those of the time before.
+KNOWN = 120_000
 
 #: Words that byte-level BPE never joins, for texts of ASCII and Latin letters only.
 _LATIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^\sA-Za-z0-9À-ÖØ-öø-ɏ]+|\s+(?!\S)|\s+")
@@ -58,6 +58,7 @@ class Encoder:
         self.encode = ranked(path).encode_ordinary  # strings of special tokens in a text are ordinary text
         self.any = regex.compile(public_tokenizers.PATTERN)
         self.words: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def __call__(self, text: str) -> bytes:
         words = (self.any if _OTHER.search(text) else _LATIN).findall(text)
@@ -66,12 +67,12 @@ class Encoder:
             return b"".join([known[w] for w in words])
         except KeyError:
             pass
-        new = list({w for w in words if w not in known})
-        if len(known) + len(new) > KNOWN:
-            known.clear()
-            new = list(set(words))
-        for w in new:
-            known[w] = np.array(self.encode(w), "<u4").tobytes()
+        if len(known) > KNOWN:
+            self.before, self.words = known, {}
+            known = self.words
+        before = self.before
+        for w in set(words).difference(known):
+            known[w] = before.get(w) or np.array(self.encode(w), "<u4").tobytes()
         return b"".join([known[w] for w in words])
 
 
