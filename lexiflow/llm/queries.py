@@ -15,7 +15,7 @@ from .minhash import near_duplicates
 from .packing import packed
 from .substrings import remove_repeats
 from .vptree import nearest
-from .warc import fixity_audit, warc_records
+from .warc import fixity_audit, page_records, warc_manifest, with_held
 
 
 def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,8 +42,9 @@ def damaged(records: DataFrame) -> DataFrame:
 
 
 def op7_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = warc_records(table(spark, sf_dir, "pages"))
-    return fixity_audit(records, damaged(records))
+    pages = table(spark, sf_dir, "pages")
+    manifest = warc_manifest(pages)
+    return fixity_audit(manifest, with_held(manifest, damaged(page_records(pages))))
 
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

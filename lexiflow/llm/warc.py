@@ -20,28 +20,43 @@ PER_FILE = 4096
 FAN = 16
 
 
-def warc_records(pages: DataFrame, per_file: int = PER_FILE) -> DataFrame:
-    """``(file_id, place, page_id, offset, length, digest, record)`` of each page (page_id, url, html).
-
-    A record is a WARC/1.1 ``resource`` block of UTF-8 bytes. Files hold the ids of a range of ``per_file``; within a file
-    records stand in the order of ids. Null urls and pages count as empty; rows without a page_id are left out; equal
-    rows are one record, and of other rows of one page_id that with the least digest is the record.
-    """
+def page_records(pages: DataFrame) -> DataFrame:
+    """``(page_id, digest, record)`` of each row: a WARC/1.1 ``resource`` block of UTF-8 bytes and its SHA-256. No shuffle."""
     body = F.coalesce("html", F.lit("")).cast("binary")
     url = F.coalesce("url", F.lit(""))
-    digest = F.sha2(body, 256)
     head = F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:"), F.col("page_id").cast("string"), F.lit(">\r\nWARC-Target-URI: "), url,
-        F.lit("\r\nWARC-Block-Digest: sha256:"), digest, F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"),
+        F.lit("\r\nWARC-Block-Digest: sha256:"), F.sha2(body, 256), F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"),
     )
     record = F.concat(head.cast("binary"), body, F.lit("\r\n\r\n").cast("binary"))
-    made = pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), record.alias("record")).withColumn("digest", F.sha2("record", 256))
-    one = made.groupBy("page_id").agg(F.min(F.struct("digest", "record")).alias("r")).select("page_id", "r.digest", "r.record")
-    size = F.octet_length("record").cast("long")
+    made = pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), record.alias("record"))
+    return made.select("page_id", F.sha2("record", 256).alias("digest"), "record")
+
+
+def warc_manifest(pages: DataFrame, per_file: int = PER_FILE) -> DataFrame:
+    """``(file_id, place, page_id, offset, length, digest)`` of each page (page_id, url, html); bytes of records stay where they are read.
+
+    Files hold the ids of a range of ``per_file``; within a file records stand in the order of ids. Null urls and pages
+    count as empty; rows without a page_id are left out; equal rows are one record, and of other rows of one page_id that
+    with the least digest is the record. An empty table gives no rows.
+    """
+    made = page_records(pages).select("page_id", "digest", F.octet_length("record").cast("long").alias("length"))
+    one = made.groupBy("page_id").agg(F.min(F.struct("digest", "length")).alias("r")).select("page_id", "r.digest", "r.length")
     before = W.partitionBy("file_id").orderBy("page_id").rowsBetween(W.unboundedPreceding, -1)
     file_id = F.floor(F.col("page_id") / per_file).cast("long")
-    placed = one.withColumn("length", size).withColumn("file_id", file_id).withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
-    return placed.select("file_id", (F.col("page_id") - F.col("file_id") * per_file).alias("place"), "page_id", "offset", "length", "digest", "record")
+    placed = one.withColumn("file_id", file_id).withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
+    return placed.select("file_id", (F.col("page_id") - F.col("file_id") * per_file).alias("place"), "page_id", "offset", "length", "digest")
+
+
+def with_held(manifest: DataFrame, held: DataFrame) -> DataFrame:
+    """The manifest of what a replica holds: rows of ``held`` (page_id, digest, record) with their places and the digest of their bytes."""
+    taken = held.select("page_id", "digest", F.sha2("record", 256).alias("_taken")).distinct()
+    return manifest.join(taken, ["page_id", "digest"]).withColumn("digest", F.col("_taken")).drop("_taken")
+
+
+def warc_records(pages: DataFrame, per_file: int = PER_FILE) -> DataFrame:
+    """The manifest with the bytes of each record (``record``)."""
+    return warc_manifest(pages, per_file).join(page_records(pages).dropDuplicates(["page_id", "digest"]), ["page_id", "digest"])
 
 
 def _leaf(digest: Column) -> Column:
@@ -80,13 +95,13 @@ def differing_leaves(left: DataFrame, right: DataFrame, per_file: int = PER_FILE
 def fixity_audit(records: DataFrame, replica: DataFrame, per_file: int = PER_FILE, fan: int = FAN) -> DataFrame:
     """``(page_id, file_id, offset, length, digest, status)`` of every record of either side.
 
-    ``replica`` has file_id, place, offset, length and record (the bytes it holds; their digests are taken anew). Status
+    Both have the columns of a manifest; where ``replica`` has ``record``, digests are taken anew from these bytes. Status
     is ``ok``, ``corrupt`` (both sides have the place, with other bytes, offset or length), ``missing`` (not in the replica) or
     ``extra`` (only there; its own offset, length and digest are given). Empty tables give every record of the other
     side as missing or extra.
     """
     ours = materialise(records.select("file_id", "place", "page_id", "offset", "length", "digest"))
-    theirs = materialise(replica.select("file_id", "place", "page_id", "offset", "length", F.sha2("record", 256).alias("digest")))
+    theirs = materialise(replica.select("file_id", "place", "page_id", "offset", "length", (F.sha2("record", 256) if "record" in replica.columns else F.col("digest")).alias("digest")))
     bad = differing_leaves(ours, theirs, per_file, fan).select("file_id", F.col("node").alias("place"), F.lit(True).alias("bad"))
     key = ["file_id", "place"]
     other = theirs.select(*key, *(F.col(c).alias(f"r_{c}") for c in ("page_id", "offset", "length", "digest")))
