@@ -56,7 +56,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 2048 tokens, with their ids."""
-    return packed(docs, max_tokens=2048)
+    return packed(docs, max_tokens=2048, special=True)
 
 
 STAGES = [

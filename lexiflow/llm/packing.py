@@ -52,16 +52,35 @@ def ranked(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def added_tokens(path: str) -> dict[str, bytes]:
+    """Ids of a tokenizer file's added tokens, as bytes, by their strings."""
+    with open(path, encoding="utf-8") as f:
+        added = json.load(f).get("added_tokens") or []
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
+        raise ValueError("added tokens that look at their surroundings are not supported")
+    return {t["content"]: array("I", [t["id"]]).tobytes() for t in added}
+
+
 class Encoder:
-    """Ids of texts by a tokenizer file, as bytes of little-endian 32-bit numbers; remembers words it has seen."""
+    """Ids of texts by a tokenizer file, as bytes of little-endian 32-bit numbers; remembers words it has seen.
 
-    def __init__(self, path: str):
-        self.encode = ranked(path).encode_ordinary  # strings of special tokens in a text are ordinary text
+    With ``special``, strings of the file's added tokens give their ids, else they are ordinary text.
+    """
+
+    def __init__(self, path: str, special: bool = False):
+        self.encode = ranked(path).encode_ordinary
+        self.added = added_tokens(path) if special else {}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
         self.any = regex.compile(public_tokenizers.PATTERN)
         self.words: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
     def __call__(self, text: str) -> bytes:
+        if not any(s in text for s in self.added):
+            return self.plain(text)
+        return b"".join(self.added[p] if p in self.added else self.plain(p) for p in self.cut.split(text))
+
+    def plain(self, text: str) -> bytes:
         words = (self.any if _OTHER.search(text) else _LATIN).findall(text)
         known = self.words
         try:
@@ -77,13 +96,13 @@ class Encoder:
         return b"".join([known[w] for w in words])
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, special: bool = False) -> Encoder:
+    if (path, special) not in _encoders:
+        _encoders[path, special] = Encoder(path, special)
+    return _encoders[path, special]
 
 
 class Piece:
@@ -145,11 +164,11 @@ def pack(pieces: Iterator[Piece], max_tokens: int = MAX_TOKENS, max_segments: in
 _FIELDS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long, ids binary"
 
 
-def _pack_batches(path: str, limits: tuple[int, int, int], look: int, with_ids: bool):
+def _pack_batches(path: str, limits: tuple[int, int, int], look: int, with_ids: bool, special: bool):
     end = np.array([END], "<u4").tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[Piece]:
-        ids_of = encoder(path)
+        ids_of = encoder(path, special)
         for batch in batches:
             froms = batch["loss_from"].to_pylist()
             for doc, text, loss_from in zip(batch["doc_id"].to_pylist(), batch["text"], froms, strict=True):
@@ -177,15 +196,16 @@ def _pack_batches(path: str, limits: tuple[int, int, int], look: int, with_ids:
     return run
 
 
-def packed(docs: DataFrame, tokenizer: str | None = None, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int = MAX_LOSS, look: int = LOOK, loss_from: str | None = None, with_ids: bool = True) -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str | None = None, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int = MAX_LOSS, look: int = LOOK, loss_from: str | None = None, with_ids: bool = True, special: bool = False) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens, ids.
 
     Every row of ``docs`` (doc_id, text; others are ignored) gives the ids of its text by the ``tokenizer`` file and id 1;
     a null or empty text gives id 1 alone. ``loss_from`` names a column with the number of leading tokens that bear no
     loss (null: none). Repeated rows are packed each. Sequence ids are the task's number shifted by 32 bits plus a count;
-    they have gaps between tasks. Each task leaves at most its last sequence short of tokens for want of rows. An empty
+    they have gaps between tasks. With ``special``, strings of the file's added tokens give their ids, as
+    ``tokenizers`` does with that file; else they are ordinary text. Each task leaves at most its last sequence short of tokens for want of rows. An empty
     table gives no rows.
     """
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"), (F.col(loss_from).cast("long") if loss_from else F.lit(0).cast("long")).alias("loss_from"))
-    return rows.mapInArrow(_pack_batches(path, (max_tokens, max_segments, max_loss), look, with_ids), _FIELDS)
+    return rows.mapInArrow(_pack_batches(path, (max_tokens, max_segments, max_loss), look, with_ids, special), _FIELDS)

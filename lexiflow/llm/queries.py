@@ -54,7 +54,7 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = packed(table(spark, sf_dir, "documents"), max_tokens=2048, with_ids=False)
+    done = packed(table(spark, sf_dir, "documents"), max_tokens=2048, with_ids=False, special=True)
     return done.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 

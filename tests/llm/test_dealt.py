@@ -283,6 +283,23 @@ def test_packing_round_trip(spark):
     assert sum(n < 2048 for n in lengths) <= 2  # the last of each task
 
 
+def test_packing_added_tokens(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, f"{end}{end}", f"x  {end}\n\n{end} 한글 ½{end}", "<|endoftext|", f"<{end}>", "it's plain", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), DOC)
+    assert t.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    got = {x.doc_id: bytes(x.ids) for x in packing.packed(df, special=True).collect()}
+    want = {i: np.array([*t.encode(x or "", add_special_tokens=False).ids, 1], "<u4").tobytes() for i, x in enumerate(texts)}
+    assert got == want
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    crc = {x.doc_id: x.ids_crc32 for x in queries.op6_packing(spark, str(tmp_path)).collect()}
+    assert crc == {i: zlib.crc32(b) for i, b in want.items()}
+    assert {x.doc_id: bytes(x.ids) for x in corpus_pipeline.STAGES[-1][1](spark, df, str(tmp_path)).collect()} == want
+
+
 def test_packing_limits():
     r = random.Random(2)
     items = [packing.Piece(i, bytes(4 * r.randrange(1, 90)), r.randrange(0, 40)) for i in range(300)]
