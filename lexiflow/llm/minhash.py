@@ -213,7 +213,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     odd = left.join(main, "key")
     apart = (F.col("p.component") != F.col("q.component")) & ((F.col("q.component") == F.col("p.main")) | (F.col("p.id") < F.col("q.id")))
     # Without a shingle outside the lead's set in common, two members share at most what the lesser shares with the lead.
-    inner = F.least(F.coalesce("p.common", "p.n"), F.coalesce("q.common", "q.n"))
+    # Where that wasn't counted for one of them, the second way doesn't see the pair, and only sizes bound it.
+    met = [F.coalesce(F.col(f"{s}.common"), F.when(F.col(f"{s}.id") == F.col(f"{s}.lead"), F.col(f"{s}.n"))) for s in "pq"]
+    inner = F.when(met[0].isNotNull() & met[1].isNotNull(), F.least(*met)).otherwise(F.least("p.n", "q.n"))
     one = odd.where("component <> main").alias("p").join(odd.alias("q"), (F.col("p.key") == F.col("q.key")) & apart & _enough(inner, percent) & _alike(percent))
     # With one, they meet there.
     own = odd.where("common is not null").drop("key").distinct()

@@ -164,6 +164,24 @@ def test_near_duplicates_equal_brute_force(spark, size):
     assert all(x.kept == (x.doc_id == x.component_id) for x in got)
 
 
+def test_near_duplicates_where_the_lead_met_one_member(spark):
+    def sketch(words):
+        data = np.frombuffer(" ".join(words).encode(), np.uint8)
+        values, ends = minhash.shingle_sets(data, np.array([0, len(data)]), 1)
+        return minhash.sketches(values, ends, minhash.BANDS * minhash.ROWS)[0]
+
+    base = [f"base{i}" for i in range(84)]
+    own = sketch(base)
+    # Words that change no coordinate: all three sets meet in every bucket, and the largest id leads each.
+    quiet = [w for w in (f"word{i}" for i in range(3000)) if (sketch([*base, w]) == own).all()]
+    assert len(quiet) >= 51
+    p, q, lead = base + quiet[:6], base + quiet[:1] + quiet[6:21], base + quiet[21:51]
+    data = [(1, " ".join(p)), (2, " ".join(q)), (3, " ".join(lead))]  # p and q: 85 of 105; p is too small to be compared with the lead
+    sets, got = sets_of(data, 1), minhash.near_duplicates(spark.createDataFrame(data, DOC), size=1).collect()
+    assert brute_components(sets) == {1: 1, 2: 1, 3: 3}
+    assert {x.doc_id: x.component_id for x in got} == brute_components(sets)
+
+
 def test_sketch_estimates_similarity():
     r = np.random.default_rng(1)
     both, mine, other = (r.integers(1, 2**63, n, dtype=np.uint64) for n in (600, 200, 200))
