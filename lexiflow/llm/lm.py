@@ -2,8 +2,10 @@
 
 Every token is predicted from the tokens on both sides of it: their embeddings pass one hidden layer to the classes of
 words and, within the token's own class, to the words. The sum of the log probabilities scores a document. All words of
-the corpus are counted for the vocabulary, and every task trains the network on all tokens of its partition from one
-common start; the networks are averaged, weighted by tokens, in a tree of small groups.
+the corpus are counted, and every task trains the network on all tokens of its partition from one common start; the
+networks are averaged, weighted by tokens, in a tree of small groups. The network knows the most frequent words and
+hashed buckets of all others; a word of a bucket has the bucket's probability times its own share of the bucket, from
+the counts of the corpus, which stay a distributed table and meet the documents' words in a join.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import materialise, text_bytes
 from .decontaminate import words_of
 
 #: Classes of words and words in each: the vocabulary has their product; its last BUCKETS entries are hashes of all other words.
@@ -27,6 +30,10 @@ CLASSES, SIZE, BUCKETS = 32, 32, 64
 SIDE, WIDTH, HIDDEN, STEP, RATE = 2, 8, 24, 4096, 0.02
 #: Words that a worker remembers beside the vocabulary; members of a group of the averaging tree.
 KNOWN, GROUP = 300_000, 64
+#: Added to every count of a word within its bucket, and one share for words that were never counted.
+SMOOTH = 0.5
+#: Parts of 1 in which log shares are added up, so that sums don't depend on their order.
+FINE = 1 << 30
 
 
 class Vocabulary(dict):
@@ -43,7 +50,9 @@ class Vocabulary(dict):
         return i
 
     def ids(self, text: bytes) -> np.ndarray:
-        words = words_of(text)
+        return self.of_words(words_of(text))
+
+    def of_words(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
 
 
@@ -156,13 +165,32 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def vocabulary(docs: DataFrame) -> list[bytes]:
-    """The most frequent words of all texts (ties by the word), as many as the network has ids for."""
-    counts = docs.select(text_bytes().alias("text")).mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def word_counts(docs: DataFrame) -> DataFrame:
+    """``(word, n)`` of all words of all texts."""
+    return docs.select(text_bytes().alias("text")).mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def vocabulary(counts: DataFrame) -> list[bytes]:
+    """The most frequent words (ties by the word), as many as the network has ids for."""
     top = counts.orderBy(F.col("n").desc(), "word").limit(CLASSES * SIZE - BUCKETS)
     return [bytes(r["word"]) for r in top.collect()]
 
 
+def bucket_shares(counts: DataFrame, words: list[bytes]) -> tuple[DataFrame, DataFrame]:
+    """``(word, share)`` of every counted word outside the list, and ``(bucket, other)`` for words that weren't counted.
+
+    Both are natural logs in parts of ``1 / FINE``: of the word's part of its bucket's tokens, smoothed. The shares of a
+    bucket, that of all uncounted words included, sum to 1.
+    """
+    log = lambda share: F.round(F.log(share) * FINE).cast("long")
+    listed = counts.sparkSession.createDataFrame([(w,) for w in words], "word binary")  # bounded by CLASSES * SIZE words
+    rare = counts.join(F.broadcast(listed), "word", "left_anti").withColumn("bucket", F.crc32("word") % BUCKETS)
+    sums = rare.groupBy("bucket").agg((F.sum("n") + SMOOTH * (F.count("*") + 1)).alias("total"))
+    every = counts.sparkSession.range(BUCKETS).withColumnRenamed("id", "bucket").join(F.broadcast(sums), "bucket", "left").withColumn("total", F.coalesce("total", F.lit(SMOOTH)))
+    shares = rare.join(F.broadcast(every), "bucket").select("word", log((F.col("n") + SMOOTH) / F.col("total")).alias("share"))
+    return shares, every.select("bucket", log(SMOOTH / F.col("total")).alias("other"))
+
+
 def _train(words, start: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, net, seen = Vocabulary(words.value), Network().load(start), 0
@@ -203,12 +231,18 @@ def train(docs: DataFrame, words: list[bytes], rounds: int = 1) -> bytes:
 
 def _score(words, blob: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, net = Vocabulary(words.value), Network().load(blob)
+        known, net, row = Vocabulary(words.value), Network().load(blob), TaskContext.get().partitionId() << 33
         for part, texts in _texts(batches):
-            ids = [known.ids(t) for t in texts]
+            split = [words_of(t) for t in texts]
+            ids = [known.of_words(w) for w in split]
+            rare = [Counter(compress(w, (i >= known.first).tolist())) for w, i in zip(split, ids, strict=True)]
+            ends = np.cumsum([0, *map(len, rare)]).astype(np.int32)
+            pairs = pa.StructArray.from_arrays([pa.array([w for r in rare for w in r], pa.binary()), pa.array([n for r in rare for n in r.values()], pa.int64())], ["word", "n"])
             context, y, doc = contexts(ids)
             logs = np.concatenate([np.zeros(0), *(net.run(context[i : i + 4 * STEP], y[i : i + 4 * STEP]).astype(float) for i in range(0, len(y), 4 * STEP))])
-            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([len(x) for x in ids], pa.int64()), pa.array(np.bincount(doc, logs, len(ids)).astype(float))], ["doc_id", "n_tokens", "pseudo_loglik"])
+            rows = pa.array(np.arange(row, row + len(ids)))
+            row += len(ids)
+            yield pa.RecordBatch.from_arrays([rows, part["doc_id"], pa.array([len(x) for x in ids], pa.int64()), pa.array(np.bincount(doc, logs, len(ids)).astype(float)), pa.ListArray.from_arrays(pa.array(ends), pairs)], ["row", "doc_id", "n_tokens", "network", "rare"])
 
     return run
 
@@ -216,13 +250,20 @@ def _score(words, blob: bytes):
 def pseudo_likelihood(docs: DataFrame, rounds: int = 1) -> DataFrame:
     """``(doc_id, n_tokens, pseudo_loglik, mean_loglik)`` of each row of ``docs`` (doc_id, text; others are ignored).
 
-    ``pseudo_loglik`` sums the natural log probability of each token given ``SIDE`` tokens on both sides; ``mean_loglik``
-    is per token, null without tokens. Tokens are lower-cased (A-Z) words. Null and empty texts have no tokens and sum 0.
+    ``pseudo_loglik`` sums the natural log probability of each token given ``SIDE`` tokens on both sides: by the network
+    for words of the list, by the network and the word's share of its bucket for all others; ``mean_loglik`` is per
+    token, null without tokens. Tokens are lower-cased (A-Z) words. Null and empty texts have no tokens and sum 0.
     Repeated rows score alike. An empty table gives no rows.
     """
-    words = vocabulary(docs)
+    counts = materialise(word_counts(docs))
+    words = vocabulary(counts)
     blob = train(docs, words, rounds)
     held = docs.sparkSession.sparkContext.broadcast(words)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
-    done = rows.mapInArrow(_score(held, blob), "doc_id long, n_tokens long, pseudo_loglik double")
+    scored = materialise(rows.mapInArrow(_score(held, blob), "row long, doc_id long, n_tokens long, network double, rare array<struct<word: binary, n: long>>"))
+    shares, others = bucket_shares(counts, words)
+    met = scored.select("row", F.explode("rare").alias("x")).select("row", "x.word", "x.n").join(shares, "word", "left")
+    met = met.withColumn("bucket", F.crc32("word") % BUCKETS).join(F.broadcast(others), "bucket")
+    added = met.groupBy("row").agg(F.sum(F.col("n") * F.coalesce("share", "other")).alias("added"))
+    done = scored.drop("rare").join(added, "row", "left").withColumn("pseudo_loglik", F.col("network") + F.coalesce(F.col("added") / FINE, F.lit(0.0))).select("doc_id", "n_tokens", "pseudo_loglik")
     return done.withColumn("mean_loglik", F.when(F.col("n_tokens") > 0, F.col("pseudo_loglik") / F.col("n_tokens")))

@@ -97,6 +97,30 @@ def test_lm_learns_context(spark):
     assert (got[101].n_tokens, got[101].pseudo_loglik, got[101].mean_loglik) == (0, 0.0, None)
 
 
+def test_lm_tells_words_of_a_bucket_apart(spark):
+    room = lm.CLASSES * lm.SIZE - lm.BUCKETS
+    listed = [f"w{i}" for i in range(room)]
+    bucket = zlib.crc32(b"usual") % lm.BUCKETS
+    rare = [w for w in (f"rare{i}" for i in range(9000)) if zlib.crc32(w.encode()) % lm.BUCKETS == bucket][:40]
+    data = [(i, " ".join(listed)) for i in range(30)] + [(100, "usual " * 20), *((200 + i, w) for i, w in enumerate(rare)), (300, "usual"), (301, rare[0]), (301, rare[0] + " w1"), (302, None)]
+    df = spark.createDataFrame(data, DOC)
+    counts = lm.word_counts(df)
+    words = lm.vocabulary(counts)
+    assert sorted(words) == sorted(w.encode() for w in listed)
+    shares, others = lm.bucket_shares(counts, words)
+    got = {bytes(x.word).decode(): x.share / lm.FINE for x in shares.collect()}
+    n = {"usual": 21, **dict.fromkeys(rare, 1), rare[0]: 3}
+    total = sum(n.values()) + lm.SMOOTH * (len(n) + 1)
+    assert got == pytest.approx({w: np.log((k + lm.SMOOTH) / total) for w, k in n.items()})
+    other = {x.bucket: x.other / lm.FINE for x in others.collect()}
+    assert len(other) == lm.BUCKETS and sum(np.exp([*got.values(), other[bucket]])) == pytest.approx(1)
+    found = sorted((x.doc_id, x.n_tokens, x.pseudo_loglik) for x in lm.pseudo_likelihood(df).collect())
+    one = {(i, k): s for i, k, s in found}
+    # The network sees the same bucket without neighbours: only the shares differ.
+    assert one[300, 1] - one[301, 1] == pytest.approx(got["usual"] - got[rare[0]], abs=1e-5)
+    assert one[201, 1] == one[239, 1] and len(found) == len(data) and one[302, 0] == 0
+
+
 def test_lm_probabilities_sum_to_one():
     net = lm.Network()
     context = np.tile(np.array([[1, 2, 3, 4]], np.int32), (lm.PAD, 1))
