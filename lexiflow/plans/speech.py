@@ -113,6 +113,11 @@ def script_ratios(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.script_ratio("text", "[A-Za-z]").alias("latin"), text.norm(F.substring("text", 1, 20)).alias("head"))
 
 
+@query()
+def script_ratios_whole(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.script_ratio("text", "[A-Za-z]").alias("latin"), text.norm("text").alias("norm"))
+
+
 @query("SELECT doc_id, sha1(lower(source) || '|' || trim(text, ' \n\t'))[1:16] AS item FROM documents")
 def stable_item_ids(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.item_id("source", "text").alias("item"))
@@ -152,7 +157,9 @@ def sentence_counts(spark, sf_dir):
 
 @query()
 def merged_transcripts(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.substring("text", 1, 60).alias("a"), F.substring("text", 40, 60).alias("b"))
+    # Halves of the whole text that share 20 characters around its middle.
+    c = table(spark, sf_dir, "conversations").withColumn("half", F.floor(F.length("text") / 2).cast("int"))
+    c = c.select("conv_id", "turn", F.expr("substring(text, 1, half + 10)").alias("a"), F.expr("substring(text, greatest(1, half - 9))").alias("b"))
     return c.select("conv_id", "turn", streams.merged("a", "b").alias("merged"), streams.highlighted("a", "b").alias("marked"))
 
 
