@@ -26,6 +26,15 @@ def char_error_rate(spark, sf_dir):
     return both.select("p_partkey", F.round(align.cer(F.col("a"), F.col("b")), 6).alias("cer"))
 
 
+@query("""WITH p AS (SELECT p_partkey, p_name AS a, coalesce(lag(p_name) OVER (ORDER BY p_partkey), '') AS b FROM part)
+  SELECT p_partkey, round(CASE WHEN length(b) = 0 THEN 1.0 ELSE levenshtein(a, b) / length(b) END, 6)::DOUBLE AS cer FROM p""")
+def char_error_rate_whole(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("a"))
+    before = p.select((F.col("p_partkey") + 1).alias("p_partkey"), F.col("a").alias("b"))
+    both = p.join(before, "p_partkey", "left").withColumn("b", F.coalesce("b", F.lit("")))
+    return both.select("p_partkey", F.round(align.cer(F.col("a"), F.col("b")), 6).alias("cer"))
+
+
 @query("""SELECT l_orderkey, round(pow(avg(pow(greatest(1e-9, least(1.0, l_discount * 10)), 0.5)), 2), 6) AS power, round(sum(l_discount * sqrt(l_quantity)) / sum(sqrt(l_quantity)), 6) AS weighted,
   round(avg(CASE WHEN l_discount < 0.05 THEN 1.0 ELSE 0.0 END), 6) AS missing FROM lineitem GROUP BY l_orderkey""")
 def pronunciation_scores(spark, sf_dir):
@@ -171,6 +180,13 @@ def boundary_snaps(spark, sf_dir):
     return intervals.snap_to_minima(e.select("event_id", "user_id", "t"), frames, ["user_id"], "event_id", "t", 3600.0).agg(F.count("snapped").alias("n"))
 
 
+@query()
+def boundary_snaps_whole(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("t", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6))
+    frames = e.select("user_id", F.col("t").alias("frame_t"), F.col("value").alias("rms"))
+    return intervals.snap_to_minima(e.select("event_id", "user_id", "t"), frames, ["user_id"], "event_id", "t", 3600.0).select("event_id", "snapped")
+
+
 @query("""WITH w AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, event_type FROM events)
   SELECT event_id, CASE WHEN first IS NULL OR i < first THEN 'onset' WHEN i > last THEN 'coda' ELSE 'nucleus' END AS position
   FROM (SELECT *, min(CASE WHEN event_type = 'purchase' THEN i END) OVER (PARTITION BY user_id) AS first, max(CASE WHEN event_type = 'purchase' THEN i END) OVER (PARTITION BY user_id) AS last FROM w)""")
@@ -186,3 +202,10 @@ def described(spark, sf_dir):
     rows = spark.createDataFrame([(1, {"ko": "ko text", "en": "x"}), (2, {"vi": "vi text", "ko": " "}), (3, {"en": "en text"})], "p_partkey long, desc map<string,string>")
     out = records.description(table(spark, sf_dir, "part").where("p_partkey <= 4").select("p_partkey"), rows, "p_partkey", "ko")
     return out.select("p_partkey", F.coalesce("text", F.lit("none")).alias("text"))
+
+
+@query("SELECT p_partkey, coalesce(d.text, 'none') AS text FROM part LEFT JOIN (VALUES (1, 'ko text'), (2, 'vi text'), (3, 'en text')) d(p_partkey, text) USING (p_partkey)")
+def described_whole(spark, sf_dir):
+    rows = spark.createDataFrame([(1, {"ko": "ko text", "en": "x"}), (2, {"vi": "vi text", "ko": " "}), (3, {"en": "en text"})], "p_partkey long, desc map<string,string>")
+    out = records.description(table(spark, sf_dir, "part").select("p_partkey"), rows, "p_partkey", "ko")
+    return out.select("p_partkey", F.coalesce("text", F.lit("none")).alias("text"))
