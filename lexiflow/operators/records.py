@@ -105,9 +105,27 @@ def dense_ids(rows: DataFrame, order: list[Column]) -> DataFrame:
     return held.join(F.broadcast(before.drop("_c")), "_part").withColumn("id", F.col("_n") - F.col("_low") + F.col("_before")).drop("_part", "_n", "_low", "_before")
 
 
+def exact_quantile(rows: DataFrame, value: str, q: float) -> DataFrame:
+    """One row ``threshold``: the quantile of the numbers with linear interpolation, from range partitions of distinct values and their counts."""
+    from ..sources.tables import shared_table  # values must keep their partitions between the two uses
+
+    counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    held = shared_table(counts.repartitionByRange("v").withColumn("part", F.spark_partition_id()))
+    sizes = held.groupBy("part").agg(F.sum("n").alias("c"))
+    before = F.coalesce(F.sum("c").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    at = F.lit(q) * (F.sum("c").over(W.partitionBy()) - 1)
+    sizes = sizes.select("part", "c", before.alias("before"), at.alias("at"))  # a row for each partition
+    low, high = F.floor("at"), F.ceil("at")
+    sizes = sizes.where((F.col("before") <= high) & (F.col("before") + F.col("c") > low)).drop("c")  # at most two partitions
+    run = held.join(F.broadcast(sizes), "part").withColumn("end", F.col("before") + F.sum("n").over(W.partitionBy("part").orderBy("v").rowsBetween(W.unboundedPreceding, 0)))
+    here = lambda k: F.max(F.when((k < F.col("end")) & (k >= F.col("end") - F.col("n")), F.col("v")))
+    found = run.agg(here(low).alias("lo"), here(high).alias("hi"), F.max("at").alias("at"))
+    return found.select(F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise((high - F.col("at")) * F.col("lo") + (F.col("at") - low) * F.col("hi")).alias("threshold"))
+
+
 def quantile_classes(rows: DataFrame, value: str, q: float, low: int = 2, high: int = 3) -> DataFrame:
     """Two classes by an exact quantile with linear interpolation."""
-    cut = rows.agg(F.percentile(value, F.lit(q)).alias("threshold"))
+    cut = exact_quantile(rows, value, q)
     return rows.join(F.broadcast(cut)).withColumn("score", F.when(F.col(value) >= F.col("threshold"), high).otherwise(low))  # one row
 
 

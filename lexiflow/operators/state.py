@@ -1,16 +1,20 @@
 """State machines over ordered rows whose next step depends on what they put out.
 
-Each runs once for every key (an utterance or stream, bounded by its length) on rows sorted in the group.
+Each runs once for every key on its rows in order: those over utterances, bounded by their length, on lists
+(``per_key``); those over streams of any length as generators that hold their own state only (``per_key_streamed``).
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
 from math import sqrt
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def per_key(rows: DataFrame, key: str, order: list[str], step: Callable[[list[tuple]], list[tuple]], columns: list[str], schema: str) -> DataFrame:
@@ -27,50 +31,104 @@ def per_key(rows: DataFrame, key: str, order: list[str], step: Callable[[list[tu
     return rows.select(key, *dict.fromkeys([*order, *columns])).groupBy(key).applyInPandas(run, f"{key} {kind}, {schema}")
 
 
-def hysteresis(frames: list[tuple], frame_ms: int = 10, start_ms: int = 30, end_ms: int = 100, pad_ms: int = 0, least_ms: int = 0) -> list[tuple]:
+def per_key_streamed(rows: DataFrame, key: str, order: list[str], step: Callable[[Iterator[tuple]], Iterator[tuple]], columns: list[str], schema: str) -> DataFrame:
+    """As ``per_key``, but ``step`` reads and gives the rows of a key one by one: a task holds a batch, whatever a key's size."""
+    kind = rows.schema[key].dataType.simpleString()
+    fields = f"{key} {kind}, {schema}"
+    names = [x.split()[0] for x in fields.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds: list[pa.DataType] = []
+
+        def flat() -> Iterator[tuple]:
+            for batch in batches:
+                if not kinds:
+                    kinds.extend([batch[key].type] + [pa.int64()] * (len(names) - 1))
+                yield from zip(*(batch[c].to_pylist() for c in (key, *columns)), strict=True)
+
+        def flush() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+            out.clear()
+            return made
+
+        out: list[tuple] = []
+        for k, group in groupby(flat(), key=lambda r: r[0]):
+            for made in step(r[1:] for r in group):
+                out.append((k, *made))
+                if len(out) == 4096:
+                    yield flush()
+        if out:
+            yield flush()
+
+    if any(x.split()[1] != "long" for x in schema.split(", ")):
+        raise ValueError("results are longs")
+    sorted_ = rows.select(key, *dict.fromkeys([*order, *columns])).repartition(key).sortWithinPartitions(key, *(F.col(o).asc_nulls_last() for o in order))
+    return sorted_.select(key, *columns).mapInArrow(run, fields)
+
+
+def hysteresis(frames: Iterable[tuple], frame_ms: int = 10, start_ms: int = 30, end_ms: int = 100, pad_ms: int = 0, least_ms: int = 0) -> list[tuple]:
+    return list(hysteresis_steps(frames, frame_ms, start_ms, end_ms, pad_ms, least_ms))
+
+
+def hysteresis_steps(frames: Iterable[tuple], frame_ms: int = 10, start_ms: int = 30, end_ms: int = 100, pad_ms: int = 0, least_ms: int = 0) -> Iterator[tuple]:
     """Speech regions (start, end) of boolean frames: open after enough voiced frames, close after enough others, both dated back."""
     need, stop = max(1, start_ms // frame_ms), max(1, end_ms // frame_ms)
-    out, open_at, run, last = [], None, 0, None
+    open_at, run, last, n = None, 0, None, 0
+
+    def span(a: int, b: int) -> Iterator[tuple]:
+        s = (max(0, a * frame_ms - pad_ms), b * frame_ms + pad_ms)
+        if s[1] - s[0] >= least_ms:
+            yield s
+
     for i, (voiced,) in enumerate(frames):
+        n = i + 1
         run, last = (run + 1 if voiced == last else 1), voiced
         if open_at is None and voiced and run >= need:
             open_at = i - run + 1
         elif open_at is not None and not voiced and run >= stop:
-            out.append((open_at, i - run + 1))
+            yield from span(open_at, i - run + 1)
             open_at = None
     if open_at is not None:
-        out.append((open_at, len(frames)))
-    spans = [(max(0, a * frame_ms - pad_ms), b * frame_ms + pad_ms) for a, b in out]
-    return [s for s in spans if s[1] - s[0] >= least_ms]
+        yield from span(open_at, n)
+
+
+def pack_to_target(intervals: Iterable[tuple], target: int, least: int, most: int, words: list[tuple] = ()) -> list[tuple]:
+    return list(pack_to_target_steps(intervals, target, least, most, words))
 
 
-def pack_to_target(intervals: list[tuple], target: int, least: int, most: int, words: list[tuple] = ()) -> list[tuple]:
+def pack_to_target_steps(intervals: Iterable[tuple], target: int, least: int, most: int, words: list[tuple] = ()) -> Iterator[tuple]:
     """Adjacent intervals (start, end, silent) joined until a target; silence closes a pack, so does leaving a word."""
-    packs, cur = [], None
     within = lambda a, b: not words or any(s <= a and b <= e for s, e in words)
-    for start, end, silent in intervals:
-        if silent:
-            packs += [cur] if cur else []
-            cur = None
-            continue
-        if cur and not within(cur[0], end):
-            packs.append(cur)
-            cur = None
-        cur = (cur[0] if cur else start, end)
-        if cur[1] - cur[0] >= target:
-            packs.append(cur)
-            cur = None
-    packs += [cur] if cur else []
-    out = []
-    for a, b in packs:
+
+    def packs() -> Iterator[tuple]:
+        cur = None
+        for start, end, silent in intervals:
+            if silent:
+                if cur:
+                    yield cur
+                cur = None
+                continue
+            if cur and not within(cur[0], end):
+                yield cur
+                cur = None
+            cur = (cur[0] if cur else start, end)
+            if cur[1] - cur[0] >= target:
+                yield cur
+                cur = None
+        if cur:
+            yield cur
+
+    none = True
+    for a, b in packs():
         if b - a < least:
             continue
         while b - a > most:
-            out.append((a, a + most))
+            yield a, a + most
+            none = False
             a += most
-        if b - a >= least or (b - a and not out):
-            out.append((a, b))
-    return out
+        if b - a >= least or (b - a and none):
+            yield a, b
+            none = False
 
 
 def splice(phones: list[tuple], least: int, most: int, is_vowel: Callable[[str], bool]) -> list[tuple]:
@@ -126,14 +184,17 @@ def count_similarity(a: str, b: str) -> float:
     return dot / sqrt(sum(n * n for n in x.values()) * sum(n * n for n in y.values())) if x and y else 0.0
 
 
-def unlike_last_kept(rows: list[tuple], threshold: float) -> list[tuple]:
+def unlike_last_kept(rows: Iterable[tuple], threshold: float) -> list[tuple]:
+    return list(unlike_last_kept_steps(rows, threshold))
+
+
+def unlike_last_kept_steps(rows: Iterable[tuple], threshold: float) -> Iterator[tuple]:
     """Rows (id, text) that aren't like the last one kept."""
-    out, last = [], None
+    last = None
     for i, text in rows:
         if last is None or count_similarity(last, text or "") < threshold:
-            out.append((i,))
+            yield (i,)
             last = text or ""
-    return out
 
 
 def merge_pairs(rows: list[tuple], pairs: dict[tuple[str, str], str]) -> list[tuple]:

@@ -80,7 +80,7 @@ def syllable_chunk_scores(spark, sf_dir):
 @query()
 def near_dup_prev_kept(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("source", "doc_id", "text")
-    return state.per_key(d, "source", ["doc_id"], partial(state.unlike_last_kept, threshold=0.9), ["doc_id", "text"], "kept long")
+    return state.per_key_streamed(d, "source", ["doc_id"], partial(state.unlike_last_kept_steps, threshold=0.9), ["doc_id", "text"], "kept long")
 
 
 def _frames(spark, sf_dir):
@@ -89,14 +89,14 @@ def _frames(spark, sf_dir):
 
 @query()
 def vad_hysteresis(spark, sf_dir):
-    return state.per_key(_frames(spark, sf_dir), "user_id", ["ts", "event_id"], partial(state.hysteresis, frame_ms=10, start_ms=20, end_ms=30), ["voiced"], "start_ms long, end_ms long")
+    return state.per_key_streamed(_frames(spark, sf_dir), "user_id", ["ts", "event_id"], partial(state.hysteresis_steps, frame_ms=10, start_ms=20, end_ms=30), ["voiced"], "start_ms long, end_ms long")
 
 
 @query()
 def pack_intervals(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("long").alias("s"), (F.col("event_type") == "error").alias("silent"))
     e = e.withColumn("e", F.col("s") + 60_000)
-    return state.per_key(e, "user_id", ["ts", "event_id"], partial(state.pack_to_target, target=3_600_000, least=60_000, most=7_200_000), ["s", "e", "silent"], "start long, end long")
+    return state.per_key_streamed(e, "user_id", ["ts", "event_id"], partial(state.pack_to_target_steps, target=3_600_000, least=60_000, most=7_200_000), ["s", "e", "silent"], "start long, end long")
 
 
 def _vowel(x: str) -> bool:
