@@ -96,12 +96,12 @@ def _places(words: Column, phrase: list[str]) -> Column:
     return F.when(F.size(words) >= len(phrase), F.filter(starts, here)).otherwise(F.array().cast("array<int>"))
 
 
-def license_scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+def license_scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, lines: int = 1) -> DataFrame:
     """``(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score)`` of each row of ``docs`` (doc_id, text).
 
     ``n_base`` counts the places where a phrase's words stand consecutively in the words of the whole text;
     ``first_word`` and ``last_word`` are the smallest and largest start (null without any). ``labels`` adds those of
-    templates that a line of the text contains to ``threshold``; ``score`` is 1 with a phrase, else the best
+    templates that a line of the text, or up to ``lines`` neighbouring lines together, contain to ``threshold``; ``score`` is 1 with a phrase, else the best
     containment found, else 0. Null and empty texts have no words. Repeated rows give a row each; a doc_id's lines count
     for all its rows. An empty table gives no rows.
     """
@@ -115,8 +115,10 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] | None = None, templat
     per = {p: F.when(F.col("low").contains(ws[0]) & F.col("low").contains(ws[-1]) & F.arrays_overlap("words", F.array(F.lit(ws[-1]))), _places(F.col("words"), ws)).otherwise(none) for p, ws in split.items()}
     base = words.select("doc_id", F.size("words").cast("long").alias("n_words"), F.array(*(F.struct(F.lit(phrases[p]).alias("label"), per[p].alias("at")) for p in split)).alias("hits"))
     base = base.withColumn("hits", F.filter("hits", lambda h: F.size(h["at"]) > 0)).withColumn("places", F.flatten("hits.at"))
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("block", "line"))
-    blocks = lines.select("doc_id", "block", _words(F.col("line")).alias("words"))
+    parts = docs.select("doc_id", F.split("text", "\n").alias("parts"))
+    if lines > 1:  # a block for each line and those after it: all that fewer of them contain, it contains too
+        parts = parts.withColumn("parts", F.transform("parts", lambda line, i: F.array_join(F.slice("parts", i + 1, lines), "\n")))
+    blocks = parts.select("doc_id", F.posexplode("parts").alias("block", "line")).select("doc_id", "block", _words(F.col("line")).alias("words"))
     near = similar_blocks(blocks, templates, threshold)
     near = near.groupBy("doc_id").agg(F.collect_set("label").alias("near"), F.max("containment").alias("best"))
     out = base.join(near, "doc_id", "left")

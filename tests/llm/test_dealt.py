@@ -62,6 +62,16 @@ def test_license_phrases_and_templates(spark):
     assert "lgpl-notice" in got[4].labels and got[4].base_labels == ""
 
 
+def test_license_wrapped_lines(spark, tmp_path):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files"
+    bsd = "x\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that"
+    far = "Permission is hereby granted, free of charge, to any person\n" + "\n" * 4 + "obtaining a copy of this software"
+    df = spark.createDataFrame([(1, mit), (2, bsd), (3, far), (4, mit.replace("\n", " ")), (5, None)], DOC)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.labels, r.score) for r in queries.op1_license_scans_wrapped(spark, str(tmp_path)).collect()}
+    assert got == {1: ("mit-text", 1.0), 2: ("bsd-notice", 1.0), 3: ("", 0.0), 4: ("mit-text", 1.0), 5: ("", 0.0)}
+
+
 def test_license_join_equals_brute_force(spark):
     r = random.Random(5)
     templates = {f"t{i}": " ".join(r.sample(WORDS, r.randrange(2, 9))) for i in range(12)}
