@@ -52,6 +52,15 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def join_counted(rows: DataFrame, values: DataFrame, key: list[str], total: int) -> DataFrame:
+    """``rows`` joined with ``values``, which has a row for each key with the number ``c`` of its rows, of ``total`` in all.
+
+    Keys with more than a thousandth of all rows, fewer than a thousand keys, are broadcast; so no task gets all rows of one.
+    """
+    hot = F.broadcast(values.where(F.col("c") * 1000 > total))
+    return rows.join(hot, key).unionByName(rows.join(hot, key, "left_anti").join(values.where(F.col("c") * 1000 <= total), key))
+
+
 def text_bytes(column: str = "text") -> Column:
     """UTF-8 bytes of a text column, null as empty."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")

@@ -6,11 +6,11 @@ coordinate fills. Two sets agree in a coordinate with the probability of their J
 concentration of independent draws, in a handful of rounds instead of one for each coordinate.
 
 Documents whose shingle sets are equal form a class, represented by its smallest doc_id. Representatives meet in band
-buckets. Each bucket first compares its members with one of them, the one that meets most others; components of the
-links so verified then tell which buckets still hold members of different components. Two of these share what both share
-with the bucket's partner, and shingles that it lacks. The first part is bounded by what is known; pairs for which it
-could be enough are compared, and so are pairs that meet in a shingle of the second kind. All others are ruled out without
-being formed. No bucket is capped.
+buckets. A bucket first compares its members with one of them, the one that meets most others. Buckets that still hold
+members of different components go through rounds of stars: those outside the bucket's largest component are compared
+with a member of it and with one of their own, other ones in every bucket and round, so that a member with many links is
+soon joined through one of them. What stays apart is compared by an exact set-similarity join: two sets similar enough
+share one of their rarest shingles at places that leave room for the rest of the overlap. No bucket is capped.
 """
 
 from __future__ import annotations
@@ -22,13 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_chunks, discard, materialise, mix, text_bytes
+from .common import byte_chunks, discard, join_counted, materialise, mix, text_bytes
 from .components import components
 
 #: Bands and coordinates in each: two sets of similarity 0.8 share no band with probability (1 - 0.8**5)**32 = 3e-6.
 BANDS, ROWS = 32, 5
-#: Of the sketch's first 128 one-bit coordinates, a pair of similarity 0.8 differs in 12.8 on average (deviation 3.4); more than this many is 6 deviations off.
+#: Of the sketch's first 128 one-bit coordinates, a pair of similarity 0.8 differs in 12.8 on average (deviation 3.4); more
+#: than this many is 6 deviations off, and such pairs are left out of the stars. The join after them doesn't look at it.
 MAX_BITS = 34
+#: Rounds of stars go on while they join at least this share of the components left, and for at most so many.
+WORTHWHILE, MAX_STARS = 0.1, 6
 
 _BYTE = mix(np.arange(256, dtype=np.uint64), 77)
 _SPACE = np.zeros(256, bool)
@@ -163,15 +166,59 @@ def _alike(percent: int):
     return (100 * F.least("p.n", "q.n") >= percent * F.greatest("p.n", "q.n")) & (bits <= MAX_BITS)
 
 
-def _enough(common, percent: int):
-    """Whether sides p and q can be similar enough with at most ``common`` shingles in both."""
-    return 100 * common >= percent * (F.col("p.n") + F.col("q.n") - common)
-
-
-def _mixed(rows: DataFrame) -> DataFrame:
-    """Rows of keys that hold more than one component."""
-    keys = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    return rows.join(keys, "key", "left_semi")
+def _mixed(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """Members (with their ``component`` and the bucket's largest one, ``main``) of the buckets that hold several components."""
+    rows = shared.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    parts = rows.groupBy("key", "component").count().groupBy("key").agg(F.max(F.struct("count", "component")).alias("m"), F.count("*").alias("parts"))
+    return rows.join(parts.where("parts > 1").select("key", F.col("m.component").alias("main")), "key")
+
+
+def _stars(mixed: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of a member outside its bucket's largest component and one of two leads: a member of that component, and one outside."""
+    pick = F.min(F.struct(F.xxhash64(F.lit(turn), "key", "id").alias("h"), "id", "component", "n", "b1", "b2"))
+    leads = mixed.groupBy("key", (F.col("component") == F.col("main")).alias("inside")).agg(pick.alias("q")).select("key", "q")
+    odd = mixed.where("component <> main").select("key", F.struct("id", "component", "n", "b1", "b2").alias("p"))
+    return odd.join(leads, "key").where((F.col("p.component") != F.col("q.component")) & _alike(percent)).select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct()
+
+
+def _joined(found: DataFrame, links: DataFrame) -> tuple[DataFrame, int]:
+    """``found`` with the components that ``links`` connect as one, and how many went into others."""
+    part = found.select(F.col("id"), F.col("component"))
+    ends = links
+    for side in ("a", "b"):
+        ends = ends.join(part.select(F.col("id").alias(side), F.col("component").alias(f"{side}_in")), side, "left").withColumn(side, F.coalesce(f"{side}_in", side)).drop(f"{side}_in")
+    more = components(ends.distinct())
+    merged = more.count()
+    if not merged:
+        discard(more)
+        return found, 0
+    into = more.select(F.col("id").alias("component"), F.col("component").alias("into"))
+    moved = found.join(into, "component", "left").select("id", F.coalesce("into", "component").alias("component"))
+    now = materialise(moved.union(more.join(found, "id", "left_anti").select("id", "component")))
+    discard(more, found)
+    return now, merged
+
+
+def _close(rest: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``rest`` (id, component, shingles) in different components that sizes and rare shingles leave possible.
+
+    Shingles are ordered by their number of sets, rarest first. Sets of sizes n and m that are similar enough have an
+    overlap of at least percent / (100 + percent) * (n + m), so the first shingle they share stands where so many are
+    still to come in both, which is within the first ``n - ceil(percent * n / 100) + 1``. Shingles of one set meet nothing
+    and need no row, only their places.
+    """
+    one = rest.select("id", F.explode("shingles").alias("shingle"))
+    often = one.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1")
+    lists = one.join(often, "shingle").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("c", "shingle"))).alias("often"))
+    sized = rest.select("id", "component", F.size("shingles").alias("n")).join(lists, "id")
+    need = F.ceil(percent * F.col("n") / 100).cast("int")
+    first = sized.withColumn("k", F.size("often") - need + 1).where("k > 0").select("id", "component", "n", (F.col("n") - F.size("often")).alias("alone"), F.posexplode(F.slice("often", 1, F.col("k"))).alias("place", "x"))
+    first = materialise(first.select("id", "component", F.col("n").cast("long").alias("n"), (F.col("n") - F.col("alone") - F.col("place")).cast("long").alias("left"), F.col("x.shingle").alias("shingle")))  # left: it and those after it
+    fits = (100 * F.least("p.n", "q.n") >= percent * F.greatest("p.n", "q.n")) & ((100 + percent) * F.least("p.left", "q.left") >= percent * (F.col("p.n") + F.col("q.n")))
+    met = first.alias("p").join(first.alias("q"), (F.col("p.shingle") == F.col("q.shingle")) & (F.col("p.id") < F.col("q.id")) & (F.col("p.component") != F.col("q.component")) & fits)
+    pairs = materialise(met.select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct())
+    discard(first)
+    return pairs
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -185,8 +232,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     sketched = materialise(
         docs.select("doc_id", text_bytes().alias("text")).mapInArrow(_sketch_batches(size, bands, rows), "doc_id long, n_shingles long, s1 long, s2 long, b1 long, b2 long, bands array<long>")
     )
-    classes = sketched.where("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    member = sketched.select("doc_id", "n_shingles", "s1", "s2").join(classes, ["s1", "s2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
+    key = ["s1", "s2", "n_shingles"]
+    classes = materialise(sketched.where("n_shingles > 0").groupBy(key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")))
 
     one = sketched.join(classes.select(F.col("rep").alias("doc_id"), "s1", "s2"), ["doc_id", "s1", "s2"], "left_semi")
     rows_ = one.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "b1", "b2")
@@ -200,35 +247,25 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     score = shared.groupBy("id").agg(F.sum("c").alias("score"))
     leads = shared.join(score, "id").groupBy("key").agg(F.max(F.struct("score", "id", "n", "b1", "b2")).alias("q"))
     star = shared.select("key", F.struct("id", "n", "b1", "b2").alias("p")).join(leads, "key").where((F.col("p.id") != F.col("q.id")) & _alike(percent))
-    star = materialise(_compared(star.select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct(), sets))
-    links = _linked(star, percent)
-    found = components(links)
-
-    # What is left: members of a bucket that the links so far leave in different components.
-    labelled = shared.select("key", "id", "n", "b1", "b2").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = _mixed(labelled).join(leads.select("key", F.col("q.id").alias("lead")), "key")
-    known = star.select(F.col("a").alias("id"), F.col("b").alias("lead"), "common")
-    left = materialise(mixed.join(known, ["id", "lead"], "left"))  # common: shared with the lead; null where that wasn't compared
-    main = left.groupBy("key", "component").count().groupBy("key").agg(F.max(F.struct("count", "component")).alias("m")).select("key", F.col("m.component").alias("main"))
-    odd = left.join(main, "key")
-    apart = (F.col("p.component") != F.col("q.component")) & ((F.col("q.component") == F.col("p.main")) | (F.col("p.id") < F.col("q.id")))
-    # Without a shingle outside the lead's set in common, two members share at most what the lesser shares with the lead.
-    # Where that wasn't counted for one of them, the second way doesn't see the pair, and only sizes bound it.
-    met = [F.coalesce(F.col(f"{s}.common"), F.when(F.col(f"{s}.id") == F.col(f"{s}.lead"), F.col(f"{s}.n"))) for s in "pq"]
-    inner = F.when(met[0].isNotNull() & met[1].isNotNull(), F.least(*met)).otherwise(F.least("p.n", "q.n"))
-    one = odd.where("component <> main").alias("p").join(odd.alias("q"), (F.col("p.key") == F.col("q.key")) & apart & _enough(inner, percent) & _alike(percent))
-    # With one, they meet there.
-    own = odd.where("common is not null").drop("key").distinct()
-    added = _with_sets(own.select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct(), sets).select(F.col("a").alias("id"), F.col("b").alias("lead"), F.explode(F.array_except("x", "y")).alias("shingle"))
-    added = own.join(added, ["id", "lead"])
-    outer = F.least("p.common", "q.common") + F.least(F.col("p.n") - F.col("p.common"), F.col("q.n") - F.col("q.common"))
-    meet = (F.col("p.lead") == F.col("q.lead")) & (F.col("p.shingle") == F.col("q.shingle"))
-    two = added.where("component <> main").alias("p").join(added.alias("q"), meet & (F.col("p.main") == F.col("q.main")) & apart & _enough(outer, percent) & _alike(percent))
-    pair = [F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")]
-    rest = one.select(*pair).union(two.select(*pair)).distinct()
-    more = materialise(_linked(_compared(rest, sets), percent))
-    if not more.isEmpty():
-        found = components(links.union(more))
-    discard(shared, sets, star, left, more)
-    out = member.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    star = star.select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct()
+    found = components(_linked(_compared(star, sets), percent))
+
+    for turn in range(MAX_STARS):
+        mixed = materialise(_mixed(shared, found))
+        links = materialise(_linked(_compared(_stars(mixed, turn, percent), sets), percent))
+        left = mixed.where("component <> main").agg(F.count_distinct("component")).first()[0]
+        found, merged = _joined(found, links)
+        discard(mixed, links)
+        if merged <= WORTHWHILE * left:
+            break
+
+    apart = _mixed(shared, found).select(F.col("id").alias("doc_id"), "component").distinct()
+    rest = materialise(apart.join(sets, "doc_id").withColumnRenamed("doc_id", "id"))
+    pairs = _close(rest, percent)
+    found, _ = _joined(found, _linked(_compared(pairs, sets), percent))
+    discard(shared, sets, rest, pairs)
+    named = classes.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select(*key, "c", F.coalesce("component", "rep").alias("component_id"))
+    rows_ = sketched.select("doc_id", *key)
+    full = join_counted(rows_.where("n_shingles > 0"), named, key, rows_.count()).select("doc_id", "n_shingles", "component_id")
+    out = full.union(rows_.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
