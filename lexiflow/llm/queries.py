@@ -9,7 +9,7 @@ from .chat import chat_format
 from .common import table
 from .crf import fit_quality, quality_scores
 from .decontaminate import contamination, judged
-from .licenses import PHRASES, TEMPLATES, THRESHOLD, license_scan
+from .licenses import BLOCK, PHRASES, THRESHOLD, license_scan, template_sets
 from .lm import pseudo_likelihood
 from .minhash import near_duplicates
 from .packing import packed
@@ -102,7 +102,7 @@ QUERIES = {
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = f"regexp_extract_all({LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
-TEMPLATE_ROWS = ", ".join(f"('{label}', {sorted(set(text.replace('.', ' ').split()))})" for label, text in TEMPLATES.items())
+TEMPLATE_ROWS = ", ".join(f"({i}, '{label}', {words})" for i, (label, words) in enumerate(template_sets()))
 PHRASE_ROWS = ", ".join(f"('{label}', {phrase.split()})" for phrase, label in PHRASES.items())
 
 ORACLE_SQL: dict[str, str] = {
@@ -132,24 +132,24 @@ SELECT page_id, (page_id // 4096)::BIGINT AS file_id,
 FROM one
 """,
     "op1_license_scans": f"""
-WITH t(label, words) AS (VALUES {TEMPLATE_ROWS}),
+WITH t(number, label, words) AS (VALUES {TEMPLATE_ROWS}),
 p(label, phrase) AS (VALUES {PHRASE_ROWS}),
-d AS (SELECT doc_id, {WORDS} AS w, text FROM documents),
+d AS (SELECT row_number() OVER () AS row, doc_id, {WORDS} AS w FROM documents),
 hit AS (
-  SELECT doc_id, label, s - 1 AS place
-  FROM (SELECT doc_id, label, phrase, w, unnest(generate_series(1, len(w) - len(phrase) + 1)) AS s FROM d, p WHERE len(w) >= len(phrase))
+  SELECT row, label, s - 1 AS place
+  FROM (SELECT row, label, phrase, w, unnest(generate_series(1, len(w) - len(phrase) + 1)) AS s FROM d, p WHERE len(w) >= len(phrase))
   WHERE w[s : s + len(phrase) - 1] = phrase),
-base AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word FROM hit GROUP BY doc_id),
-lines AS (SELECT doc_id, {WORDS} AS w FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS text FROM d)),
+base AS (SELECT row, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word FROM hit GROUP BY row),
+blocks AS (SELECT row, w[i * {BLOCK // 2} + 1 : i * {BLOCK // 2} + {BLOCK}] AS w FROM (SELECT row, w, unnest(generate_series(0, (len(w) - 1) // {BLOCK // 2})) AS i FROM d WHERE len(w) > 0)),
 near AS (
-  SELECT doc_id, label, max(len(list_intersect(words, w)) / len(words)) AS c FROM lines, t
-  WHERE len(list_intersect(words, w)) >= ceil({THRESHOLD} * len(words) - 1e-9) GROUP BY doc_id, label),
-best AS (SELECT doc_id, max(c) AS c FROM near GROUP BY doc_id),
-own AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS x FROM (SELECT DISTINCT doc_id, label FROM hit) GROUP BY doc_id),
-every AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS x FROM (SELECT doc_id, label FROM hit UNION SELECT doc_id, label FROM near) GROUP BY doc_id)
+  SELECT row, label, max(len(list_intersect(words, w)) / len(words)) AS c FROM blocks, t
+  WHERE len(list_intersect(words, w)) >= ceil({THRESHOLD} * len(words) - 1e-9) GROUP BY row, label),
+best AS (SELECT row, max(c) AS c FROM near GROUP BY row),
+own AS (SELECT row, string_agg(label, ',' ORDER BY label) AS x FROM (SELECT DISTINCT row, label FROM hit) GROUP BY row),
+every AS (SELECT row, string_agg(label, ',' ORDER BY label) AS x FROM (SELECT row, label FROM hit UNION SELECT row, label FROM near) GROUP BY row)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
   coalesce(own.x, '') AS base_labels, coalesce(every.x, '') AS labels, CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(best.c, 0.0) END::DOUBLE AS score
-FROM d LEFT JOIN base USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN own USING (doc_id) LEFT JOIN every USING (doc_id)
+FROM d LEFT JOIN base USING (row) LEFT JOIN best USING (row) LEFT JOIN own USING (row) LEFT JOIN every USING (row)
 """,
     "op9_benchmark_decontamination": f"""
 WITH i AS (SELECT item_id, {WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),

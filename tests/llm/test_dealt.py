@@ -72,6 +72,25 @@ def test_license_wrapped_lines(spark, tmp_path):
     assert got == {1: ("mit-text", 1.0), 2: ("bsd-notice", 1.0), 3: ("", 0.0), 4: ("mit-text", 1.0), 5: ("", 0.0)}
 
 
+def test_license_wrapped_anywhere(spark):
+    mit = licenses.TEMPLATES["mit-text"][1]
+    wrapped = "\n".join(mit.split()[i] for i in range(len(mit.split())))
+    filler = " ".join(f"w{i}" for i in range(700))
+    cut = " ".join(mit.split()[:40])  # too little of the long template, and all of the short one
+    data = [(1, wrapped), (2, f"{filler} {mit} {filler}"), (2, "nothing here"), (3, cut), (None, "Released under the\n\nMIT\nlicense"), (4, f"released {filler} under the mit license")]
+    got = [(x.doc_id, x.n_words, x.labels, round(x.score, 3)) for x in licenses.license_scan(spark.createDataFrame(data, DOC)).collect()]
+    assert sorted((g for g in got if g[0]), key=str) == [(1, 67, "mit-text", 1.0), (2, 2, "", 0.0), (2, 1467, "mit-text", 1.0), (3, 40, "mit-text", 1.0), (4, 705, "mit", 1.0)]
+    assert [g[1:] for g in got if g[0] is None] == [(5, "mit,mit-notice", 1.0)]
+
+
+def test_license_windows_hold_every_half_block(spark):
+    words = [str(i) for i in range(1000)]
+    got = spark.createDataFrame([(words,), (words[:1],), ([],)], "w array<string>").select(licenses.windows(F.col("w"), 100).alias("b")).collect()
+    blocks = {tuple(x) for x in got[0].b}
+    assert all(any(set(words[i : i + 50]) <= set(b) for b in blocks) for i in range(951)) and max(map(len, blocks)) == 100
+    assert [x.b for x in got[1:]] == [[["0"]], [[]]]
+
+
 def test_license_join_equals_brute_force(spark):
     r = random.Random(5)
     templates = {f"t{i}": " ".join(r.sample(WORDS, r.randrange(2, 9))) for i in range(12)}
