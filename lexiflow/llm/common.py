@@ -22,12 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; one of our own only where none is set."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; one of our own only on one machine where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jvm_dir.isDefined():
             return jvm_dir.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.sparkContext.setCheckpointDir(found)
         return spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -61,6 +63,14 @@ def join_counted(rows: DataFrame, values: DataFrame, key: list[str], total: int)
     return rows.join(hot, key).unionByName(rows.join(hot, key, "left_anti").join(values.where(F.col("c") * 1000 <= total), key))
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, with as many underscores after it as no column has (names are equal whatever their case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_bytes(column: str = "text") -> Column:
     """UTF-8 bytes of a text column, null as empty."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
