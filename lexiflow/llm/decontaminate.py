@@ -2,20 +2,23 @@
 
 The automaton of all items' words streams the words of every text and keeps the length of the longest match that ends
 at each word. A match of ``window`` words or more marks these words; an item of fewer words counts as one window.
-Items are dealt into shards of at most ``shard_words`` words. Only one shard's words are ever broadcast, so what is
-broadcast has a fixed bound; with more items the texts are streamed once for each shard.
+Marked runs are removed where they exceed a limit of length or of coverage. Items are dealt into shards of at most
+``shard_words`` words. Only one shard's words are ever broadcast, so what is broadcast has a fixed bound; with more items
+the texts, with what is marked so far, are written and streamed again for each further shard. Nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .common import WORD, ascii_lower, text_bytes
+from .common import WORD, ascii_lower, discard, materialise, text_bytes
 
 #: Words of an item that must stand together in a text.
 WINDOW = 13
@@ -42,6 +45,12 @@ class Automaton:
             last = 0
             for w in words:
                 last = self._extend(last, w)
+        # The state of the last ``window`` words of a match that ends in a state: once for each, shorter states first.
+        by_length = sorted(range(1, len(self.len)), key=self.len.__getitem__)
+        self.at_window = list(range(len(self.len)))
+        for state in by_length:
+            if self.len[self.link[state]] >= window:
+                self.at_window[state] = self.at_window[self.link[state]]
         # Items of each state in which a match of a whole window can end, and short items by their last state.
         self.items: dict[int, set[int]] = {}
         self.short: dict[int, tuple[int, set[int]]] = {}
@@ -55,11 +64,11 @@ class Automaton:
             for w in words:
                 state, length = self.step(state, length, w)
                 if length >= window:
-                    self.items.setdefault(self.at_window(state), set()).add(item)
+                    self.items.setdefault(self.at_window[state], set()).add(item)
         self.known = self.next[0].__contains__
         self.run = b"\1" * min([window, *(len(words) for _, words in items)])
         self.shorts: list[tuple[tuple[int, int], ...]] = [()] * len(self.len)
-        for state in sorted(range(1, len(self.len)), key=self.len.__getitem__):
+        for state in by_length:
             own = ((self.short[state][0], state),) if state in self.short else ()
             self.shorts[state] = self.shorts[self.link[state]] + own
 
@@ -99,19 +108,13 @@ class Automaton:
         to = self.next[state].get(w)
         return (0, 0) if to is None else (to, length + 1)
 
-    def at_window(self, state: int) -> int:
-        """The state of the last ``window`` words of a match that ends in ``state``."""
-        while self.len[self.link[state]] >= self.window:
-            state = self.link[state]
-        return state
-
     def matches(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
         """Maximal runs of marked words (start, end), and the items whose windows occur."""
-        nxt, link, length, window, shorts = self.next, self.link, self.len, self.window, self.shorts
+        nxt, link, length, window, shorts, at_window = self.next, self.link, self.len, self.window, self.shorts, self.at_window
         spans: list[list[int]] = []
-        found: set[int] = set()
+        ends: set[int] = set()
         if self.run not in bytes(map(self.known, words)):  # no run of known words long enough for a window
-            return [], found
+            return [], set()
         state, n = 0, 0
         for i, w in enumerate(words):
             to = nxt[state].get(w)
@@ -129,17 +132,18 @@ class Automaton:
             least = 0
             if n >= window:
                 least = window
-                found |= self.items[self.at_window(state)]
+                ends.add(at_window[state])
             for size, last in shorts[state]:
                 if size <= n:
                     least = max(least, size)
-                    found |= self.short[last][1]
+                    ends.add(-last)
             if least:
                 a = i + 1 - least
                 while spans and spans[-1][1] >= a:
                     a = min(a, spans.pop()[0])
                 spans.append([a, i + 1])
-        return [tuple(x) for x in spans], found
+        found: set[int] = set()
+        return [tuple(x) for x in spans], found.union(*(self.items[e] if e > 0 else self.short[-e][1] for e in ends))
 
 
 _built: dict[str, Automaton] = {}
@@ -153,20 +157,42 @@ def _automaton(name: str, items: list[tuple[int, list[bytes]]], window: int) ->
     return _built[name]
 
 
-def _stream(name: str, items, window: int):
+def _union(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Runs that touch or overlap as one, ascending."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(runs):
+        if out and out[-1][1] >= a:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
+_RUN = re.compile(rb"[^ ]+")
+_LONGS = pa.list_(pa.int64())
+_MARKS = StructType([StructField("n_words", LongType()), *(StructField(c, ArrayType(LongType())) for c in ("starts", "ends", "from_bytes", "to_bytes", "items"))])
+
+
+def _stream(name: str, items, window: int, carried: list[str]):
+    """Marks of earlier shards, where the batches have them, and those of this one."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = _automaton(name, items.value, window)
         for batch in batches:
-            n, starts, ends, found = [], [], [], []
-            for text in batch["text"]:
-                words = words_of(text.as_buffer().to_pybytes())
+            before = list(zip(*(batch[c].to_pylist() for c in ("starts", "ends", "items")), strict=True)) if "starts" in batch.schema.names else [([], [], [])] * batch.num_rows
+            n, runs, places, found = [], [], [], []
+            for text, (starts, ends, known) in zip(batch["text"], before, strict=True):
+                raw = text.as_buffer().to_pybytes()
+                words = words_of(raw)
                 spans, items_ = machine.matches(words)
+                spans = _union([*spans, *zip(starts, ends, strict=True)]) if starts else spans
+                at = [m.span() for m in _RUN.finditer(raw.translate(_PLAIN))] if spans else []
                 n.append(len(words))
-                starts.append([a for a, _ in spans])
-                ends.append([b for _, b in spans])
-                found.append(sorted(items_))
-            longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["row"], pa.array(n, pa.int64()), pa.array(starts, longs), pa.array(ends, longs), pa.array(found, longs)], ["doc_id", "row", "n_words", "starts", "ends", "items"])
+                runs.append(spans)
+                places.append([(at[a][0], at[b - 1][1]) for a, b in spans])
+                found.append(sorted(items_.union(known)))
+            lists = [pa.array([[x[k] for x in row] for row in rows], _LONGS) for rows in (runs, places) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in carried), pa.array(n, pa.int64()), *lists, pa.array(found, _LONGS)], [*carried, *_MARKS.names])
 
     return run
 
@@ -179,35 +205,51 @@ def item_shards(items: DataFrame, shard_words: int = SHARD_WORDS) -> list[DataFr
     return [words.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(shards)) == k) for k in range(shards)]
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """``(doc_id, row, n_words, starts, ends, items)`` of each row of ``docs`` (doc_id, text) against ``items`` (item_id, text).
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, n_words, starts, ends, from_bytes, to_bytes, items)`` of each row of ``docs`` (doc_id, text) against ``items`` (item_id, text).
 
-    ``starts`` and ``ends`` are the maximal runs of words inside any occurrence of a window, ``items`` the items with
-    such windows, ascending. Words are lower-cased (A-Z) runs of letters, digits and characters beyond ASCII. Null and
-    empty texts have no words; items without words are nothing; rows of one item_id count as one item. ``row`` numbers
-    the rows so that repeated rows stay apart. Empty tables give no rows, or rows without matches.
+    ``starts`` and ``ends`` are the maximal runs of words inside any occurrence of a window, ``from_bytes`` and
+    ``to_bytes`` their places in the UTF-8 text, ``items`` the items with such windows, ascending. Words are lower-cased
+    (A-Z) runs of letters, digits and characters beyond ASCII. Null and empty texts have no words; items without words
+    are nothing; rows of one item_id count as one item. Rows without a doc_id are left out, repeated rows give a row
+    each. Columns of ``carry`` come along in a struct ``carried``. Empty tables give no rows, or rows without matches.
     """
     spark = docs.sparkSession
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), text_bytes().alias("text"))
-    shards, out = item_shards(items, shard_words), None
-    for shard in shards:
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"), *([F.struct(*(F.col(f"`{c}`") for c in carry)).alias("carried")] if carry else []))
+    kept = [c for c in rows.columns if c != "text"]
+    kinds = {f.name: f for f in rows.schema}
+    shards, written = item_shards(items, shard_words), None
+    for k, shard in enumerate(shards):
         held = [(r["item_id"], [w.encode() for w in r["words"]]) for r in shard.orderBy("item_id").toLocalIterator()]
-        name = uuid.uuid4().hex
-        part = rows.mapInArrow(_stream(name, spark.sparkContext.broadcast(held), window), "doc_id long, row long, n_words long, starts array<long>, ends array<long>, items array<long>")
-        out = part if out is None else out.union(part)
-    if len(shards) == 1:
-        return out
-    merged = out.groupBy("doc_id", "row").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list(F.arrays_zip("starts", "ends")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    union = F.aggregate(
-        "spans",
-        F.array().cast("array<struct<starts:bigint,ends:bigint>>"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["ends"] >= x["starts"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["starts"].alias("starts"), F.greatest(F.try_element_at(acc, F.lit(-1))["ends"], x["ends"]).alias("ends"))))).otherwise(F.concat(acc, F.array(x))),
-    )
-    return merged.withColumn("spans", union).select("doc_id", "row", "n_words", F.col("spans.starts").alias("starts"), F.col("spans.ends").alias("ends"), "items")
+        names = kept if k + 1 == len(shards) else [*kept, "text"]
+        rows = rows.mapInArrow(_stream(uuid.uuid4().hex, spark.sparkContext.broadcast(held), window, names), StructType([*(kinds[c] for c in names), *_MARKS]))
+        if k + 1 < len(shards):
+            before, written = written, materialise(rows)
+            rows = written
+            if before is not None:
+                discard(before)
+    return rows
 
 
 def judged(found: DataFrame, min_share: float = 0.05) -> DataFrame:
-    """Adds ``n_hit`` (marked words) and ``contaminated`` (some, and at least ``min_share`` of all words)."""
+    """Adds ``n_hit`` (marked words) and ``contaminated`` (some, and at least ``min_share`` of all words; compared in millionths)."""
     hit = F.aggregate(F.zip_with("ends", "starts", lambda a, b: a - b), F.lit(0).cast("long"), lambda a, b: a + b)
-    per = round(1 / min_share)
-    return found.withColumn("n_hit", hit).withColumn("contaminated", (F.col("n_hit") > 0) & (per * F.col("n_hit") >= F.col("n_words")))
+    return found.withColumn("n_hit", hit).withColumn("contaminated", (F.col("n_hit") > 0) & (1_000_000 * F.col("n_hit") >= round(1_000_000 * min_share) * F.col("n_words")))
+
+
+def without_spans(docs: DataFrame, items: DataFrame, max_words: int, max_share: float = 0.05, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """``(carried, contaminated, n_cut, kept_text)`` of each row of ``docs`` with a doc_id; ``carried`` holds its columns.
+
+    ``kept_text`` lacks the marked runs of more than ``max_words`` words and, where a text is contaminated (coverage of at
+    least ``max_share``), all marked runs; ``n_cut`` counts them. What stands on both sides of a run is joined by one space.
+    A null text stays null, others are kept byte for byte where nothing is cut.
+    """
+    found = judged(contamination(docs, items, window, shard_words, carry=tuple(docs.columns)), max_share)
+    runs = F.filter(F.arrays_zip("starts", "ends", "from_bytes", "to_bytes"), lambda x: F.col("contaminated") | (x["ends"] - x["starts"] > max_words))
+    found = found.withColumn("runs", runs)
+    raw = F.col("carried.text").cast("binary")
+    begins = F.concat(F.array(F.lit(0).cast("long")), F.col("runs.to_bytes"))
+    stops = F.concat(F.col("runs.from_bytes"), F.array(F.octet_length(raw).cast("long")))
+    parts = F.zip_with(begins, stops, lambda a, b: F.substr(raw, (a + 1).cast("int"), (b - a).cast("int")).cast("string"))
+    text = F.when(F.size("runs") > 0, F.array_join(F.filter(F.transform(parts, lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != ""), " ")).otherwise(F.col("carried.text"))
+    return found.select("carried", "contaminated", F.size("runs").alias("n_cut"), text.alias("kept_text"))
