@@ -27,7 +27,9 @@ from .decontaminate import words_of
 #: Classes of words and words in each: the vocabulary has their product; its last BUCKETS entries are hashes of all other words.
 CLASSES, SIZE, BUCKETS = 32, 32, 64
 #: Tokens on each side, numbers of an embedding and of the hidden layer, tokens of a training step, learning rate.
-SIDE, WIDTH, HIDDEN, STEP, RATE = 2, 8, 24, 4096, 0.02
+SIDE, WIDTH, HIDDEN, STEP, RATE = 2, 8, 24, 1024, 0.02
+#: Tokens that are scored at once.
+SCORED = 16384
 #: Words that a worker remembers beside the vocabulary; members of a group of the averaging tree.
 KNOWN, GROUP = 300_000, 64
 #: Added to every count of a word within its bucket, and one share for words that were never counted.
@@ -197,9 +199,8 @@ def _train(words, start: bytes):
         for _, texts in _texts(batches):
             context, y, _ = contexts([known.ids(t) for t in texts])
             seen += len(y)
-            step = min(STEP, max(256, len(y) // 8))  # several steps in a small corpus too
-            for i in range(0, len(y), step):
-                net.run(context[i : i + step], y[i : i + step], learn=True)
+            for i in range(0, len(y), STEP):
+                net.run(context[i : i + STEP], y[i : i + STEP], learn=True)
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([seen], pa.int64()), pa.array([net.dump()], pa.binary())], ["part", "n", "net"])
 
@@ -239,7 +240,7 @@ def _score(words, blob: bytes):
             ends = np.cumsum([0, *map(len, rare)]).astype(np.int32)
             pairs = pa.StructArray.from_arrays([pa.array([w for r in rare for w in r], pa.binary()), pa.array([n for r in rare for n in r.values()], pa.int64())], ["word", "n"])
             context, y, doc = contexts(ids)
-            logs = np.concatenate([np.zeros(0), *(net.run(context[i : i + 4 * STEP], y[i : i + 4 * STEP]).astype(float) for i in range(0, len(y), 4 * STEP))])
+            logs = np.concatenate([np.zeros(0), *(net.run(context[i : i + SCORED], y[i : i + SCORED]).astype(float) for i in range(0, len(y), SCORED))])
             rows = pa.array(np.arange(row, row + len(ids)))
             row += len(ids)
             yield pa.RecordBatch.from_arrays([rows, part["doc_id"], pa.array([len(x) for x in ids], pa.int64()), pa.array(np.bincount(doc, logs, len(ids)).astype(float)), pa.ListArray.from_arrays(pa.array(ends), pairs)], ["row", "doc_id", "n_tokens", "network", "rare"])
@@ -253,7 +254,8 @@ def pseudo_likelihood(docs: DataFrame, rounds: int = 1) -> DataFrame:
     ``pseudo_loglik`` sums the natural log probability of each token given ``SIDE`` tokens on both sides: by the network
     for words of the list, by the network and the word's share of its bucket for all others; ``mean_loglik`` is per
     token, null without tokens. Tokens are lower-cased (A-Z) words. Null and empty texts have no tokens and sum 0.
-    Repeated rows score alike. An empty table gives no rows.
+    Repeated rows score alike. An empty table gives no rows. The network is the average of those of the tasks, weighted by
+    their tokens, so other partitions of the same rows give a slightly other network; the same partitions give the same.
     """
     counts = materialise(word_counts(docs))
     words = vocabulary(counts)
