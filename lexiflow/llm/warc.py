@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 #: Page ids in one archive file; a file has at most so many places for records.
 PER_FILE = 4096
@@ -74,6 +74,7 @@ def merkle_levels(records: DataFrame, per_file: int = PER_FILE, fan: int = FAN)
         up = F.floor(F.col("node") / fan).cast("long")
         part = F.concat_ws(":", F.col("node").cast("string"), "hash")
         level = level.withColumn("up", up).groupBy("file_id", "up").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.struct("node", part.alias("part")))).getField("part"), "|"), 256).alias("hash")).select("file_id", F.col("up").alias("node"), "hash")
+        level = materialise(level)  # a fraction of 1 / fan of the one below, which is computed once
         out.append(level)
         width = -(-width // fan)
     return out
@@ -88,7 +89,9 @@ def differing_leaves(left: DataFrame, right: DataFrame, per_file: int = PER_FILE
             under = bad.select("file_id", F.col("node").alias("up"))
             mine, other = (x.withColumn("up", F.floor(F.col("node") / fan).cast("long")).join(under, ["file_id", "up"], "left_semi") for x in (mine, other))
         both = mine.select("file_id", "node", F.col("hash").alias("a")).join(other.select("file_id", "node", F.col("hash").alias("b")), ["file_id", "node"], "full")
-        bad = both.where("not (a <=> b)").select("file_id", "node")
+        before, bad = bad, materialise(both.where("not (a <=> b)").select("file_id", "node"))
+        discard(*([before] if before is not None else []))
+    discard(*ours[1:], *theirs[1:])
     return bad
 
 
