@@ -16,11 +16,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import text_bytes
 
 #: Most labelled rows to train on: those with the least hashes of their doc_id.
 TRAIN_ROWS = 4000
+#: Most bytes of a text to learn from.
+TRAIN_BYTES = 1 << 20
 #: Base features of a line: their square roots join them, then the neighbours' mean of both.
 BASE = 12
 
@@ -170,29 +173,28 @@ def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays([part["quality"], pa.array([b.astype("<f4").tobytes() for b, _, _ in made], pa.binary()), pa.array([n.astype("<i4").tobytes() for _, n, _ in made], pa.binary())], ["quality", "features", "lengths"])
 
 
-_SCORED = "_scored_text"
-
-
-def _score_batches(model: dict, out: str):
+def _score_batches(model: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                found = scores(Batch(*_measured([t.as_buffer().to_pybytes() for t in part[_SCORED]])), model)
-                names = [c for c in part.schema.names if c != _SCORED]
-                yield pa.RecordBatch.from_arrays([*(part[c] for c in names), pa.array(found)], [*names, out])
+                found = scores(Batch(*_measured([t.as_buffer().to_pybytes() for t in part["text"]])), model)
+                yield pa.RecordBatch.from_arrays([part["carried"], pa.array(found)], ["carried", "score"])
 
     return run
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> dict:
+def fit_quality(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES) -> dict:
     """A model from at most ``train_rows`` rows of ``labels`` (doc_id, quality) with a text in ``docs``.
 
-    The caller leaves held-out rows out of ``labels``. Null labels are left out; of several for one doc_id the smallest counts.
+    The caller leaves held-out rows out of ``labels``. Null labels are left out; of several for one doc_id the smallest counts,
+    and of several texts the least. Texts of more than ``train_bytes`` bytes are not learned from, so what the driver gets
+    is bounded by ``train_rows`` times the features of so long a text.
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    rows = docs.select("doc_id", text_bytes().alias("text")).join(F.broadcast(sample), "doc_id")  # bounded by train_rows
+    rows = docs.select("doc_id", text_bytes().alias("text")).join(F.broadcast(sample), "doc_id").where(F.octet_length("text") <= train_bytes)  # the broadcast is bounded by train_rows
+    rows = rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
     made = sorted((r["quality"], bytes(r["features"]), bytes(r["lengths"])) for r in rows.select("quality", "text").mapInArrow(_feature_batches, "quality int, features binary, lengths binary").collect())
     if not made:
         return train(np.zeros((0, BASE)), np.zeros(0), np.zeros(0, np.int64), np.zeros(0))
@@ -207,6 +209,6 @@ def quality_scores(docs: DataFrame, model: dict, carry: tuple[str, ...] = ("doc_
     Rows are scored one by one from their text alone: repeated rows get equal scores, an empty table no rows. ``out``
     must not be one of the carried columns.
     """
-    rows = docs.select(*(F.col(f"`{c}`") for c in carry), text_bytes().alias(_SCORED))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != _SCORED)
-    return rows.mapInArrow(_score_batches(model, out), f"{schema}, `{out}` double")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in carry)).alias("carried"), text_bytes().alias("text"))
+    scored = rows.mapInArrow(_score_batches(model), StructType([rows.schema["carried"], StructField("score", DoubleType())]))
+    return scored.select(*(F.col(f"carried.`{c}`") for c in carry), F.col("score").alias(out))
