@@ -30,6 +30,8 @@ from .suffix import equal_prefixes, suffix_order, words_at
 
 #: Bytes of text in a block, and in a bucket of k-grams or stretches.
 BLOCK = 4 << 20
+#: Bytes of text that a task gets at most on average, where the shuffle has too few tasks for it.
+TASK = 64 << 20
 #: Bytes of a k-gram. Smaller ones are chosen less often, larger ones repeat less often by chance.
 GRAM = 32
 #: Different stretches of one k-gram (summed over blocks) from which its strings are dealt by their own content.
@@ -342,12 +344,16 @@ def remove_repeats(docs: DataFrame, length: int = 100, block_bytes: int = BLOCK,
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"), *others)
     carried = [f"_c{i}" for i in range(len(carry))]
     kinds = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carried)
-    blocks = max(1, -(-total_bytes(docs) // block_bytes))
-    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
+    total = total_bytes(docs)
+    blocks = max(1, -(-total // block_bytes))
+    tasks = total // TASK
+    # More tasks than a shuffle has by default where there is more than TASK for each; the grouping below keeps this dealing.
+    deal = lambda df, by: df.repartition(tasks, by) if tasks > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+    dealt = deal(docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks))), "block")
     buckets = max(1, -(-blocks // 2))
-    named = dealt.groupBy("block").applyInArrow(_name(buckets, length), "bucket long, block long, blob binary")
+    named = deal(dealt.groupBy("block").applyInArrow(_name(buckets, length), "bucket long, block long, blob binary"), "bucket")
     asked = named.groupBy("bucket").applyInArrow(_ask(hot), "block long, blob binary")
-    sent = dealt.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(_send(buckets, length), "bucket long, blob binary, bytes binary")
+    sent = deal(dealt.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(_send(buckets, length), "bucket long, blob binary, bytes binary"), "bucket")
     cuts = sent.groupBy("bucket").applyInArrow(_judge(length), "block long, blob binary")
     out = dealt.groupBy("block").cogroup(cuts.groupBy("block")).applyInArrow(_apply(length, characters, carried), f"doc_id long, copy int, n_bytes long, starts array<long>, ends array<long>, kept_text binary{kinds}")
     return out if not carry else out.select(*out.columns[:6], F.struct(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(carry))).alias("carried"))
