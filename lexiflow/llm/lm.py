@@ -27,7 +27,7 @@ from .decontaminate import words_of
 #: Classes of words and words in each: the vocabulary has their product; its last BUCKETS entries are hashes of all other words.
 CLASSES, SIZE, BUCKETS = 32, 32, 64
 #: Tokens on each side, numbers of an embedding and of the hidden layer, tokens of a training step, learning rate.
-SIDE, WIDTH, HIDDEN, STEP, RATE = 2, 8, 24, 1024, 0.02
+SIDE, WIDTH, HIDDEN, STEP, RATE = 2, 8, 24, 2048, 0.02
 #: Tokens that are scored at once.
 SCORED = 16384
 #: Words that a worker remembers beside the vocabulary; members of a group of the averaging tree.

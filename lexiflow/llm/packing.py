@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 import tiktoken
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_bytes
@@ -170,9 +170,9 @@ def _pack_batches(path: str, limits: tuple[int, int, int], look: int, with_ids:
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[Piece]:
         ids_of = encoder(path, special)
         for batch in batches:
-            froms = batch["loss_from"].to_pylist()
-            for doc, text, loss_from in zip(batch["doc_id"].to_pylist(), batch["text"], froms, strict=True):
-                yield Piece(doc, ids_of(str(text.as_buffer(), "utf-8")) + end, loss_from or 0)
+            froms, prompts = batch["loss_from"].to_pylist(), batch["prompt"].to_pylist()
+            for doc, text, loss_from, prompt in zip(batch["doc_id"].to_pylist(), batch["text"], froms, prompts, strict=True):
+                yield Piece(doc, ids_of(str(text.as_buffer(), "utf-8")) + end, len(ids_of(prompt)) // 4 if prompt else loss_from or 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 32
@@ -196,16 +196,22 @@ def _pack_batches(path: str, limits: tuple[int, int, int], look: int, with_ids:
     return run
 
 
-def packed(docs: DataFrame, tokenizer: str | None = None, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int = MAX_LOSS, look: int = LOOK, loss_from: str | None = None, with_ids: bool = True, special: bool = False) -> DataFrame:
+def first_line(text: str = "text") -> Column:
+    """The first line of a text of several lines, with its end; null for others."""
+    line = F.substring_index(text, "\n", 1)
+    return F.when(F.col(text).contains("\n"), F.concat(line, F.lit("\n")))
+
+
+def packed(docs: DataFrame, tokenizer: str | None = None, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int = MAX_LOSS, look: int = LOOK, loss_from: str | None = None, prompt: Column | None = None, with_ids: bool = True, special: bool = False) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens, ids.
 
     Every row of ``docs`` (doc_id, text; others are ignored) gives the ids of its text by the ``tokenizer`` file and id 1;
     a null or empty text gives id 1 alone. ``loss_from`` names a column with the number of leading tokens that bear no
-    loss (null: none). Repeated rows are packed each. Sequence ids are the task's number shifted by 32 bits plus a count;
+    loss (null: none), or ``prompt`` is the leading text that bears none, as many tokens as it has by itself. Repeated rows are packed each. Sequence ids are the task's number shifted by 32 bits plus a count;
     they have gaps between tasks. With ``special``, strings of the file's added tokens give their ids, as
     ``tokenizers`` does with that file; else they are ordinary text. Each task leaves at most its last sequence short of tokens for want of rows. An empty
     table gives no rows.
     """
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"), (F.col(loss_from).cast("long") if loss_from else F.lit(0).cast("long")).alias("loss_from"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"), (F.col(loss_from).cast("long") if loss_from else F.lit(0).cast("long")).alias("loss_from"), (F.lit(None) if prompt is None else prompt).cast("string").alias("prompt"))
     return rows.mapInArrow(_pack_batches(path, (max_tokens, max_segments, max_loss), look, with_ids, special), _FIELDS)

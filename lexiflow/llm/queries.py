@@ -12,7 +12,7 @@ from .decontaminate import contamination, judged
 from .licenses import BLOCK, PHRASES, THRESHOLD, license_scan, template_sets
 from .lm import pseudo_likelihood
 from .minhash import near_duplicates
-from .packing import packed
+from .packing import first_line, packed
 from .substrings import remove_repeats
 from .vptree import nearest
 from .warc import fixity_audit, page_records, warc_manifest, with_held
@@ -58,7 +58,8 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = packed(table(spark, sf_dir, "documents"), max_tokens=2048, with_ids=False, special=True)
+    # As an instruction and its answer: the first line bears no loss. A sequence has at most 64 pieces and 1,984 tokens with loss.
+    done = packed(table(spark, sf_dir, "documents"), max_tokens=2048, max_segments=64, max_loss=1984, prompt=first_line(), with_ids=False, special=True)
     return done.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 

@@ -384,6 +384,37 @@ def test_packing_limits():
     assert sum(tokens.values()) == total
 
 
+def test_packing_prompts_bear_no_loss(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.public_tokenizers.path("byte_bpe_50k.json"))
+    r = random.Random(21)
+    texts = [say(r, r.randrange(1, 60)) + r.choice(["\n", "\r\n", " "]) + say(r, r.randrange(1, 400)) for _ in range(150)] + ["\n", "one line", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), DOC).repartition(1)
+    loss, tokens, sums = {}, {}, {}
+    for x in packing.packed(df, max_segments=6, max_loss=1500, prompt=packing.first_line(), special=True).collect():
+        loss[x.doc_id] = loss.get(x.doc_id, 0) + x.loss_tokens
+        tokens[x.doc_id] = x.doc_tokens
+        one = sums.setdefault(x.sequence_id, [0, 0, 0])
+        one[:] = one[0] + x.length, one[1] + 1, one[2] + x.loss_tokens
+    count = lambda s: len(t.encode(s, add_special_tokens=False).ids)
+    for i, s in enumerate(texts):
+        prompt = (s or "").split("\n")[0] + "\n" if "\n" in (s or "") else ""
+        assert loss[i] == tokens[i] - count(prompt)
+    assert all(a <= 2048 and b <= 6 and c <= 1500 for a, b, c in sums.values()) and max(c for *_, c in sums.values()) == 1500
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    rows_ = queries.op6_packing(spark, str(tmp_path)).collect()
+    whole = {}
+    for x in rows_:
+        whole.setdefault(x.doc_id, []).append((x.start, x.length, x.ids_crc32))
+    for i, s in enumerate(texts):
+        ids, at = np.array([*t.encode(s or "", add_special_tokens=False).ids, 1], "<u4"), 0
+        for start, length, crc in sorted(whole[i]):
+            assert start == at and crc == zlib.crc32(ids[start : start + length].tobytes())
+            at += length
+        assert at == len(ids)
+
+
 def test_packing_odd(odd, nothing):
     assert packing.packed(odd).select("doc_id").distinct().count() == 12
     assert packing.packed(nothing).count() == 0
