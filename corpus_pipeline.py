@@ -15,7 +15,7 @@ from lexiflow.llm.common import materialise, table, unused
 from lexiflow.llm.crf import fit_quality, quality_scores
 from lexiflow.llm.decontaminate import without_spans
 from lexiflow.llm.minhash import near_duplicates
-from lexiflow.llm.packing import packed
+from lexiflow.llm.packing import first_line, packed
 from lexiflow.llm.substrings import remove_repeats
 
 #: Documents with a lower score than this are rejected: well below the 0.7 of op10, so that doubtful ones stay.
@@ -67,8 +67,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 2048 tokens, with their ids."""
-    return packed(docs, max_tokens=2048, special=True)
+    """Pieces of sequences of at most 2048 tokens, 64 pieces and 1,984 tokens with loss (all but the first line), with their ids."""
+    return packed(docs, max_tokens=2048, max_segments=64, max_loss=1984, prompt=first_line(), special=True)
 
 
 STAGES = [
