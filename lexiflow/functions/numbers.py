@@ -19,21 +19,16 @@ MONTHS = {6: "유월", 10: "시월"}
 
 
 def sino(n: int, spaced: bool = False) -> str:
-    """Sino-Korean reading; groups of ten thousand apart if ``spaced``."""
+    """Sino-Korean reading; every digit and unit apart if ``spaced``, which keeps the one before ten thousand."""
     if n == 0:
         return DIGITS[0]
-    groups = []
-    for k, large in enumerate(LARGE):
+    said = []
+    for k in range(len(LARGE) - 1, -1, -1):
         part = n // 10 ** (4 * k) % 10000
-        if not part:
-            continue
-        said = ""
-        for j in (3, 2, 1, 0):
-            d = part // 10**j % 10
-            if d:
-                said += ("" if d == 1 and j else DIGITS[d]) + SMALL[j]
-        groups.append(("" if said == "일" and large == "만" else said) + large)
-    return (" " if spaced else "").join(reversed(groups))
+        units = [x for j in (3, 2, 1, 0) if (d := part // 10**j % 10) for x in ("" if d == 1 and j else DIGITS[d], SMALL[j]) if x]
+        if units:
+            said += [*([] if units == ["일"] and k == 1 and not spaced else units), *([LARGE[k]] if k else [])]
+    return (" " if spaced else "").join(said)
 
 
 def native(n: int, counter: bool = False) -> str:
@@ -51,7 +46,8 @@ def decimal(text: str, spaced: bool = False) -> str:
     """A number with commas, sign and fraction."""
     sign, text = ("마이너스 ", text[1:]) if text[0] == "-" else ("", text)
     whole, _, part = text.replace(",", "").partition(".")
-    return sign + sino(int(whole or 0), spaced) + ("점 " + "".join(DIGITS[int(d)] for d in part) if part else "")
+    point, gap = (" 점 ", " ") if spaced else ("점 ", "")
+    return sign + sino(int(whole or 0), spaced) + (point + gap.join(DIGITS[int(d)] for d in part) if part else "")
 
 
 _NUMBER = r"-?\d[\d,]*(?:\.\d+)?"
@@ -81,7 +77,7 @@ def verbaliser(spaced: bool = False, half_hours: bool = False, months: bool = Tr
     return run
 
 
-#: Variants: spaced groups (H21), unspaced (H22), with dates and money (H23), for speech with half hours.
+#: Variants: every unit apart (H21), unspaced (H22), with dates and money (H23), for speech with half hours.
 VARIANTS = {"spaced": verbaliser(spaced=True), "plain": verbaliser(counters=False, months=False), "full": verbaliser(), "speech": verbaliser(half_hours=True)}
 
 

@@ -17,16 +17,21 @@ SPLIT = {"ㄳ": "ㄱㅅ", "ㄵ": "ㄴㅈ", "ㄶ": "ㄴㅎ", "ㄺ": "ㄹㄱ", "
 TENSE = {"ㄱ": "ㄲ", "ㄷ": "ㄸ", "ㅂ": "ㅃ", "ㅅ": "ㅆ", "ㅈ": "ㅉ"}
 ASPIRATED = {"ㄱ": "ㅋ", "ㄷ": "ㅌ", "ㅂ": "ㅍ", "ㅈ": "ㅊ"}
 NASAL = {"ㄱ": "ㅇ", "ㄷ": "ㄴ", "ㅂ": "ㅁ"}
-IOTATED = "ㅣㅑㅕㅛㅠㅖㅒ"
+BEFORE_N = "ㅣㅑㅕㅛㅠ"
+#: Rounded diphthongs without their glide, by the mode.
+W_SECOND = {"ㅘ": "ㅏ", "ㅙ": "ㅐ", "ㅚ": "ㅣ", "ㅝ": "ㅓ", "ㅞ": "ㅔ", "ㅟ": "ㅣ"}
+W_PERCEPTUAL = W_SECOND | {"ㅚ": "ㅔ"}
 
 _SOUND_OF = {c: k for k, v in SOUND.items() for c in v} | {"": ""}
+#: Stops by the place that their last unit sounds at.
+_STOP = {c: k for k, v in {"ㄱ": "ㄱㄲㅋ", "ㄷ": "ㄷㅅㅆㅈㅊㅌ", "ㅂ": "ㅂㅍ"}.items() for c in v}
 
 
 @dataclass(frozen=True)
 class Options:
-    """Rules to apply, one switch each."""
+    """Rules to apply, one switch each (J2). Other characters than syllables always break adjacency."""
 
-    n_insertion: bool = False
+    n_insertion: bool = True
     liaison: bool = True
     palatalise: bool = True
     nasalise: bool = True
@@ -35,6 +40,12 @@ class Options:
     aspirate: bool = True
     tensify: bool = True
     final_sounds: bool = False
+    #: Vowels without their w: "off", "second" or "perceptual", and own replacements as pairs.
+    collapse_w: str = "off"
+    collapse_wa: bool = False
+    collapse_own: tuple[tuple[str, str], ...] = ()
+    #: Reading of 의: "auto" (i within a word), "i", "e" or "keep"; at the end of a group it is always e.
+    eui: str = "auto"
 
 
 class _Syllable:
@@ -47,61 +58,80 @@ class _Syllable:
     def __str__(self) -> str:
         return syllable(ONSETS.index(self.onset), VOWELS.index(self.vowel), CODAS.index(self.coda))
 
+    @property
+    def last(self) -> str:
+        """The last unit of the coda."""
+        return SPLIT.get(self.coda, self.coda)[-1:]
+
+    @property
+    def rest(self) -> str:
+        """What a coda of two units keeps when its last one goes."""
+        return SPLIT[self.coda][0] if self.coda in SPLIT else ""
+
+
+def _alone(s: _Syllable, o: Options, within: bool, final: bool) -> list[str]:
+    """Changes of one syllable: collapsed w, readings of 의."""
+    to = dict(o.collapse_own).get(s.vowel) or {"second": W_SECOND, "perceptual": W_PERCEPTUAL}.get(o.collapse_w, {}).get(s.vowel)
+    if not to and o.collapse_wa and o.collapse_w == "off" and s.vowel == "ㅘ":
+        to = "ㅏ"
+    tags = []
+    if to and to != s.vowel:
+        s.vowel = to
+        tags.append("collapse_w")
+    if s.onset == "ㅇ" and s.vowel == "ㅢ":
+        read = "ㅔ" if (final and not s.coda) or o.eui == "e" else "ㅣ" if o.eui == "i" or (o.eui == "auto" and within) else ""
+        if read:
+            s.vowel = read
+            tags.append("eui")
+    return tags
+
+
+def _pair(a: _Syllable, b: _Syllable, o: Options, particle: bool) -> list[str]:
+    """Changes of two neighbouring syllables, in the order of the rules; later rules and pairs see earlier changes.
 
-def _pair(a: _Syllable, b: _Syllable, o: Options) -> list[str]:
-    """Changes of two neighbouring syllables, in the order of the rules; later rules see earlier changes."""
+    ``particle``: the second one is a bare 이 at the end of its group.
+    """
     tags: list[str] = []
     linked = False
-    sound = lambda: _SOUND_OF[a.coda]
-    if o.n_insertion and a.coda and b.onset == "ㅇ" and b.vowel in IOTATED[1:] + "ㅣ":
-        b.onset = "ㄴ"
+    open_ = b.onset == "ㅇ" and b.vowel in BEFORE_N and not (b.coda and b.vowel == "ㅣ")
+    if o.n_insertion and open_ and a.coda and a.coda not in SPLIT and a.coda != "ㅎ" and not particle and not (a.coda in "ㄷㅌ" and b.vowel == "ㅣ"):
+        b.onset = "ㄹ" if a.coda == "ㄹ" else "ㄴ"
         tags.append("n_insertion")
-    if o.palatalise and a.coda in ("ㄷ", "ㅌ", "ㄾ") and b.onset == "ㅇ" and b.vowel == "ㅣ":
-        b.onset = "ㅈ" if a.coda == "ㄷ" else "ㅊ"
-        a.coda = "ㄹ" if a.coda == "ㄾ" else ""
+    if o.liaison and b.onset == "ㅇ" and a.last not in ("", "ㅇ", "ㅎ"):
+        a.coda, b.onset, linked = a.rest, a.last, True
+        tags.append("liaison")
+    if o.palatalise and linked and b.vowel == "ㅣ" and b.onset in "ㄷㅌ":
+        b.onset = "ㅈ" if b.onset == "ㄷ" else "ㅊ"
         tags.append("palatalise")
-        linked = True
-    elif o.palatalise and a.coda in ("ㄷ", "ㅈ", "ㄵ") and b.onset == "ㅎ" and b.vowel in ("ㅣ", "ㅕ") and a.coda == "ㄷ":
-        a.coda, b.onset = "", "ㅊ"
+    if o.palatalise and a.last in ("ㄷ", "ㅌ") and b.onset == "ㅎ" and b.vowel == "ㅣ":
+        a.coda, b.onset = a.rest, "ㅊ"
         tags.append("palatalise")
-    if o.h_loss and a.coda in ("ㅎ", "ㄶ", "ㅀ") and b.onset == "ㅇ":
-        left = {"ㅎ": "", "ㄶ": "ㄴ", "ㅀ": "ㄹ"}[a.coda]
-        a.coda = left
-        tags.append("h_loss")
-    if o.liaison and b.onset == "ㅇ" and a.coda not in ("", "ㅇ"):
-        stay, move = SPLIT[a.coda] if a.coda in SPLIT else ("", a.coda)
-        a.coda, b.onset = stay, (TENSE["ㅅ"] if move == "ㅅ" and stay else move)
-        tags.append("liaison")
-        linked = True
-    if o.aspirate and a.coda in ("ㅎ", "ㄶ", "ㅀ") and b.onset in ASPIRATED:
-        a.coda, b.onset = {"ㅎ": "", "ㄶ": "ㄴ", "ㅀ": "ㄹ"}[a.coda], ASPIRATED[b.onset]
-        tags.append("aspirate")
-    elif o.aspirate and b.onset == "ㅎ" and a.coda and (a.coda in SPLIT or a.coda in ASPIRATED or _SOUND_OF[a.coda] in ("ㄷ", "ㄱ", "ㅂ")):
-        stay, move = SPLIT[a.coda] if a.coda in SPLIT else ("", a.coda)
-        move = move if move in ASPIRATED else _SOUND_OF.get(move, move)
-        if move in ASPIRATED:
-            a.coda, b.onset = stay, ASPIRATED[move]
-            tags.append("aspirate")
-    if o.h_loss and a.coda in ("ㅎ", "ㄶ", "ㅀ") and b.onset in "ㄴㅅ":
-        if b.onset == "ㅅ":
-            a.coda, b.onset = {"ㅎ": "", "ㄶ": "ㄴ", "ㅀ": "ㄹ"}[a.coda], "ㅆ"
-        else:
-            a.coda = {"ㅎ": "ㄴ", "ㄶ": "ㄴ", "ㅀ": "ㄹ"}[a.coda]
-        tags.append("h_loss")
-    if o.nasalise and b.onset == "ㄹ" and sound() in ("ㅁ", "ㅇ", "ㄱ", "ㅂ"):
+    if o.nasalise and b.onset == "ㄹ" and (a.last in ("ㅁ", "ㅇ") or _STOP.get(a.last) in ("ㄱ", "ㅂ")):
         b.onset = "ㄴ"
         tags.append("nasalise")
-    if o.nasalise and b.onset in "ㄴㅁ" and sound() in NASAL:
-        a.coda = NASAL[sound()]
+    if o.nasalise and b.onset in "ㄴㅁ" and a.last in _STOP:
+        a.coda = NASAL[_STOP[a.last]]
         tags.append("nasalise")
-    if o.liquidise and ((sound() == "ㄴ" and b.onset == "ㄹ") or (sound() == "ㄹ" and b.onset == "ㄴ")):
-        a.coda, b.onset = "ㄹ", "ㄹ"
+    if o.liquidise and (a.last, b.onset) in (("ㄴ", "ㄹ"), ("ㄹ", "ㄴ")):
+        a.coda, b.onset = "ㄹ" if a.last == "ㄴ" else a.coda, "ㄹ"
         tags.append("liquidise")
+    if o.h_loss and a.last == "ㅎ" and b.onset == "ㅇ":
+        if a.rest:
+            b.onset, linked = a.rest, True
+        a.coda = ""
+        tags.append("h_loss")
+    if o.aspirate and a.last == "ㅎ" and b.onset in ASPIRATED:
+        a.coda, b.onset = a.rest, ASPIRATED[b.onset]
+        tags.append("aspirate")
+    elif o.aspirate and b.onset == "ㅎ" and b.vowel == "ㅣ" and a.last in _STOP:
+        a.coda, b.onset = a.rest, ASPIRATED[_STOP[a.last]]
+        tags.append("aspirate")
     if o.tensify and b.onset in TENSE:
-        hard = sound() in ("ㄱ", "ㄷ", "ㅂ") and not linked
-        if hard:
-            if a.coda in SPLIT:
-                a.coda = _SOUND_OF[a.coda] if a.coda != "ㄺ" or b.onset != "ㄱ" else "ㄹ"
+        hard = a.last in _STOP
+        soft = (a.last in ("ㄴ", "ㅁ") and b.onset in "ㄱㄷㅈ") or (a.last == "ㄹ" and b.onset in "ㄱㄷㅅㅈ" and not linked)
+        if hard and a.coda in SPLIT:
+            a.coda = _SOUND_OF[a.coda] if a.coda != "ㄺ" or b.onset != "ㄱ" else "ㄹ"
+        if hard or soft:
             b.onset = TENSE[b.onset]
             tags.append("tensify")
     return tags
@@ -111,12 +141,17 @@ def surface(text: str, options: Options = Options()) -> tuple[str, list[tuple[st
     """The text as it sounds, and (rule, place of the first syllable) of each change. Other characters break adjacency."""
     out: list[str | _Syllable] = [_Syllable(c) if is_syllable(c) else c for c in text]
     tags: list[tuple[str, int]] = []
+    spoken = [isinstance(s, _Syllable) for s in out] + [False]
+    for i, s in enumerate(out):
+        if spoken[i]:
+            tags += [(t, i) for t in _alone(s, options, i > 0 and spoken[i - 1], not spoken[i + 1])]
     for i in range(len(out) - 1):
-        if isinstance(out[i], _Syllable) and isinstance(out[i + 1], _Syllable):
-            tags += [(t, i) for t in _pair(out[i], out[i + 1], options)]
+        if spoken[i] and spoken[i + 1]:
+            a, b = out[i], out[i + 1]
+            tags += [(t, i) for t in _pair(a, b, options, str(b) == "이" and not spoken[i + 2])]
     if options.final_sounds:
         for i, s in enumerate(out):
-            if isinstance(s, _Syllable) and s.coda and (i + 1 == len(out) or not isinstance(out[i + 1], _Syllable)):
+            if spoken[i] and s.coda and not spoken[i + 1]:
                 s.coda = _SOUND_OF[s.coda]
     return "".join(map(str, out)), tags
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import re
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,14 +12,27 @@ from pyspark.sql import functions as F
 from .vector import each, each_pair
 
 
-def merge_overlap(before: str, after: str, least: int = 2) -> str:
-    """``after`` joined to ``before`` at their longest common end and beginning of ``least`` characters."""
-    for n in range(min(len(before), len(after)), least - 1, -1):
-        if before.endswith(after[:n]):
-            return before + after[n:]
-    if after in before:
-        return before
-    return (before + " " + after).strip()
+def _sounds(text: str) -> str:
+    """What counts when texts are compared: compatibility decomposition without separators and punctuation."""
+    return "".join(c for c in unicodedata.normalize("NFKD", text) if unicodedata.category(c)[0] not in "ZP")
+
+
+def merge_overlap(before: str, after: str, least: int = 4) -> str:
+    """``after`` joined to ``before`` where the end of one is the beginning of the other, by ``least`` decomposed letters.
+
+    ``after`` loses characters as they are written until those lost hold the overlap; without one, a space parts the two.
+    """
+    if not before or not after:
+        return before or after
+    x, y = _sounds(before), _sounds(after)
+    common = next((n for n in range(min(len(x), len(y)), least - 1, -1) if x.endswith(y[:n])), 0)
+    if not common:
+        return before + ("" if before.endswith(" ") or after.startswith(" ") else " ") + after
+    cut = held = 0
+    while cut < len(after) and held < common:
+        held += len(_sounds(after[cut]))
+        cut += 1
+    return before + after[cut:]
 
 
 merged = each_pair(merge_overlap, "string")

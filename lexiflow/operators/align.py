@@ -56,10 +56,34 @@ def normal_score(score: Column, n: Column, m: Column, gap: float = -0.5, mismatc
     return F.when(best == worst, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (score - worst) / (best - worst))))
 
 
-def symbol_scores(aligned_rows: DataFrame, row_id: str, ref: str, hyp: str, pairs: str) -> DataFrame:
-    """A row for each reference symbol with its partner and 1 or 0 (K4)."""
+def similarity_column(a: Column, b: Column, soft: dict[tuple[str, str], float] | None = None, mismatch: float = -1.0) -> Column:
+    """``similarity`` of two columns (K2)."""
+    out = F.when(a == b, F.lit(1.0))
+    for (x, y), value in (soft or {}).items():
+        out = out.when(((a == x) & (b == y)) | ((a == y) & (b == x)), F.lit(value))
+    return out.otherwise(F.lit(mismatch))
+
+
+def symbol_scores(aligned_rows: DataFrame, row_id: str, ref: str, hyp: str, pairs: str, mismatch: float = -1.0, soft: dict[tuple[str, str], float] | None = None) -> DataFrame:
+    """A row for each reference symbol with its partner and their similarity, which may be negative; 0 without a partner (K4, details)."""
     one = aligned_rows.select(row_id, F.col(ref).alias("_r"), F.col(hyp).alias("_h"), F.explode(pairs).alias("p")).where("p.ri >= 0")
-    return one.select(row_id, F.col("p.ri").alias("ri"), F.get("_r", F.col("p.ri")).alias("ref"), F.when(F.col("p.hj") >= 0, F.get("_h", F.col("p.hj"))).alias("hyp")).withColumn("score", F.when(F.col("ref") == F.col("hyp"), 1.0).otherwise(0.0))
+    one = one.select(row_id, F.col("p.ri").alias("ri"), F.get("_r", F.col("p.ri")).alias("ref"), F.when(F.col("p.hj") >= 0, F.get("_h", F.col("p.hj"))).alias("hyp"))
+    return one.withColumn("score", F.when(F.col("hyp").isNull(), 0.0).otherwise(similarity_column(F.col("ref"), F.col("hyp"), soft, mismatch)))
+
+
+def word_scores(details: DataFrame, words: DataFrame, row_id: str, kind: str = "none", low: float = 0.85) -> DataFrame:
+    """Scores by word from ``details`` (row_id, ri, ref, score) and ``words`` (row_id, ri, word_no, label, duration) (K4, by_word).
+
+    ``avg_score`` is plain, ``avg_score_dur`` weighted by the durations, ``low`` the symbols below the limit in order.
+    """
+    both = details.join(words, [row_id, "ri"])
+    listed = F.array_sort(F.collect_list(F.when(F.col("score") < low, F.struct("ri", "ref"))))
+    return both.groupBy(row_id, "word_no", "label").agg(F.count("*").alias("n"), F.avg("score").alias("avg_score"), weighted_mean("score", "duration", kind).alias("avg_score_dur"), F.transform(listed, lambda x: x["ref"]).alias("low"))
+
+
+def overall_scores(details: DataFrame, words: DataFrame, row_id: str, kind: str = "none") -> DataFrame:
+    """Plain and weighted mean over all reference symbols of each row (K4, overall)."""
+    return details.join(words, [row_id, "ri"]).groupBy(row_id).agg(F.count("*").alias("n"), F.avg("score").alias("avg_score"), weighted_mean("score", "duration", kind).alias("avg_score_dur"))
 
 
 def transferred(pairs: Column, durations: Column, default: float) -> Column:
@@ -114,12 +138,24 @@ def frame_confidence(p: str) -> Column:
     return F.coalesce(F.avg(F.when(F.col(p) > 0.1, F.col(p))), F.avg(p))
 
 
-def greedy_decode(frames: DataFrame, key: list[str], order: str, label: str, p: str, blank: str, threshold: float) -> DataFrame:
-    """Best labels of frames: below the threshold is blank, repeats collapse, blanks go (K7; the label of a frame is given)."""
+def greedy_decode(frames: DataFrame, key: list[str], order: str, label: str, p: str, blank: str, threshold: float, release: float | None = None, keep_blank: bool = True) -> DataFrame:
+    """Best labels of frames as a text: repeats collapse, blanks go (K7; the label of a frame is given).
+
+    A frame below ``threshold`` is blank. With ``release`` (hysteresis) a label that has been heard goes on while the
+    same label stays at or above it. Without ``keep_blank`` blank frames are left out before repeats collapse.
+    """
     from .intervals import runs
 
-    shown = frames.withColumn("_l", F.when(F.col(p) >= threshold, F.col(label)).otherwise(blank))
-    one = runs(shown, key, [order], "_l").where(F.col("_l") != blank)
+    shown = F.when(F.col(p) >= threshold, F.col(label)).otherwise(blank)
+    if release is not None:
+        # A stretch of one label at or above the lower limit is heard from its first frame at the upper one on.
+        w = W.partitionBy(*key).orderBy(order)
+        held = frames.withColumn("_h", F.when(F.col(p) >= release, F.col(label)).otherwise(blank))
+        held = held.withColumn("_s", F.sum(F.when(F.col("_h").eqNullSafe(F.lag("_h").over(w)), 0).otherwise(1)).over(w.rowsBetween(W.unboundedPreceding, 0)))
+        heard = F.max(F.when(F.col(p) >= threshold, 1).otherwise(0)).over(W.partitionBy(*key, "_s").orderBy(order).rowsBetween(W.unboundedPreceding, 0))
+        frames, shown = held.withColumn("_heard", heard), F.when(F.col("_heard") == 1, F.col("_h")).otherwise(blank)
+    frames = frames.withColumn("_l", shown)
+    one = runs(frames if keep_blank else frames.where(F.col("_l") != blank), key, [order], "_l").where(F.col("_l") != blank)
     return one.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", "_l"))), lambda x: x["_l"]), "").alias("decoded"))
 
 

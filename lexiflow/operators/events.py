@@ -6,7 +6,6 @@ from functools import reduce
 from operator import and_
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -22,7 +21,7 @@ def _of(kind: str, value: Column) -> Column:
 def summary_columns() -> list[Column]:
     """Aggregates of the tracking summary: nulls are ignored by averages, an empty set gives 0."""
     zero = lambda c: F.coalesce(c, F.lit(0))
-    mean = lambda kind, c: F.round(F.coalesce(F.avg(_of(kind, F.col(c))), F.lit(0.0)) + 1e-9, 4)  # noqa: E731  (half-way sums round up whatever their order)
+    mean = lambda kind, c: F.round(F.coalesce(F.avg(_of(kind, F.col(c))), F.lit(0.0)).cast("decimal(20,10)"), 4).cast("double")  # noqa: E731  (as decimals: the order of sums doesn't show)
     latest = lambda kind: zero(F.max(_of(kind, F.col("duration_ms")))).cast("long")
     answered = F.count(_of("topik_answered", F.lit(1)))
     correct = zero(F.sum(_of("topik_answered", F.when(F.col("is_correct"), 1).otherwise(0))))
@@ -52,9 +51,10 @@ def tracking_summary_by(events: DataFrame, key: str = "session_id") -> DataFrame
 
 
 def first_inserts(events: DataFrame, key: str = "event_id", order: tuple[str, ...] = ("seq",)) -> DataFrame:
-    """The first row of each key in the order given; later ones are duplicates."""
-    rn = F.row_number().over(W.partitionBy(key).orderBy(*order))
-    return events.withColumn("_rn", rn).where("_rn = 1").drop("_rn")
+    """The first row of each key in the order given; later ones are duplicates (A24, G9). One aggregate with map-side combine."""
+    from .dedup import first_of
+
+    return first_of(events, [key], list(order))
 
 
 def batch_insert(existing: DataFrame, batch: DataFrame, key: str = "event_id", order: tuple[str, ...] = ("seq",)) -> DataFrame:
@@ -72,9 +72,12 @@ def insert_counts(existing: DataFrame, batch: DataFrame, key: str = "event_id",
 
 
 def prior_event(events: DataFrame, key: str = "idempotency_key", order: str = "ts") -> DataFrame:
-    """Each row with the event id that first used its idempotency key; rows without a key keep their own."""
-    first = F.min_by("event_id", F.struct(order, "event_id")).over(W.partitionBy(key))
-    return events.withColumn("prior_event_id", F.when(F.col(key).isNull(), F.col("event_id")).otherwise(first))
+    """Each row with the event id that first used its idempotency key; rows without a key keep their own.
+
+    One aggregate with map-side combine and a join, which AQE splits for a key with very many rows.
+    """
+    first = events.where(F.col(key).isNotNull()).groupBy(key).agg(F.min_by("event_id", F.struct(order, "event_id")).alias("_first"))
+    return events.join(first, key, "left").select(*events.columns, F.coalesce("_first", "event_id").alias("prior_event_id"))
 
 
 def store_once(rows: DataFrame, columns: list[str]) -> DataFrame:

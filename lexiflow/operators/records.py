@@ -143,12 +143,18 @@ def accuracy(rows: DataFrame, gold: str, pred: str) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.coalesce(F.avg((F.col(gold) == F.col(pred)).cast("int")), F.lit(0.0)).alias("accuracy"))
 
 
-def range_rules(rows: DataFrame, rules: DataFrame, value: str) -> DataFrame:
-    """Each row with the first rule (lo, hi, idx, ..) whose range holds its value; rules are a table of bounded size."""
+def range_rules(rows: DataFrame, rules: DataFrame, value: str, most: int = 10_000) -> DataFrame:
+    """Each row with the first rule (lo, hi, idx, ..) whose range holds its value.
+
+    At most ``most`` rules (more are an error) become one array that is broadcast; rows aren't shuffled, equal ones stay.
+    """
+    n = rules.count()
+    if n > most:
+        raise ValueError(f"{n} rules, {most} are allowed")
     names = [c for c in rules.columns if c not in ("lo", "hi")]
-    met = rows.join(F.broadcast(rules), F.col(value).between(F.col("lo"), F.col("hi")), "left")
-    rest = rows.columns
-    return met.groupBy(*rest).agg(F.min_by(F.struct(*names), "idx").alias("_r")).select(*rest, "_r.*")
+    table = rules.agg(F.array_sort(F.collect_list(F.struct("idx", "lo", "hi", F.struct(*names).alias("rule")))).alias("_rules"))
+    first = F.get(F.filter("_rules", lambda r: F.col(value).between(r["lo"], r["hi"])), F.lit(0))
+    return rows.join(F.broadcast(table)).withColumn("_r", first["rule"]).select(*rows.columns, "_r.*")  # one row
 
 
 def groups_with_all(rows: DataFrame, group: str, member: str, wanted: list) -> DataFrame:

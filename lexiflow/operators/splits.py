@@ -23,17 +23,27 @@ def _named(rank: Column, n: Column, ratios: dict[str, float]) -> Column:
 
 
 def stratified_split(rows: DataFrame, label: list[str], key: str, ratios: dict[str, float], seed: str) -> DataFrame:
-    """``split`` of each row, in the same proportions within each label."""
-    rank = F.row_number().over(W.partitionBy(*label).orderBy(seeded(key, seed), key))
-    n = F.count("*").over(W.partitionBy(*label))
-    return rows.withColumn("split", _named(rank, n, ratios))
+    """``split`` of each row, in the same proportions within each label.
+
+    Ranks come from range partitions of (label, hash) and their sizes, so a label with most rows is no task of its own.
+    Labels are counted first; their table is as large as there are labels.
+    """
+    from .records import dense_ids
+
+    numbered = dense_ids(rows, [*map(F.col, label), seeded(key, seed), F.col(key)])
+    sizes = numbered.groupBy(*label).agg(F.min("id").alias("_first"), F.count("*").alias("_n"))
+    both = numbered.alias("r").join(sizes.alias("s"), [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in label])
+    return both.select(*(F.col(f"r.{c}") for c in rows.columns), _named(F.col("id") - F.col("_first") + 1, F.col("_n"), ratios).alias("split"))
 
 
 def group_split(rows: DataFrame, group: str, ratios: dict[str, float], seed: str) -> DataFrame:
-    """``split`` of each row, all rows of a group in the same one (F8). The window runs over distinct groups only."""
-    groups = rows.select(group).distinct()
-    numbered = groups.withColumn("_rank", F.row_number().over(W.orderBy(seeded(group, seed), group))).withColumn("_n", F.count("*").over(W.partitionBy(F.lit(1))))
-    return rows.join(numbered.select(group, _named(F.col("_rank"), F.col("_n"), ratios).alias("split")), group)
+    """``split`` of each row, all rows of a group in the same one (F8); groups are ranked over range partitions."""
+    from .records import dense_ids
+
+    groups = dense_ids(rows.select(group).distinct(), [seeded(group, seed), F.col(group)])
+    n = groups.agg(F.count("*").alias("_n"))
+    named = groups.join(F.broadcast(n)).select(group, _named(F.col("id") + 1, F.col("_n"), ratios).alias("split"))  # one row
+    return rows.join(named, group)
 
 
 def hashed_split(rows: DataFrame, group: str, ratios: dict[str, float], seed: str) -> DataFrame:

@@ -46,7 +46,7 @@ WITH e AS (
 TRACK_COLUMNS = """
   count(*) FILTER (event_type = 'chat_turn') AS chat_turns, coalesce(max(duration_ms) FILTER (event_type = 'chat_turn'), 0)::BIGINT AS chat_latency_max_ms,
   count(*) FILTER (event_type = 'pronun_scored') AS pronun_attempts, coalesce(max(duration_ms) FILTER (event_type = 'pronun_scored'), 0)::BIGINT AS pronun_latency_max_ms,
-  round(coalesce(avg(score_overall) FILTER (event_type = 'pronun_scored'), 0.0) + 1e-9, 4) AS pronun_score_avg, round(coalesce(avg(cer) FILTER (event_type = 'pronun_scored'), 0.0) + 1e-9, 4) AS pronun_cer_avg,
+  round(coalesce(avg(score_overall) FILTER (event_type = 'pronun_scored'), 0.0)::DECIMAL(20,10), 4)::DOUBLE AS pronun_score_avg, round(coalesce(avg(cer) FILTER (event_type = 'pronun_scored'), 0.0)::DECIMAL(20,10), 4)::DOUBLE AS pronun_cer_avg,
   count(*) FILTER (event_type = 'topik_answered') AS topik_answered, coalesce(sum(CASE WHEN is_correct THEN 1 ELSE 0 END) FILTER (event_type = 'topik_answered'), 0)::BIGINT AS topik_correct,
   coalesce(round(sum(CASE WHEN is_correct THEN 1 ELSE 0 END) FILTER (event_type = 'topik_answered') / nullif(count(*) FILTER (event_type = 'topik_answered'), 0), 4), 0.0)::DOUBLE AS topik_accuracy,
   coalesce(max(duration_ms) FILTER (event_type = 'topik_answered'), 0)::BIGINT AS topik_latency_max_ms

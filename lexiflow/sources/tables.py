@@ -1,17 +1,25 @@
-"""Tables in the shared folder, for rows that several stages read."""
+"""Tables and files in the shared folder, for rows that several stages read."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_path(spark: SparkSession, kind: str = "table") -> str:
+    """A new path where driver and executors both see it: below ``spark.checkpoint.dir``; a folder of our own only on one machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="lexiflow-")
+    return f"{folder.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
 def shared_table(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet where driver and executors both see it, and read back."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexiflow-")
-    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

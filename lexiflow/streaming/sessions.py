@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,8 +12,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.streams import merge_overlap
 
-OUTPUT = "session_id string, segment int, kind string, text string, duration_ms long"
-STATE = "segment int, started boolean, partial string, emitted string, length_ms long, silent_ms long, lag_ms long"
+log = logging.getLogger(__name__)
+#: State of a session before its first chunk.
+FRESH = (0, False, "", "", 0, 0, 0)
+OUTPUT = "session_id string, segment int, kind string, text string, duration_ms long, out_of_order long"
+STATE = "segment int, started boolean, partial string, emitted string, length_ms long, silent_ms long, lag_ms long, last_seq long, out_of_order long"
 
 
 def deduplicated(events: DataFrame, key: str = "event_id", ts: str = "ts", late: str = "10 minutes") -> DataFrame:
@@ -78,21 +82,34 @@ def step(state: tuple, chunk: dict, gain: int = 2, lag_ms: int = 900, least: int
     return (segment, True, partial, emitted, length, silent, lag), out
 
 
-def recognised(chunks: DataFrame) -> DataFrame:
+def recognised(chunks: DataFrame, idle: str | None = None) -> DataFrame:
     """Partial and final texts of sessions from a stream of chunks (session_id, seq, event, text, speech, chunk_ms).
 
-    Chunks of a batch run in the order of seq; a chunk out of order is processed where it comes (I8).
+    Chunks run in the order in which they come: one whose seq doesn't exceed that before it is processed where it
+    comes, and only counted and logged (``out_of_order``, I8). With ``idle``, a session without chunks for so long
+    (in processing time) gives out what it holds and its state is dropped.
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = state.get if state.exists else (0, False, "", "", 0, 0, 0)
+        *now, last, late = state.get if state.exists else (*FRESH, -1, 0)
         out = []
-        for frame in frames:
-            for row in frame.sort_values("seq").to_dict("records"):
-                segment = now[0]
-                now, made = step(now, row)
-                out += [(key[0], segment, kind, text, duration) for kind, text, duration in made]
-        state.update(now)
-        yield pd.DataFrame(out, columns=["session_id", "segment", "kind", "text", "duration_ms"])
-
-    return chunks.groupBy("session_id").applyInPandasWithState(run, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+        if state.hasTimedOut:
+            if now[4]:
+                out.append((key[0], now[0], "final", now[2], now[4], late))
+            state.remove()
+        else:
+            for frame in frames:
+                for row in frame.to_dict("records"):
+                    if row["seq"] <= last:
+                        late += 1
+                        log.warning("session %s: chunk %s after %s", key[0], row["seq"], last)
+                    segment, last = now[0], row["seq"]
+                    now, made = step(tuple(now), row)
+                    out += [(key[0], segment, kind, text, duration, late) for kind, text, duration in made]
+            state.update((*now, last, late))
+            if idle:
+                state.setTimeoutDuration(idle)
+        yield pd.DataFrame(out, columns=["session_id", "segment", "kind", "text", "duration_ms", "out_of_order"])
+
+    kind = GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
+    return chunks.groupBy("session_id").applyInPandasWithState(run, OUTPUT, STATE, "append", kind)

@@ -132,6 +132,55 @@ def test_phonology_inserts_n():
     assert [phonology.surface(w, on)[0] for w in ("담요", "색연필")] == ["담뇨", "생년필"]
 
 
+@pytest.mark.parametrize(
+    ("written", "said"),
+    [("같이", "가치"), ("옷이", "오시"), ("많이", "마니"), ("굳히다", "구치다"), ("읽어요", "일거요"), ("읽고", "일꼬"), ("막히다", "마키다"), ("밟히다", "발피다"), ("좋아요", "조아요"), ("감다", "감따"), ("갈등", "갈뜽"), ("어디", "어디"), ("좋다", "조타"), ("담요", "담뇨"), ("서울역", "서울력"), ("나의", "나에"), ("회의실", "회이실"), ("같 이", "같 이")],
+)
+def test_phonology_with_all_rules(written, said):
+    assert phonology.surface(written)[0] == said
+
+
+def test_phonology_switches():
+    on = phonology.Options
+    assert phonology.surface("과외", on(collapse_w="second"))[0] == "가이" and phonology.surface("외과", on(collapse_w="perceptual"))[0] == "에가"
+    assert phonology.surface("과외", on(collapse_wa=True))[0] == "가외" and phonology.surface("과", on(collapse_own=(("ㅘ", "ㅓ"),)))[0] == "거"
+    assert [phonology.surface("의사", on(eui=e))[0] for e in ("auto", "keep", "i", "e")] == ["의사", "의사", "이사", "에사"]
+    assert phonology.surface("담요", on(n_insertion=False))[0] == "다묘"
+
+
+def test_numbers_spaced():
+    assert [numbers.sino(n, spaced=True) for n in (0, 10, 123, 12_500, 100_000_000)] == ["영", "십", "백 이 십 삼", "일 만 이 천 오 백", "일 억"]
+    assert numbers.VARIANTS["spaced"]("1.5km") == "일 점 오 킬로미터" and numbers.VARIANTS["spaced"]("12,500") == "일 만 이 천 오 백"
+
+
+def test_range_rules_keep_equal_rows(spark):
+    rows = spark.createDataFrame([(1, {"a": "b"}), (1, {"a": "b"}), (99, None)], "v int, m map<string,string>")
+    rules = spark.createDataFrame([(0, 5, 2, "late"), (1, 3, 1, "early")], "lo int, hi int, idx int, kind string")
+    assert sorted((r.v, r.kind or "") for r in records.range_rules(rows, rules, "v").collect()) == [(1, "early"), (1, "early"), (99, "")]
+    with pytest.raises(ValueError, match="rules"):
+        records.range_rules(rows, rules, "v", most=1)
+
+
+def test_symbol_scores_may_be_negative(spark):
+    soft = {("b", "p"): 0.6}
+    df = spark.createDataFrame([(1, list("abc"), list("apx"))], "id int, r array<string>, h array<string>")
+    df = df.withColumn("pairs", align.aligned(soft=soft)("r", "h")["pairs"])
+    details = align.symbol_scores(df, "id", "r", "h", "pairs", soft=soft)
+    assert [(x.ri, x.score) for x in details.orderBy("ri").collect()] == [(0, 1.0), (1, 0.6), (2, -1.0)]
+    words = spark.createDataFrame([(1, 0, 0, "ab", 3.0), (1, 1, 0, "ab", 1.0), (1, 2, 1, "c", None)], "id int, ri int, word_no int, label string, duration double")
+    got = {x.word_no: (x.n, round(x.avg_score, 6), round(x.avg_score_dur, 6), x.low) for x in align.word_scores(details, words, "id", "linear").collect()}
+    assert got == {0: (2, 0.8, 0.9, ["b"]), 1: (1, -1.0, 0.0, ["c"])}
+    one = align.overall_scores(details, words, "id", "linear").first()
+    assert (one.n, round(one.avg_score, 6), round(one.avg_score_dur, 6)) == (3, 0.2, 0.9)
+
+
+def test_greedy_decodes(spark):
+    frames = [(1, i, label, p) for i, (label, p) in enumerate([("a", 0.9), ("a", 0.4), ("a", 0.2), ("a", 0.9), ("b", 0.4), ("b", 0.7)])]
+    df = spark.createDataFrame(frames, "id int, i int, label string, p double")
+    decode = lambda **o: align.greedy_decode(df, ["id"], "i", "label", "p", "_", 0.5, **o).first().decoded
+    assert decode() == "aab" and decode(keep_blank=False) == "ab" and decode(release=0.3) == "aab" and decode(release=0.1) == "ab"
+
+
 def test_hangul(spark):
     assert one(spark, hangul.jamo("t"), t=("string", "한글 a")) == "ㅎㅏㄴㄱㅡㄹ a"
     assert one(spark, hangul.skeleton("t"), t=("string", "한글")) == "ㅎㅏㄱㅡ"
@@ -168,7 +217,12 @@ def test_choices(spark):
 
 
 def test_streams():
-    assert streams.merge_overlap("hello wor", "world") == "hello world"
+    # At least four decomposed letters, compared without spaces and punctuation, cut from the text as it is written.
+    assert streams.merge_overlap("hello wor", "world") == "hello wor world"
+    assert streams.merge_overlap("hello worl", "world") == "hello world"
+    assert streams.merge_overlap("abcx", "cxyz") == "abcx cxyz"
+    assert streams.merge_overlap("안녕하", "녕하세요") == "안녕하세요" and streams.merge_overlap("네, 안녕", "안 녕하세요") == "네, 안녕하세요"
+    assert streams.merge_overlap("", "가") == "가" and streams.merge_overlap("가 ", "나") == "가 나"
     assert streams.balanced_json('a {"b": "}"} c') == '{"b": "}"}'
     assert streams.highlight("abc", "abd") == "ab[d]"
     assert streams.tag_chunks("가 (bell) 나") == [{"kind": "text", "value": "가"}, {"kind": "sfx", "value": "bell"}, {"kind": "text", "value": "나"}]

@@ -120,3 +120,16 @@ def test_recogniser_stream(spark, tmp_path):
     q.awaitTermination(120)
     finals = {(r.session_id, r.kind) for r in spark.table("asr_out").where(F.col("kind") == "final").collect()}
     assert finals == {("s", "final"), ("t", "final")}
+
+
+def test_recogniser_stream_keeps_the_order_of_arrival(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    rows = [("s", 0, "chunk", "first", True, 100), ("s", 5, "chunk", "", True, 100), ("s", 2, "chunk", "second", True, 100), ("s", 6, "eos", "", False, 0)]
+    names = ("session_id", "seq", "event", "text", "speech", "chunk_ms")
+    (src / "a.json").write_text("\n".join(json.dumps(dict(zip(names, r, strict=True))) for r in rows))
+    stream = sessions.tail(spark, str(src), "session_id string, seq long, event string, text string, speech boolean, chunk_ms long")
+    q = sessions.recognised(stream).writeStream.format("memory").queryName("asr_order").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = [(r.kind, r.text, r.out_of_order) for r in spark.table("asr_order").collect()]
+    assert got == [("partial", "first", 0), ("partial", "first second", 1), ("final", "first second", 1)]
