@@ -50,7 +50,7 @@ def decimal(text: str, spaced: bool = False) -> str:
     return sign + sino(int(whole or 0), spaced) + (point + gap.join(DIGITS[int(d)] for d in part) if part else "")
 
 
-_NUMBER = r"-?\d[\d,]*(?:\.\d+)?"
+_NUMBER = r"-?\d(?:[\d,]*\d)?(?:\.\d+)?"
 
 
 def verbaliser(spaced: bool = False, half_hours: bool = False, months: bool = True, counters: bool = True) -> Callable[[str], str]:

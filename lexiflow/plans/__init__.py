@@ -1,6 +1,6 @@
 """Registered queries over the fixture tables."""
 
-from . import speech  # noqa: F401  (registers its queries)
+from . import files, forms, speech, timeline  # noqa: F401  (registers their queries)
 from .catalogue import SQL
 from .catalogue import Q as QUERIES
 

@@ -13,14 +13,16 @@ from .catalogue import query, table
 HANGUL = ["같이 굳이 읽고", "담요와 색연필", "많이 먹었다", "국물이 좋다", "신라의 독립", "2024-05-17 3시 30분에 사과 3개", "값이 12,500원", "학교 앞 칼날"]
 
 
-def _korean(spark):
-    return spark.createDataFrame(list(enumerate(HANGUL)), "id long, text string")
+def _korean(spark, sf_dir):
+    """A Korean phrase beside the name of each part."""
+    phrase = F.element_at(F.array(*map(F.lit, HANGUL)), (F.col("p_partkey") % len(HANGUL) + 1).cast("int"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat(phrase, F.lit(" "), "p_name").alias("text"))
 
 
-@query("""WITH p AS (SELECT p_partkey, p_name AS a, coalesce(lag(p_name) OVER (ORDER BY p_partkey), '') AS b FROM part WHERE p_partkey <= 500)
+@query("""WITH p AS (SELECT p_partkey, p_name AS a, coalesce(lag(p_name) OVER (ORDER BY p_partkey), '') AS b FROM part)
   SELECT p_partkey, round(CASE WHEN length(b) = 0 THEN 1.0 ELSE levenshtein(a, b) / length(b) END, 6)::DOUBLE AS cer FROM p""")
 def char_error_rate(spark, sf_dir):
-    p = table(spark, sf_dir, "part").where("p_partkey <= 500").select("p_partkey", F.col("p_name").alias("a"))
+    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("a"))
     before = p.select((F.col("p_partkey") + 1).alias("p_partkey"), F.col("a").alias("b"))
     both = p.join(before, "p_partkey", "left").withColumn("b", F.coalesce("b", F.lit("")))
     return both.select("p_partkey", F.round(align.cer(F.col("a"), F.col("b")), 6).alias("cer"))
@@ -57,22 +59,22 @@ def nw_symbol_scores(spark, sf_dir):
 
 @query()
 def surface_phonology(spark, sf_dir):
-    return _korean(spark).select("id", phonology.surface_form(phonology.Options(n_insertion=True))("text").alias("s"), hangul.jamo("text").alias("jamo"), hangul.skeleton("text").alias("skeleton")).select("id", "s.clean", "s.tags", "jamo", "skeleton")
+    return _korean(spark, sf_dir).select("id", phonology.surface_form(phonology.Options(n_insertion=True))("text").alias("s"), hangul.jamo("text").alias("jamo"), hangul.skeleton("text").alias("skeleton")).select("id", "s.clean", "s.tags", "jamo", "skeleton")
 
 
 @query()
 def surface_changes(spark, sf_dir):
-    return _korean(spark).select("id", F.explode(phonology.explained("text")).alias("c")).select("id", "c.*")
+    return _korean(spark, sf_dir).select("id", F.explode(phonology.explained("text")).alias("c")).select("id", "c.*")
 
 
 @query()
 def verbalised_numbers(spark, sf_dir):
-    return _korean(spark).select("id", *(numbers.verbalised(v)("text").alias(v) for v in numbers.VARIANTS), numbers.cleaned(["numbers", "collapse"])("text").alias("cleaned"))
+    return _korean(spark, sf_dir).select("id", *(numbers.verbalised(v)("text").alias(v) for v in numbers.VARIANTS), numbers.cleaned(["numbers", "collapse"])("text").alias("cleaned"))
 
 
 @query()
 def syllable_chunk_scores(spark, sf_dir):
-    k = _korean(spark).select("id", hangul.syllable_chunks("text").alias("chunks"))
+    k = _korean(spark, sf_dir).select("id", hangul.syllable_chunks("text").alias("chunks"))
     flat = k.select("id", F.posexplode(F.flatten("chunks.jamos")).alias("place", "j")).select("id", "place", ((F.col("place") * 7 % 10) / 10).alias("conf"))
     return align.syllable_scores(k, flat, "id")
 
@@ -117,9 +119,9 @@ def phone_groups(spark, sf_dir):
     return state.per_key(p, "p_partkey", ["i"], partial(state.phone_groups, least=300, most=500, fewest=3, stride=2), ["s", "e"], "first long, last long")
 
 
-@query("""SELECT doc_id, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) / greatest(1, length(regexp_replace(text, '[\\s\\p{Z}]', '', 'g'))) AS latin, trim(lower(substr(text, 1, 20)), ' \n\t') AS head FROM documents""")
+@query("""SELECT doc_id, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) / greatest(1, length(regexp_replace(text, '[\\s\\p{Z}]', '', 'g'))) AS latin, regexp_replace(lower(coalesce(text, '')), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') AS head FROM documents""")
 def script_ratios(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.script_ratio("text", "[A-Za-z]").alias("latin"), text.norm(F.substring("text", 1, 20)).alias("head"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.script_ratio("text", "[A-Za-z]").alias("latin"), text.norm("text").alias("head"))
 
 
 @query()
@@ -172,21 +174,26 @@ def merged_transcripts(spark, sf_dir):
     return c.select("conv_id", "turn", streams.merged("a", "b").alias("merged"), streams.highlighted("a", "b").alias("marked"))
 
 
-@query("""WITH e AS (SELECT event_id, user_id, value AS rms FROM events WHERE user_id < 40), x AS (SELECT event_id, user_id, ts FROM events WHERE user_id < 40)
-  SELECT count(*) AS n FROM x""")
-def boundary_snaps(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("user_id < 40").withColumn("t", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6))
-    frames = e.select("user_id", F.col("t").alias("frame_t"), F.col("value").alias("rms"))
-    return intervals.snap_to_minima(e.select("event_id", "user_id", "t"), frames, ["user_id"], "event_id", "t", 3600.0).agg(F.count("snapped").alias("n"))
+SNAPS = """WITH e AS (SELECT event_id, user_id, epoch_us(ts) / 1e6 AS t, value FROM events)
+  SELECT a.event_id, min_by(b.t, {'v': b.value, 't': b.t}) AS snapped FROM e a JOIN e b ON a.user_id = b.user_id AND b.t BETWEEN a.t - 3600 AND a.t + 3600 GROUP BY a.event_id"""
 
 
-@query()
-def boundary_snaps_whole(spark, sf_dir):
+def _snaps(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("t", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6))
     frames = e.select("user_id", F.col("t").alias("frame_t"), F.col("value").alias("rms"))
     return intervals.snap_to_minima(e.select("event_id", "user_id", "t"), frames, ["user_id"], "event_id", "t", 3600.0).select("event_id", "snapped")
 
 
+@query(SNAPS)
+def boundary_snaps(spark, sf_dir):
+    return _snaps(spark, sf_dir)
+
+
+@query(SNAPS)
+def boundary_snaps_whole(spark, sf_dir):
+    return _snaps(spark, sf_dir)
+
+
 @query("""WITH w AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, event_type FROM events)
   SELECT event_id, CASE WHEN first IS NULL OR i < first THEN 'onset' WHEN i > last THEN 'coda' ELSE 'nucleus' END AS position
   FROM (SELECT *, min(CASE WHEN event_type = 'purchase' THEN i END) OVER (PARTITION BY user_id) AS first, max(CASE WHEN event_type = 'purchase' THEN i END) OVER (PARTITION BY user_id) AS last FROM w)""")
@@ -197,10 +204,10 @@ def chunk_positions(spark, sf_dir):
     return intervals.positions(e, ["user_id"], "i", "v").select("event_id", "position")
 
 
-@query("SELECT p_partkey, coalesce(d.text, 'none') AS text FROM part LEFT JOIN (VALUES (1, 'ko text'), (2, 'vi text'), (3, 'en text')) d(p_partkey, text) USING (p_partkey) WHERE p_partkey <= 4")
+@query("SELECT p_partkey, coalesce(d.text, 'none') AS text FROM part LEFT JOIN (VALUES (1, 'ko text'), (2, 'vi text'), (3, 'en text')) d(p_partkey, text) USING (p_partkey)")
 def described(spark, sf_dir):
     rows = spark.createDataFrame([(1, {"ko": "ko text", "en": "x"}), (2, {"vi": "vi text", "ko": " "}), (3, {"en": "en text"})], "p_partkey long, desc map<string,string>")
-    out = records.description(table(spark, sf_dir, "part").where("p_partkey <= 4").select("p_partkey"), rows, "p_partkey", "ko")
+    out = records.description(table(spark, sf_dir, "part").select("p_partkey"), rows, "p_partkey", "ko")
     return out.select("p_partkey", F.coalesce("text", F.lit("none")).alias("text"))
 
 

@@ -31,7 +31,9 @@ def read_marked(spark: SparkSession, path: str | list[str], schema: T.StructType
 
 def drop_counts(marked: DataFrame) -> DataFrame:
     """Rows read and broken lines of each file (A3)."""
-    return marked.groupBy("_file").agg(F.count("*").alias("n"), F.count(CORRUPT).alias("broken"))
+    # The reader must be asked for other columns too, or it doesn't parse.
+    broken = F.when(F.col(CORRUPT).isNotNull(), F.struct(*(c for c in marked.columns if c != "_file")))
+    return marked.groupBy("_file").agg(F.count("*").alias("n"), F.count(broken).alias("broken"))
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
