@@ -76,6 +76,19 @@ def text_bytes(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
 
 
+def text_source(carry: tuple[str, ...]) -> list[Column]:
+    """Columns that bring each row's text and the columns of ``carry`` to a task, the text once: it is in ``carried`` if it is carried."""
+    carried = [F.struct(*(F.col(f"`{c}`") for c in carry)).alias("carried")] if carry else []
+    return carried if "text" in carry else [*carried, text_bytes().alias("text")]
+
+
+def texts(batch: pa.RecordBatch) -> Iterator[bytes]:
+    """UTF-8 bytes of the texts of a batch of ``text_source``, null as empty."""
+    column = batch["text"] if "text" in batch.schema.names else batch["carried"].field(batch["carried"].type.get_field_index("text"))
+    for t in column:
+        yield t.as_buffer().to_pybytes() if t.is_valid else b""
+
+
 def ascii_lower(column: str | Column) -> Column:
     """Lower-case A-Z only, null as empty."""
     column = F.col(column) if isinstance(column, str) else column

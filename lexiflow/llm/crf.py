@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import text_bytes
+from .common import text_bytes, text_source, texts
 
 #: Most labelled rows to train on: those with the least hashes of their doc_id.
 TRAIN_ROWS = 4000
@@ -178,7 +178,7 @@ def _score_batches(model: dict):
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                found = scores(Batch(*_measured([t.as_buffer().to_pybytes() for t in part["text"]])), model)
+                found = scores(Batch(*_measured(list(texts(part)))), model)
                 yield pa.RecordBatch.from_arrays([part["carried"], pa.array(found)], ["carried", "score"])
 
     return run
@@ -209,6 +209,6 @@ def quality_scores(docs: DataFrame, model: dict, carry: tuple[str, ...] = ("doc_
     Rows are scored one by one from their text alone: repeated rows get equal scores, an empty table no rows. ``out``
     must not be one of the carried columns.
     """
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in carry)).alias("carried"), text_bytes().alias("text"))
+    rows = docs.select(*text_source(carry))
     scored = rows.mapInArrow(_score_batches(model), StructType([rows.schema["carried"], StructField("score", DoubleType())]))
     return scored.select(*(F.col(f"carried.`{c}`") for c in carry), F.col("score").alias(out))

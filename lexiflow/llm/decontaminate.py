@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .common import WORD, ascii_lower, discard, materialise, text_bytes
+from .common import WORD, ascii_lower, discard, materialise, text_source, texts
 
 #: Words of an item that must stand together in a text.
 WINDOW = 13
@@ -181,8 +181,7 @@ def _stream(name: str, items, window: int, carried: list[str]):
         for batch in batches:
             before = list(zip(*(batch[c].to_pylist() for c in ("starts", "ends", "items")), strict=True)) if "starts" in batch.schema.names else [([], [], [])] * batch.num_rows
             n, runs, places, found = [], [], [], []
-            for text, (starts, ends, known) in zip(batch["text"], before, strict=True):
-                raw = text.as_buffer().to_pybytes()
+            for raw, (starts, ends, known) in zip(texts(batch), before, strict=True):
                 words = words_of(raw)
                 spans, items_ = machine.matches(words)
                 spans = _union([*spans, *zip(starts, ends, strict=True)]) if starts else spans
@@ -215,13 +214,13 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shard
     each. Columns of ``carry`` come along in a struct ``carried``. Empty tables give no rows, or rows without matches.
     """
     spark = docs.sparkSession
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"), *([F.struct(*(F.col(f"`{c}`") for c in carry)).alias("carried")] if carry else []))
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), *text_source(carry))
     kept = [c for c in rows.columns if c != "text"]
     kinds = {f.name: f for f in rows.schema}
     shards, written = item_shards(items, shard_words), None
     for k, shard in enumerate(shards):
         held = [(r["item_id"], [w.encode() for w in r["words"]]) for r in shard.orderBy("item_id").toLocalIterator()]
-        names = kept if k + 1 == len(shards) else [*kept, "text"]
+        names = kept if k + 1 == len(shards) else [c for c in (*kept, "text") if c in kinds]
         rows = rows.mapInArrow(_stream(uuid.uuid4().hex, spark.sparkContext.broadcast(held), window, names), StructType([*(kinds[c] for c in names), *_MARKS]))
         if k + 1 < len(shards):
             before, written = written, materialise(rows)

@@ -183,15 +183,14 @@ def _stars(mixed: DataFrame, turn: int, percent: int) -> DataFrame:
 
 def _joined(found: DataFrame, links: DataFrame) -> tuple[DataFrame, int]:
     """``found`` with the components that ``links`` connect as one, and how many went into others."""
+    if links.isEmpty():
+        return found, 0
     part = found.select(F.col("id"), F.col("component"))
     ends = links
     for side in ("a", "b"):
         ends = ends.join(part.select(F.col("id").alias(side), F.col("component").alias(f"{side}_in")), side, "left").withColumn(side, F.coalesce(f"{side}_in", side)).drop(f"{side}_in")
     more = components(ends.distinct())
     merged = more.count()
-    if not merged:
-        discard(more)
-        return found, 0
     into = more.select(F.col("id").alias("component"), F.col("component").alias("into"))
     moved = found.join(into, "component", "left").select("id", F.coalesce("into", "component").alias("component"))
     now = materialise(moved.union(more.join(found, "id", "left_anti").select("id", "component")))
@@ -262,8 +261,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     apart = _mixed(shared, found).select(F.col("id").alias("doc_id"), "component").distinct()
     rest = materialise(apart.join(sets, "doc_id").withColumnRenamed("doc_id", "id"))
     pairs = _close(rest, percent)
-    found, _ = _joined(found, _linked(_compared(pairs, sets), percent))
-    discard(shared, sets, rest, pairs)
+    links = materialise(_linked(_compared(pairs, sets), percent))
+    found, _ = _joined(found, links)
+    discard(shared, sets, rest, pairs, links)
     named = classes.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select(*key, "c", F.coalesce("component", "rep").alias("component_id"))
     rows_ = sketched.select("doc_id", *key)
     full = join_counted(rows_.where("n_shingles > 0"), named, key, rows_.count()).select("doc_id", "n_shingles", "component_id")

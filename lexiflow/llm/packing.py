@@ -34,7 +34,7 @@ LOOK = 16
 #: Ends a document.
 END = 1
 #: Entries of each of a worker's two tables of known words: those of late, and those of the time before.
-KNOWN = 160_000
+KNOWN = 80_000
 
 #: Words that byte-level BPE never joins, for texts of ASCII and Latin letters only.
 _LATIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^\sA-Za-z0-9À-ÖØ-öø-ɏ]+|\s+(?!\S)|\s+")
