@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, join_counted, materialise
+from .common import discard, materialise
 
 
-def _rounds(edges: DataFrame, total: int) -> DataFrame:
-    """One large-star and one small-star round over ``total`` edges (u > v)."""
+def _rounds(edges: DataFrame) -> DataFrame:
+    """One large-star and one small-star round over edges (u > v)."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("c"))
-    large = join_counted(both, least, ["u"], 2 * total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-    least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c"))
-    small = join_counted(large, least, ["u"], total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    # Only the edges from a node to larger ones move; a hub's are split by AQE, as one side has a row for each node.
+    large = edges.select(F.col("v").alias("u"), F.col("u").alias("v")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+    least = large.groupBy("u").agg(F.min("v").alias("m"))
+    small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return small.union(least.select("u", F.col("m").alias("v"))).where("u > v").distinct()
 
 
@@ -22,8 +23,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     """``(id, component)`` for every node of ``edges`` that isn't the smallest of its component.
 
     Edges and labels stay in tables in the shared folder, the result in one that ``discard`` deletes; the driver sees two
-    numbers a round. A node with a large share of all edges is no task of its own. Loops and repeated edges are harmless;
-    an empty table gives an empty result.
+    numbers a round. Loops and repeated edges are harmless; an empty table gives an empty result.
     """
     now = materialise(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct())
     seen = None
@@ -33,6 +33,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
             out = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
             out._shared_path = now._shared_path
             return out
-        seen, before, now = (n, total), now, materialise(_rounds(now, n))
+        seen, before, now = (n, total), now, materialise(_rounds(now))
         discard(before)
     raise RuntimeError("components did not settle")

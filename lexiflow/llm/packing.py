@@ -188,7 +188,7 @@ def _pack_batches(path: str, limits: tuple[int, int, int], look: int, with_ids:
             part = p.ids[4 * start : 4 * (start + length)]
             borne = max(0, start + length - max(start, p.loss_from))
             rows.append((p.doc, start, length, zlib.crc32(part), p.tokens, base + sequence, offset, borne, part if with_ids else None))
-            if len(rows) == 4096:
+            if len(rows) == 1024:
                 yield flush()
         if rows:
             yield flush()

@@ -146,6 +146,7 @@ def _name(buckets: int, length: int):
     """Step 1: (bucket, block, blob of k-grams with the number of different stretches)."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()
         block = Block(table, length)
         doc, at, n, gram = block.stretches()
         grams, where, count = np.unique(gram, return_inverse=True, return_counts=True)
@@ -167,6 +168,7 @@ def _ask(hot: int):
     """Step 2: (block, blob of the k-grams to cut there)."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()
         parts = [np.frombuffer(x, _NAMED) for x in table["blob"].to_pylist()]
         home = np.repeat(table["block"].to_numpy(), [len(x) for x in parts])
         named = np.concatenate(parts)
@@ -185,6 +187,7 @@ def _send(buckets: int, length: int):
     """Step 3: (bucket, stretches, their bytes); those that repeat one of the block itself go without bytes."""
 
     def run(key: tuple[pa.Scalar, ...], docs: pa.Table, asked: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()
         want = np.concatenate([np.zeros(0, _ASKED), *(np.frombuffer(x, _ASKED) for x in asked["blob"].to_pylist())])
         want = want[np.argsort(want["gram"])]
         empty = pa.table({"bucket": pa.array([], pa.int64()), "blob": pa.array([], pa.binary()), "bytes": pa.array([], pa.binary())})
@@ -269,6 +272,7 @@ def _judge(length: int):
     """Step 4: (block, blob of cuts)."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()
         parts = [np.frombuffer(x, _SENT) for x in table["blob"].to_pylist()]
         texts: list[bytes] = []
         for part, data in zip(parts, table["bytes"].to_pylist(), strict=True):
@@ -311,6 +315,7 @@ def _apply(length: int, characters: bool, carried: list[str]):
     """Step 5: a row for each document of the block, with its maximal removed runs."""
 
     def run(key: tuple[pa.Scalar, ...], docs: pa.Table, cuts: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()
         block = Block(docs, length)
         cut = np.concatenate([np.zeros(0, _CUT), *(np.frombuffer(x, _CUT) for x in cuts["blob"].to_pylist())])
         cut = cut[np.lexsort((cut["start"], cut["copy"], cut["doc"]))]
