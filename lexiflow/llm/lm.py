@@ -61,62 +61,66 @@ class Vocabulary(dict):
 PAD = CLASSES * SIZE
 
 
+def _softmax(x: np.ndarray, row: np.ndarray, column: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log probabilities at ``(row, column)`` and all probabilities, of the columns of ``x``, which is overwritten."""
+    x -= x.max(axis=0)
+    at = x[row, column]
+    np.exp(x, out=x)
+    total = x.sum(axis=0)
+    x /= total
+    return at - np.log(total), x
+
+
 class Network:
     """Window network with a two-level softmax, float32."""
 
     def __init__(self, seed: int = 7):
         r = np.random.default_rng(seed)
         normal = lambda *s: r.normal(0, 0.1, s).astype(np.float32)
-        self.p = [normal(PAD + 1, WIDTH), normal(2 * SIDE * WIDTH, HIDDEN) * 3, np.zeros(HIDDEN, np.float32), normal(HIDDEN, CLASSES), np.zeros(CLASSES, np.float32), normal(CLASSES, HIDDEN, SIZE), np.zeros((CLASSES, SIZE), np.float32)]
-        self.m, self.v, self.t = [np.zeros_like(x) for x in self.p], [np.zeros_like(x) for x in self.p], 0
+        first = [normal(PAD + 1, WIDTH), normal(2 * SIDE * WIDTH, HIDDEN) * 3, np.zeros(HIDDEN, np.float32), normal(HIDDEN, CLASSES), np.zeros(CLASSES, np.float32), normal(CLASSES, HIDDEN, SIZE), np.zeros((CLASSES, SIZE), np.float32)]
+        self.all = np.concatenate([x.ravel() for x in first])
+        # Views of one vector, so that a step of Adam is a few operations.
+        ends = np.cumsum([x.size for x in first])[:-1]
+        self.p = [part.reshape(x.shape) for part, x in zip(np.split(self.all, ends), first, strict=True)]
+        self.m, self.v, self.t = np.zeros_like(self.all), np.zeros_like(self.all), 0
 
     def dump(self) -> bytes:
-        return b"".join(x.astype("<f4").tobytes() for x in self.p)
+        return self.all.astype("<f4").tobytes()
 
     def load(self, blob: bytes) -> Network:
-        flat, at = np.frombuffer(blob, "<f4"), 0
-        for i, x in enumerate(self.p):
-            self.p[i] = flat[at : at + x.size].reshape(x.shape).copy()
-            at += x.size
+        self.all[:] = np.frombuffer(blob, "<f4")
         return self
 
     def run(self, context: np.ndarray, y: np.ndarray, learn: bool = False) -> np.ndarray:
         """Log probabilities of ``y`` given ``context`` (a column for each neighbour); one step of Adam if ``learn``."""
         e, w, b, c, cb, o, ob = self.p
         n = len(y)
-        # In the order of classes, so that each class is one slice.
+        # In the order of classes, so that each class is one slice; a column for each token, so that sums run along rows.
         order = np.argsort(y // SIZE, kind="stable")
         y, context = y[order], context[order]
         kind, word, every = y // SIZE, y % SIZE, np.arange(n)
         x = e[context].reshape(n, -1)
         h = np.tanh(x @ w + b)
-        top = h @ c + cb
-        top -= top.max(axis=1, keepdims=True)
-        p = np.exp(top)
-        total = p.sum(axis=1, keepdims=True)
-        score = top[every, kind] - np.log(total[:, 0])
+        cut = np.searchsorted(kind, np.arange(CLASSES + 1))
+        met = [(k, slice(cut[k], cut[k + 1])) for k in range(CLASSES) if cut[k] < cut[k + 1]]
+        top, low = c.T @ h.T + cb[:, None], np.repeat(ob.T, np.diff(cut), axis=1)
+        for k, of in met:
+            low[:, of] += o[k].T @ h[of].T
+        top_score, p = _softmax(top, kind, every)
+        low_score, q = _softmax(low, word, every)
+        score = top_score + low_score
         if learn:
             g = [None] * 7
-            p /= -total
-            p[every, kind] += 1
-            g[3], g[4], dh = h.T @ p, p.sum(axis=0), p @ c.T
+            np.negative(p, out=p)
+            p[kind, every] += 1
+            g[3], g[4], dh = h.T @ p.T, p.sum(axis=1), p.T @ c.T
+            np.negative(q, out=q)
+            q[word, every] += 1
             g[5], g[6] = np.zeros_like(o), np.zeros_like(ob)
-        cut = np.searchsorted(kind, np.arange(CLASSES + 1))
-        for k in range(CLASSES):
-            lo, hi = cut[k], cut[k + 1]
-            if lo == hi:
-                continue
-            low = h[lo:hi] @ o[k] + ob[k]
-            low -= low.max(axis=1, keepdims=True)
-            q = np.exp(low)
-            total = q.sum(axis=1, keepdims=True)
-            at = np.arange(hi - lo)
-            score[lo:hi] += low[at, word[lo:hi]] - np.log(total[:, 0])
-            if learn:
-                q /= -total
-                q[at, word[lo:hi]] += 1
-                g[5][k], g[6][k] = h[lo:hi].T @ q, q.sum(axis=0)
-                dh[lo:hi] += q @ o[k].T
+            g[6][[k for k, _ in met]] = np.add.reduceat(q, [of.start for _, of in met], axis=1).T
+            for k, of in met:
+                g[5][k] = h[of].T @ q[:, of].T
+                dh[of] += q[:, of].T @ o[k].T
         if learn:
             dh *= 1 - h * h
             g[1], g[2] = x.T @ dh, dh.sum(axis=0)
@@ -124,11 +128,10 @@ class Network:
             flat = context.ravel()
             g[0] = np.stack([np.bincount(flat, dx[:, j], len(e)) for j in range(WIDTH)], axis=1).astype(np.float32)
             self.t += 1
-            for i, x in enumerate(g):
-                x = x / n
-                self.m[i] += 0.1 * (x - self.m[i])
-                self.v[i] += 0.01 * (x * x - self.v[i])
-                self.p[i] += RATE / (1 + self.t / 400) * (self.m[i] / (1 - 0.9**self.t)) / (np.sqrt(self.v[i] / (1 - 0.99**self.t)) + 1e-6)
+            up = np.concatenate([x.ravel() for x in g]) / n
+            self.m += 0.1 * (up - self.m)
+            self.v += 0.01 * (up * up - self.v)
+            self.all += RATE / (1 + self.t / 400) * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.99**self.t)) + 1e-6)
         out = np.empty_like(score)
         out[order] = score
         return out
