@@ -13,7 +13,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import compress
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +30,8 @@ CLASSES, SIZE, BUCKETS = 32, 32, 64
 SIDE, WIDTH, HIDDEN, STEP, RATE = 2, 8, 24, 2048, 0.02
 #: Tokens that are scored at once.
 SCORED = 16384
-#: Words that a worker remembers beside the vocabulary; members of a group of the averaging tree.
-KNOWN, GROUP = 300_000, 64
+#: Other words, and their places, that a task holds before it gives them out; members of a group of the averaging tree.
+WORDS, PLACES, GROUP = 200_000, 1_000_000, 64
 #: Added to every count of a word within its bucket, and one share for words that were never counted.
 SMOOTH = 0.5
 #: Parts of 1 in which log shares are added up, so that sums don't depend on their order.
@@ -39,24 +39,33 @@ FINE = 1 << 30
 
 
 class Vocabulary(dict):
-    """Ids of words; words outside the list get one of the hashed ids."""
+    """Numbers of words: first those of the list, which are their ids, then others as they come; these share the hashed ids."""
 
     def __init__(self, words: list[bytes]):
         super().__init__({w: i for i, w in enumerate(words)})
-        self.first, self.known = CLASSES * SIZE - BUCKETS, len(words) + KNOWN
+        self.listed, self.ids, self.fresh = len(words), np.arange(len(words), dtype=np.int16), []
 
     def __missing__(self, word: bytes) -> int:
-        i = self.first + zlib.crc32(word) % BUCKETS
-        if len(self) < self.known:
-            self[word] = i
+        i = self[word] = len(self)
+        self.fresh.append(CLASSES * SIZE - BUCKETS + zlib.crc32(word) % BUCKETS)
         return i
 
-    def ids(self, text: bytes) -> np.ndarray:
-        return self.of_words(words_of(text))
-
-    def of_words(self, words: list[bytes]) -> np.ndarray:
+    def numbers(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
 
+    def ids_of(self, numbers: np.ndarray) -> np.ndarray:
+        if self.fresh:
+            self.ids, self.fresh = np.concatenate([self.ids, np.array(self.fresh, np.int16)]), []
+        return self.ids[numbers]
+
+    def others(self) -> list[bytes]:
+        """The words beyond the list, in the order of their numbers; they are forgotten."""
+        found = list(islice(self, self.listed, None))
+        for w in found:
+            del self[w]
+        self.ids, self.fresh = self.ids[: self.listed], []
+        return found
+
 
 PAD = CLASSES * SIZE
 
@@ -165,7 +174,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, texts in _texts(batches):
         for t in texts:
             held.update(words_of(t))
-        if len(held) > 200_000:
+        if len(held) > WORDS:
             yield out()
     yield out()
 
@@ -196,11 +205,64 @@ def bucket_shares(counts: DataFrame, words: list[bytes]) -> tuple[DataFrame, Dat
     return shares, every.select("bucket", log(SMOOTH / F.col("total")).alias("other"))
 
 
-def _train(words, start: bytes):
+#: A row of a document has its ids, a row of a word outside the list the documents (of one stretch of a task) that it stands in.
+ENCODED = "row long, doc_id long, ids binary, word binary, places array<struct<row: long, n: long>>"
+
+
+def _encode(words):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, net, seen = Vocabulary(words.value), Network().load(start), 0
-        for _, texts in _texts(batches):
-            context, y, _ = contexts([known.ids(t) for t in texts])
+        known, row = Vocabulary(words.value), TaskContext.get().partitionId() << 33
+        held: list[np.ndarray] = []  # number of a word, row, times
+
+        def places() -> pa.RecordBatch:
+            number, at, n = np.concatenate(held, axis=1)
+            held.clear()
+            order = np.argsort(number, kind="stable")
+            others = known.others()
+            ends = np.cumsum([0, *np.bincount(number - known.listed, minlength=len(others))]).astype(np.int32)
+            members = pa.StructArray.from_arrays([pa.array(at[order]), pa.array(n[order])], ["row", "n"])
+            none = [pa.nulls(len(others), t) for t in (pa.int64(), pa.int64(), pa.binary())]
+            return pa.RecordBatch.from_arrays([*none, pa.array(others, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), members)], names)
+
+        names = ["row", "doc_id", "ids", "word", "places"]
+        for part, texts in _texts(batches):
+            numbers = [known.numbers(words_of(t)) for t in texts]
+            rows = np.arange(row, row + len(texts))
+            row += len(texts)
+            ids = pa.array([known.ids_of(x).astype("<i2").tobytes() for x in numbers], pa.binary())
+            members = pa.nulls(len(texts), pa.list_(pa.struct([("row", pa.int64()), ("n", pa.int64())])))
+            yield pa.RecordBatch.from_arrays([pa.array(rows), part["doc_id"], ids, pa.nulls(len(texts), pa.binary()), members], names)
+            flat = np.concatenate(numbers).astype(np.int64) * len(texts) + np.repeat(np.arange(len(texts)), [len(x) for x in numbers])
+            pair, n = np.unique(flat[flat >= known.listed * len(texts)], return_counts=True)
+            if len(pair):
+                held.append(np.stack([pair // len(texts), rows[pair % len(texts)], n]))
+            if len(known) > known.listed + WORDS or sum(x.shape[1] for x in held) > PLACES:
+                yield places()
+        if held:
+            yield places()
+
+    return run
+
+
+def encoded(docs: DataFrame, words: list[bytes]) -> DataFrame:
+    """Texts as ids of the network, and the places of all words outside the list, as a written table of ``ENCODED``."""
+    held = docs.sparkSession.sparkContext.broadcast(words)  # bounded by CLASSES * SIZE words
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
+    return materialise(rows.mapInArrow(_encode(held), ENCODED))
+
+
+def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, 128):
+            part = batch.slice(i, 128)
+            yield part, [np.frombuffer(x.as_buffer(), "<i2").astype(np.int32) for x in part["ids"]]
+
+
+def _train(start: bytes):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net, seen = Network().load(start), 0
+        for _, ids in _ids(batches):
+            context, y, _ = contexts(ids)
             seen += len(y)
             for i in range(0, len(y), STEP):
                 net.run(context[i : i + STEP], y[i : i + STEP], learn=True)
@@ -217,14 +279,13 @@ def _mean(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "n": pa.array([n], pa.int64()), "net": pa.array([total.astype("<f4").tobytes()], pa.binary())})
 
 
-def train(docs: DataFrame, words: list[bytes], rounds: int = 1) -> bytes:
-    """The network after ``rounds`` over all tokens; each starts from the average of the one before."""
+def train(texts: DataFrame, rounds: int = 1) -> bytes:
+    """The network after ``rounds`` over all ``ids`` of ``texts``; each starts from the average of the one before."""
     blob = Network().dump()
-    held = docs.sparkSession.sparkContext.broadcast(words)  # bounded by CLASSES * SIZE words
     for _ in range(rounds):
-        rows = docs.select(text_bytes().alias("text"))
+        rows = texts.select("ids")
         width = max(1, rows.rdd.getNumPartitions())
-        nets = rows.mapInArrow(_train(held, blob), "part long, n long, net binary")
+        nets = rows.mapInArrow(_train(blob), "part long, n long, net binary")
         while width > 1:
             nets = nets.withColumn("part", F.floor(F.col("part") / GROUP).cast("long")).groupBy("part").applyInArrow(_mean, "part long, n long, net binary")
             width = -(-width // GROUP)
@@ -233,20 +294,13 @@ def train(docs: DataFrame, words: list[bytes], rounds: int = 1) -> bytes:
     return blob
 
 
-def _score(words, blob: bytes):
+def _score(blob: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, net, row = Vocabulary(words.value), Network().load(blob), TaskContext.get().partitionId() << 33
-        for part, texts in _texts(batches):
-            split = [words_of(t) for t in texts]
-            ids = [known.of_words(w) for w in split]
-            rare = [Counter(compress(w, (i >= known.first).tolist())) for w, i in zip(split, ids, strict=True)]
-            ends = np.cumsum([0, *map(len, rare)]).astype(np.int32)
-            pairs = pa.StructArray.from_arrays([pa.array([w for r in rare for w in r], pa.binary()), pa.array([n for r in rare for n in r.values()], pa.int64())], ["word", "n"])
+        net = Network().load(blob)
+        for part, ids in _ids(batches):
             context, y, doc = contexts(ids)
             logs = np.concatenate([np.zeros(0), *(net.run(context[i : i + SCORED], y[i : i + SCORED]).astype(float) for i in range(0, len(y), SCORED))])
-            rows = pa.array(np.arange(row, row + len(ids)))
-            row += len(ids)
-            yield pa.RecordBatch.from_arrays([rows, part["doc_id"], pa.array([len(x) for x in ids], pa.int64()), pa.array(np.bincount(doc, logs, len(ids)).astype(float)), pa.ListArray.from_arrays(pa.array(ends), pairs)], ["row", "doc_id", "n_tokens", "network", "rare"])
+            yield pa.RecordBatch.from_arrays([part["row"], part["doc_id"], pa.array([len(x) for x in ids], pa.int64()), pa.array(np.bincount(doc, logs, len(ids)).astype(float))], ["row", "doc_id", "n_tokens", "network"])
 
     return run
 
@@ -262,13 +316,12 @@ def pseudo_likelihood(docs: DataFrame, rounds: int = 1) -> DataFrame:
     """
     counts = materialise(word_counts(docs))
     words = vocabulary(counts)
-    blob = train(docs, words, rounds)
-    held = docs.sparkSession.sparkContext.broadcast(words)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
-    scored = materialise(rows.mapInArrow(_score(held, blob), "row long, doc_id long, n_tokens long, network double, rare array<struct<word: binary, n: long>>"))
+    rows = encoded(docs, words)
+    texts = rows.where("word is null").select("row", "doc_id", "ids")
+    scored = materialise(texts.mapInArrow(_score(train(texts, rounds)), "row long, doc_id long, n_tokens long, network double"))
     shares, others = bucket_shares(counts, words)
-    met = scored.select("row", F.explode("rare").alias("x")).select("row", "x.word", "x.n").join(shares, "word", "left")
+    met = rows.where("word is not null").select("word", "places").join(shares, "word", "left")
     met = met.withColumn("bucket", F.crc32("word") % BUCKETS).join(F.broadcast(others), "bucket")
-    added = met.groupBy("row").agg(F.sum(F.col("n") * F.coalesce("share", "other")).alias("added"))
-    done = scored.drop("rare").join(added, "row", "left").withColumn("pseudo_loglik", F.col("network") + F.coalesce(F.col("added") / FINE, F.lit(0.0))).select("doc_id", "n_tokens", "pseudo_loglik")
+    added = met.select(F.coalesce("share", "other").alias("share"), F.explode("places").alias("x")).groupBy("x.row").agg(F.sum(F.col("x.n") * F.col("share")).alias("added"))
+    done = scored.join(added, "row", "left").withColumn("pseudo_loglik", F.col("network") + F.coalesce(F.col("added") / FINE, F.lit(0.0))).select("doc_id", "n_tokens", "pseudo_loglik")
     return done.withColumn("mean_loglik", F.when(F.col("n_tokens") > 0, F.col("pseudo_loglik") / F.col("n_tokens")))
