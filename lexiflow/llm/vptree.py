@@ -6,17 +6,20 @@ range of distances to it below each child; by the triangle inequality a child ca
 between the query's distance and that range. Children whose gap, times ``factor``, exceeds the distance of the worst
 neighbour so far are passed over: 1 gives exact search, more gives up some recall for fewer visits.
 
-Queries travel in blocks, trees as they are; each pair of block and shard is a task of bounded size.
+Queries travel in blocks. The pairs of shard and block make a grid, cut into tiles of a bounded number of bytes; each
+tile is a task that reads its trees and its blocks once and gives on only the best of each query. So a tree is sent once
+for each column of tiles, not once for each block.
 """
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -26,6 +29,8 @@ SHARD, LEAF, BLOCK = 16384, 256, 2048
 FACTOR = 1.25
 #: Neighbours that a shard's search keeps beyond those asked for, until exact products decide.
 SPARE = 8
+#: Up to so many pairs of shard and block each is a tile; beyond, tiles grow up to so many bytes of trees and of queries.
+TASKS, TILE_BYTES = 4096, (128 << 20, 64 << 20)
 
 
 class Tree:
@@ -181,34 +186,54 @@ def _pack_queries(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "width": pa.array([v.shape[1]], pa.int64()), "ids": pa.array([ids.astype("<i8").tobytes()], pa.binary()), "queries": pa.array([np.ascontiguousarray(v, "<f8").tobytes()], pa.binary())})
 
 
+def _first(k: int, at: np.ndarray, near: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` best of each query ``at``: largest score first, ties to the smaller id."""
+    order = np.lexsort((near, -score, at))
+    at, near, score = at[order], near[order], score[order]
+    keep = np.arange(len(at)) - np.searchsorted(at, at) < k
+    return at[keep], near[keep], score[keep]
+
+
 def _search(k: int, factor: float, leaf: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for tree_, width, ids_, queries_ in zip(batch["tree"], batch["width"].to_pylist(), batch["ids"], batch["queries"], strict=True):
-                v, ids, order, nodes, last = pickle.loads(tree_.as_buffer())
-                own, q = np.frombuffer(ids_.as_buffer(), "<i8"), np.frombuffer(queries_.as_buffer(), "<f8").reshape(-1, width)
-                tree = Tree.__new__(Tree)
-                tree.points, tree.leaf, tree.order, tree.nodes = np.concatenate([v, last[:, None]], axis=1), leaf, order, nodes
-                alone = {x[0]: i for i, x in enumerate(ids) if len(x) == 1}
-                # Some more than k, so that products that round otherwise in a matrix product find their place by ``score``.
-                rows, _, _ = tree.search(v, q, k + SPARE, factor, np.array([alone.get(x, -1) for x in own.tolist()]))
-                at, _ = np.nonzero(rows >= 0)
-                found = rows[rows >= 0]
-                score = (q[at] * v[found]).sum(axis=1)
-                many = np.array([len(ids[i]) for i in found.tolist()], np.int64)
-                at, score = np.repeat(at, many), np.repeat(score, many)
-                near = np.array([x for i in found.tolist() for x in ids[i]], np.int64)
-                keep = near != own[at]
-                at, score, near = at[keep], score[keep], near[keep]
-                order = np.lexsort((near, -score, at))
-                at, score, near = at[order], score[order], near[order]
-                keep = np.arange(len(at)) - np.searchsorted(at, at) < k
-                yield pa.RecordBatch.from_arrays([pa.array(own[at[keep]]), pa.array(near[keep]), pa.array(score[keep])], ["query_id", "vec_id", "score"])
+    def one(tree: Tree, v: np.ndarray, ids: list, alone: dict, own: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        # Some more than k, so that products that round otherwise in a matrix product find their place by ``score``.
+        rows, _, _ = tree.search(v, q, k + SPARE, factor, np.array([alone.get(x, -1) for x in own.tolist()]))
+        at, _ = np.nonzero(rows >= 0)
+        found = rows[rows >= 0]
+        score = (q[at] * v[found]).sum(axis=1)
+        many = np.array([len(ids[i]) for i in found.tolist()], np.int64)
+        at, score = np.repeat(at, many), np.repeat(score, many)
+        near = np.array([x for i in found.tolist() for x in ids[i]], np.int64)
+        keep = near != own[at]
+        return at[keep], near[keep], score[keep]
+
+    def run(trees: pa.Table, packs: pa.Table) -> pa.Table:
+        blocks = []
+        if trees.num_rows:
+            for width, ids_, queries_ in zip(packs["width"].to_pylist(), packs["ids"], packs["queries"], strict=True):
+                blocks.append((np.frombuffer(ids_.as_buffer(), "<i8"), np.frombuffer(queries_.as_buffer(), "<f8").reshape(-1, width)))
+        best = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)) for _ in blocks]
+        for tree_ in trees["tree"] if blocks else ():
+            v, ids, order, nodes, last = pickle.loads(tree_.as_buffer())
+            tree = Tree.__new__(Tree)
+            tree.points, tree.leaf, tree.order, tree.nodes = np.concatenate([v, last[:, None]], axis=1), leaf, order, nodes
+            alone = {x[0]: i for i, x in enumerate(ids) if len(x) == 1}
+            for b, (own, q) in enumerate(blocks):
+                best[b] = _first(k, *(np.concatenate(x) for x in zip(best[b], one(tree, v, ids, alone, own, q), strict=True)))
+        query = pa.chunked_array([own[at] for (own, _), (at, _, _) in zip(blocks, best, strict=True)], pa.int64())
+        return pa.table({"query_id": query, "vec_id": pa.chunked_array([x for _, x, _ in best], pa.int64()), "score": pa.chunked_array([x for _, _, x in best], pa.float64())})
 
     return run
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float = FACTOR, shard: int = SHARD, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
+def tile_sides(shards: int, blocks: int, tree_bytes: int, block_bytes: int, tasks: int = TASKS) -> tuple[int, int]:
+    """Shards and blocks of a tile: one each up to ``tasks`` pairs, then more, within TILE_BYTES."""
+    grow = -(-shards * blocks // tasks)
+    rows = min(shards, max(1, min(math.isqrt(grow - 1) + 1, TILE_BYTES[0] // max(1, tree_bytes))))
+    return rows, min(blocks, max(1, min(-(-grow // rows), TILE_BYTES[1] // max(1, block_bytes))))
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float = FACTOR, shard: int = SHARD, leaf: int = LEAF, block: int = BLOCK, tasks: int = TASKS) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` candidates of ``vectors`` with the largest inner product for each of ``queries``.
 
     Both have vec_id and embedding; a query's own id is no candidate for it. Vectors that are null, zero or hold null or
@@ -219,14 +244,21 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float =
     """
     rows = usable(vectors)
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    n, largest = rows.agg(F.count("*"), F.max(square)).first()
+    n, largest, width = rows.agg(F.count("*"), F.max(square), F.max(F.size("v"))).first()
     asked = usable(queries).dropDuplicates(["vec_id", "v"])
     shards, blocks = max(1, -(-n // shard)), max(1, -(-asked.count() // block))
+    high, wide = tile_sides(shards, blocks, shard * 8 * (width or 1), block * 8 * (width or 1), tasks)
     points = distinct_vectors(rows, k).withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)))
     trees = points.groupBy("shard").applyInArrow(_build(float(largest or 0), leaf), "shard long, tree binary")
     packs = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).groupBy("block").applyInArrow(_pack_queries, "block long, width long, ids binary, queries binary")
-    # Every block meets every shard: trees are repeated for the numbers of blocks and joined by them.
-    pairs = trees.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).repartition(max(1, min(shards * blocks, 4096)), "shard", "block").join(packs, "block")
-    found = pairs.select("tree", "width", "ids", "queries").mapInArrow(_search(k, factor, leaf), "query_id long, vec_id long, score double")
+
+    def every(side: str, n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias(side)
+
+    down, across = -(-shards // high), -(-blocks // wide)
+    parts = max(1, min(2 * down * across, 4096))
+    left = trees.select(F.floor(F.col("shard") / high).alias("down"), every("across", across), "tree").repartition(parts, "down", "across")
+    right = packs.select(F.floor(F.col("block") / wide).alias("across"), every("down", down), "width", "ids", "queries").repartition(parts, "down", "across")
+    found = left.groupBy("down", "across").cogroup(right.groupBy("down", "across")).applyInArrow(_search(k, factor, leaf), "query_id long, vec_id long, score double")
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

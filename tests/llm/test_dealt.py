@@ -442,14 +442,22 @@ def test_fixity_audit(spark):
 # 8 nearest neighbours
 
 
-def test_nearest_is_exact_with_factor_one(spark):
+def test_tiles_of_shards_and_blocks_are_bounded():
+    assert vptree.tile_sides(5, 2, 1 << 23, 1 << 20) == (1, 1)
+    assert vptree.tile_sides(6104, 2442, 1 << 23, 1 << 20) == (16, 64)  # 10^8 vectors of 64 doubles: 14,898 tiles
+    assert vptree.tile_sides(6104, 2442, 1 << 28, 1 << 25) == (1, 2)  # wide vectors: bounded by bytes
+    assert vptree.tile_sides(1, 10**6, 1 << 23, 1 << 20) == (1, 64)
+
+
+@pytest.mark.parametrize("tasks", [1, 6, vptree.TASKS])  # one tile of all pairs, tiles of several, a tile for each pair
+def test_nearest_is_exact_with_factor_one(spark, tasks):
     r = np.random.default_rng(2)
     v = r.normal(size=(700, 12))
     v[100:160] = v[7]  # copies: ties go to the smaller id
     data = [(i, [float(x) for x in row]) for i, row in enumerate(v)] + [(1000, None), (1001, [0.0] * 12), (1002, [float("nan")] * 12), (1003, [float("inf")] + [1.0] * 11)]
     df = spark.createDataFrame(data, "vec_id long, embedding array<double>").withColumn("shard", F.lit(1))
     got = {}
-    for x in vptree.nearest(df, df.where("vec_id % 20 = 0"), k=20, factor=1.0, shard=200, leaf=16, block=10).collect():
+    for x in vptree.nearest(df, df.where("vec_id % 20 = 0"), k=20, factor=1.0, shard=200, leaf=16, block=10, tasks=tasks).collect():
         got.setdefault(x.query_id, []).append((x["rank"], x.vec_id, x.score))
     assert sorted(got) == list(range(0, 700, 20))
     for q, found in got.items():
