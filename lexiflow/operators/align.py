@@ -176,12 +176,33 @@ def gate(ref_len: Column, cer_: Column, skeleton: Column, nlp: Column, ref_nll:
     return pair | likely | short | forced
 
 
-def advice(rows: DataFrame, rules: DataFrame, key: list[str], symbol: str, limit: int = 3) -> DataFrame:
+def advice(rows: DataFrame, rules: DataFrame, key: list[str], symbol: str, limit: int = 3, vowels: tuple[str, ...] = (), most: int = 1_000) -> DataFrame:
     """At most ``limit`` distinct tips for the low symbols of each key, in their order.
 
-    ``rules`` (covers, tip, position, prev_in, next_in) is a table of bounded size; null conditions always hold (J4).
+    ``rules`` (rule_idx, tip and any of the conditions covers, prev_in, next_in, class_in, rule_position, rule_env,
+    next_is_vowel, pair_a with pair_b) has at most ``most`` rows (more are an error) and is broadcast; a condition that is
+    null or no column always holds (J4). ``rows`` has place, and of prev, next, class, position and env what rules ask for. A
+    pair holds where one of its sets has the symbol and the other the next one, either way round.
     """
-    r = F.broadcast(rules)
-    holds = (F.array_contains("covers", F.col(symbol))) & (F.col("rule_position").isNull() | (F.col("rule_position") == F.col("position"))) & (F.col("prev_in").isNull() | F.array_contains("prev_in", F.col("prev"))) & (F.col("next_in").isNull() | F.array_contains("next_in", F.col("next")))
-    met = rows.join(r, holds).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("place", "rule_idx", "tip"))).alias("t"))
-    return met.select(*key, F.slice(F.array_distinct(F.transform("t", lambda x: x["tip"])), 1, limit).alias("tips"))
+    n = rules.count()
+    if n > most:
+        raise ValueError(f"{n} rules, {most} are allowed")
+    among = lambda listed, c: F.array_contains(listed, F.col(c))
+    conditions = {
+        "covers": lambda: among("covers", symbol),
+        "prev_in": lambda: among("prev_in", "prev"),
+        "next_in": lambda: among("next_in", "next"),
+        "class_in": lambda: among("class_in", "class"),
+        "rule_position": lambda: F.col("rule_position") == F.col("position"),
+        "rule_env": lambda: F.col("rule_env") == F.col("env"),
+        "next_is_vowel": lambda: ~F.col("next_is_vowel") | F.col("next").isin(*vowels),
+        "pair_a": lambda: (among("pair_a", symbol) & among("pair_b", "next")) | (among("pair_b", symbol) & among("pair_a", "next")),
+    }
+    holds = F.lit(True)
+    for name, condition in conditions.items():
+        if name in rules.columns:
+            holds &= F.col(name).isNull() | condition()
+    # A tip's first place is combined before the shuffle, so a key has no more rows than there are tips.
+    first = rows.join(F.broadcast(rules), holds).groupBy(*key, "tip").agg(F.min(F.struct("place", "rule_idx")).alias("at"))
+    listed = first.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("at", "tip"))).alias("t"))
+    return listed.select(*key, F.slice(F.transform("t", lambda x: x["tip"]), 1, limit).alias("tips"))

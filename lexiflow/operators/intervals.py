@@ -95,6 +95,12 @@ def merge_gaps(rows: DataFrame, key: list[str], start: str, end: str, gap: float
     return found.groupBy(*key, "island").agg(F.min(start).alias("start"), F.max(end).alias("end"), F.count("*").alias("n"), F.coalesce(F.max(inner), F.lit(0)).alias("max_gap"))
 
 
+def clips(rows: DataFrame, key: list[str], start: str, end: str, gap: int, longest: int, least: int) -> DataFrame:
+    """Regions merged over gaps of at most ``gap``, cut into parts of at most ``longest``; parts shorter than ``least`` go (E6: what follows the regions)."""
+    parts = tumbling(merge_gaps(rows, key, start, end, gap).select(*key, "start", "end"), "start", "end", longest, least)
+    return parts.where(F.col("part_end") - F.col("part_start") >= least).select(*key, F.col("part_start").alias("start"), F.col("part_end").alias("end"))
+
+
 def group_by_gaps(rows: DataFrame, key: list[str], start: str, end: str, join: float, split: float) -> DataFrame:
     """Small gaps joined first, then groups of regions split at large gaps (E5)."""
     joined = merge_gaps(rows, key, start, end, join).select(*key, "start", "end")

@@ -226,3 +226,33 @@ def advice_tips(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("place", F.row_number().over(w)).withColumn("prev", F.lag("event_type").over(w)).withColumn("next", F.lead("event_type").over(w)).withColumn("position", F.when(F.col("place") == 1, "onset").otherwise("nucleus"))
     rules = spark.createDataFrame([(0, ["error", "click"], "slow down", None, None, None), (1, ["error"], "after view", None, ["view"], None), (2, ["click"], "first", "onset", None, None)], "rule_idx int, covers array<string>, tip string, rule_position string, prev_in array<string>, next_in array<string>")
     return align.advice(e, rules, ["user_id"], "event_type", 2).select("user_id", F.array_join("tips", "|").alias("tips"))
+
+
+@query("""WITH e AS (SELECT user_id, event_id, event_type AS t, row_number() OVER w AS place, lead(event_type) OVER w AS next FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+  t AS (SELECT user_id, place, 0 AS r, 'glide' AS tip FROM e WHERE t IN ('view', 'signup') AND next = 'click' UNION ALL SELECT user_id, place, 1, 'start' FROM e WHERE place = 1
+    UNION ALL SELECT user_id, place, 2, 'pair' FROM e WHERE (t = 'error' AND next = 'view') OR (t = 'view' AND next = 'error')),
+  f AS (SELECT user_id, tip, min({'p': place, 'r': r}) AS pos FROM t GROUP BY ALL) SELECT user_id, array_to_string(list(tip ORDER BY pos)[1:3], '|') AS tips FROM f GROUP BY user_id""")
+def advice_conditions(spark, sf_dir):
+    """Tips by class, next vowel, surroundings and pairs in either order."""
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy("user_id").orderBy("event_id")
+    e = table(spark, sf_dir, "events").withColumn("place", F.row_number().over(w)).withColumn("next", F.lead("event_type").over(w))
+    e = e.withColumn("class", F.when(F.col("event_type").isin("view", "signup"), "soft")).withColumn("env", F.when(F.col("place") == 1, "first"))
+    rules = spark.createDataFrame(
+        [(0, "glide", ["soft"], None, True, None, None), (1, "start", None, "first", None, None, None), (2, "pair", None, None, None, ["error"], ["view"])],
+        "rule_idx int, tip string, class_in array<string>, rule_env string, next_is_vowel boolean, pair_a array<string>, pair_b array<string>",
+    )
+    return align.advice(e, rules, ["user_id"], "event_type", 3, vowels=("click",)).select("user_id", F.array_join("tips", "|").alias("tips"))
+
+
+@query("""WITH i AS (SELECT user_id, event_id * 37 % 100000 AS s, event_id * 37 % 100000 + floor(value)::BIGINT * 10 + 5 AS e FROM events),
+  m AS (SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM i),
+  n AS (SELECT *, sum(CASE WHEN reach IS NULL OR s - reach > 200 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM m),
+  g AS (SELECT user_id, island, min(s) AS s, max(e) AS e FROM n GROUP BY ALL), p AS (SELECT user_id, e, unnest(range(s, e, 300)) AS a FROM g)
+  SELECT user_id, a AS start_ms, least(e, a + 300) AS end_ms FROM p WHERE least(e, a + 300) - a >= 50""")
+def speech_clips(spark, sf_dir):
+    """Regions merged over short silence, cut at a length, short ones left out."""
+    start = F.col("event_id") * 37 % 100000
+    regions = table(spark, sf_dir, "events").select("user_id", start.alias("s"), (start + F.floor("value") * 10 + 5).alias("e"))
+    return intervals.clips(regions, ["user_id"], "s", "e", 200, 300, 50).select("user_id", F.col("start").alias("start_ms"), F.col("end").alias("end_ms"))

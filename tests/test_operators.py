@@ -241,3 +241,21 @@ def test_repairs(spark):
     assert [r.s for r in got] == [4, 2, 3]
     rows = spark.createDataFrame([("ab", 100), ("", 10)], "t string, size long")
     assert values(splits.usable_lengths(rows, "t", "size", 1, 5, 8), "frames") == [(12,)]
+
+
+def test_clips_merge_split_and_drop(spark):
+    rows = spark.createDataFrame([(1, 0, 100), (1, 150, 420), (1, 900, 930), (2, 0, 250)], "k int, s int, e int")
+    got = values(intervals.clips(rows, ["k"], "s", "e", 50, 200, 40), "k", "start", "end")
+    # 0..420 is one region over a gap of 50: its rest of 20 goes, as does 900..930; a rest of 50 stays.
+    assert sorted(got) == [(1, 0, 200), (1, 200, 400), (2, 0, 200), (2, 200, 250)]
+
+
+def test_advice_conditions(spark):
+    rows = spark.createDataFrame([("u", 1, "l", "n", None, "liquid", "coda"), ("u", 2, "n", "a", "l", None, None), ("u", 3, "l", "n", "a", "liquid", None)], "k string, place int, sym string, next string, prev string, class string, env string")
+    fields = "rule_idx int, tip string, covers array<string>, class_in array<string>, rule_env string, next_is_vowel boolean, pair_a array<string>, pair_b array<string>"
+    rules = [(0, "vowel next", None, None, None, True, None, None), (1, "either way", None, None, None, None, ["n"], ["l", "r"]), (2, "liquid in a coda", None, ["liquid"], "coda", None, None, None), (3, "never", ["x"], None, None, False, None, None)]
+    got = align.advice(rows, spark.createDataFrame(rules, fields), ["k"], "sym", vowels=("a",)).first()
+    assert got.tips == ["either way", "liquid in a coda", "vowel next"]
+    assert align.advice(rows, spark.createDataFrame(rules, fields), ["k"], "sym", 1).first().tips == ["either way"]
+    with pytest.raises(ValueError, match="4 rules"):
+        align.advice(rows, spark.createDataFrame(rules, fields), ["k"], "sym", most=3)
