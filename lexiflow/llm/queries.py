@@ -10,6 +10,7 @@ from .common import table
 from .crf import fit_quality, quality_scores
 from .decontaminate import contamination, judged
 from .licenses import BLOCK, PHRASES, THRESHOLD, license_scan, template_sets
+from .lloyd import lloyd
 from .lm import pseudo_likelihood
 from .minhash import near_duplicates
 from .packing import first_line, packed
@@ -86,6 +87,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd(table(spark, sf_dir, "embeddings"), k=8, rounds=10, size=64, scale=1024, seed="3")
+
+
 QUERIES = {
     "op1_license_scans": op1_license_scans,
     "op1_license_scans_wrapped": op1_license_scans_wrapped,
@@ -98,8 +103,26 @@ QUERIES = {
     "op10_quality_classifier": op10_quality_classifier,
     "op8_vantage_point_search": op8_vantage_point_search,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
+    "op11_centroid_clustering": op11_centroid_clustering,
 }
 
+
+def lloyd_sql(k: int = 8, rounds: int = 10) -> str:
+    """Lloyd rounds as one chain of tables; sums over components are exact integers, quotients are floors."""
+    near = "SELECT v.row, v.vec_id, v.p, min({{'d': list_sum(list_transform(list_zip(v.p, c.q), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, 'c': c.c}}) AS best FROM v, c{n} c GROUP BY ALL"
+    steps = [f"""v AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS p FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), p) - 1 AS c, p AS q FROM v WHERE vec_id IS NOT NULL QUALIFY c < {k})"""]
+    for n in range(rounds):
+        steps.append(f"a{n} AS MATERIALIZED ({near.format(n=n)})")
+        steps.append(f"""s{n} AS (SELECT c, i, sum(x)::BIGINT AS s, count(*) AS m FROM (SELECT best.c AS c, unnest(p) AS x, generate_subscripts(p, 1) AS i FROM a{n}) GROUP BY c, i)""")
+        steps.append(f"""c{n + 1} AS MATERIALIZED (SELECT c0.c, coalesce(m.q, c0.q) AS q FROM c{n} c0 LEFT JOIN (SELECT c, list((s - ((s % m) + m) % m) // m ORDER BY i) AS q FROM s{n} GROUP BY c) m ON m.c = c0.c)""")
+    steps.append(f"a{rounds} AS MATERIALIZED ({near.format(n=rounds)})")
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, best.c::INT AS cluster, best.d AS distance, sum(best.d) OVER (PARTITION BY best.c)::BIGINT AS cluster_inertia, sum(best.d) OVER ()::BIGINT AS inertia,
+  sha256(array_to_string(c.q, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} c ON c.c = best.c"""
+
+
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = f"regexp_extract_all({LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
@@ -107,6 +130,7 @@ TEMPLATE_ROWS = ", ".join(f"({i}, '{label}', {words})" for i, (label, words) in
 PHRASE_ROWS = ", ".join(f"('{label}', {phrase.split()})" for phrase, label in PHRASES.items())
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_centroid_clustering": lloyd_sql(),
     "op4_chat_formatting": """
 WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
 c AS (
