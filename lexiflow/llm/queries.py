@@ -14,6 +14,8 @@ from .lloyd import lloyd
 from .lm import pseudo_likelihood
 from .minhash import near_duplicates
 from .packing import first_line, packed
+from .secrets import KINDS, LEAST, PATTERNS, REACH, ROLES, listed, secret_scan
+from .secrets import BREAK as PARAGRAPH
 from .substrings import remove_repeats
 from .vptree import nearest
 from .warc import fixity_audit, page_records, warc_manifest, with_held
@@ -91,6 +93,13 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lloyd(table(spark, sf_dir, "embeddings"), k=8, rounds=10, size=64, scale=1024, seed="3")
 
 
+def op12_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan(table(spark, sf_dir, "documents"))
+    number = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = map(number, ("assign", "access", "hex"))
+    return found.select("doc_id", *counts, F.sha2(listed("base").cast("binary"), 256).alias("base_sha256"), listed("base", "linked").alias("spans"))
+
+
 QUERIES = {
     "op1_license_scans": op1_license_scans,
     "op1_license_scans_wrapped": op1_license_scans_wrapped,
@@ -104,6 +113,7 @@ QUERIES = {
     "op8_vantage_point_search": op8_vantage_point_search,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_secret_scans": op12_secret_scans,
 }
 
 
@@ -129,7 +139,40 @@ WORDS = f"regexp_extract_all({LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')
 TEMPLATE_ROWS = ", ".join(f"({i}, '{label}', {words})" for i, (label, words) in enumerate(template_sets()))
 PHRASE_ROWS = ", ".join(f"('{label}', {phrase.split()})" for phrase, label in PHRASES.items())
 
+
+def secrets_sql() -> str:
+    """Spans of every pattern: matches are put between two marks, and lengths of the pieces before them give their places."""
+    import re
+
+    # Letters in either case as classes: case folding of the engine goes beyond ASCII.
+    either = lambda p: re.sub(r"\\[a-z](?:[0-9]+)?|\[[^\]]*\]|[a-z]", lambda m: f"[{m[0].upper()}{m[0]}]" if len(m[0]) == 1 else m[0], p)
+    patterns = {k: either(p) if k in ("assign", "endpoint", "id") else p for k, p in PATTERNS.items()}
+    marked = " UNION ALL ".join(f"SELECT row, {i} AS n, '{k}' AS kind, string_split(regexp_replace(t, '{patterns[k].replace("'", "''")}', chr(1) || '\\0' || chr(2), 'g'), chr(1)) AS pieces FROM d" for i, k in enumerate(KINDS))
+    value = " ".join(f"WHEN kind = '{k}' THEN length(regexp_extract(m, '{patterns[k].replace("'", "''")}', 2)) >= {n}" for k, n in LEAST.items())
+    over = "a.row = b.row AND b.\"start\" < a.\"end\" AND a.\"start\" < b.\"end\""
+    apart = lambda kind, *taken: f"""{kind} AS MATERIALIZED (SELECT * FROM hit a WHERE kind = '{kind}' AND NOT EXISTS (SELECT 1 FROM ({" UNION ALL ".join(f"SELECT * FROM {x}" for x in taken)}) b WHERE {over}))"""
+    roles = ", ".join(f"('{k}', '{r}')" for k, r in ROLES.items())
+    return f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, translate(coalesce(text, ''), chr(1) || chr(2), chr(3) || chr(3)) AS t FROM documents),
+marked AS ({marked}),
+pieces AS (SELECT row, n, kind, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS i FROM marked WHERE len(pieces) > 1),
+found AS (SELECT row, n, kind, i, split_part(piece, chr(2), 1) AS m, sum(length(piece) - (i > 1)::INT) OVER (PARTITION BY row, n ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)::BIGINT AS "start" FROM pieces),
+hit AS MATERIALIZED (SELECT row, n, kind, "start", "start" + length(m) AS "end", len(regexp_extract_all(substr(t, 1, "start"), '{PARAGRAPH}')) AS scope FROM found JOIN d USING (row)
+  WHERE i > 1 AND CASE {value} WHEN kind = 'key' THEN regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[a-z]') ELSE true END),
+base AS (SELECT * FROM hit WHERE n < 3),
+{apart("endpoint", "base")}, {apart("id", "base", "endpoint")}, {apart("key", "base", "endpoint", "id")},
+weak AS (SELECT * FROM endpoint UNION ALL SELECT * FROM id UNION ALL SELECT * FROM key),
+role(kind, r) AS (VALUES {roles}),
+part AS (SELECT * FROM (SELECT * FROM base UNION ALL SELECT * FROM weak) JOIN role USING (kind)),
+linked AS (SELECT * FROM weak JOIN role USING (kind) WHERE EXISTS (SELECT 1 FROM part b WHERE b.row = weak.row AND b.scope = weak.scope AND b.r <> role.r AND 'secret' IN (b.r, role.r)
+  AND greatest(b."start" - weak."end", weak."start" - b."end") BETWEEN 0 AND {REACH})),
+listed AS (SELECT row, string_agg(kind || ':' || "start" || ':' || "end", ',' ORDER BY "start", n) AS spans FROM (SELECT row, kind, "start", "end", n FROM base UNION ALL SELECT row, kind, "start", "end", n FROM linked) GROUP BY row),
+own AS (SELECT row, count(*) FILTER (n = 0) AS n_assign, count(*) FILTER (n = 1) AS n_access, count(*) FILTER (n = 2) AS n_hex, string_agg(kind || ':' || "start" || ':' || "end", ',' ORDER BY "start", n) AS spans FROM base GROUP BY row)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(own.spans, '')) AS base_sha256, coalesce(listed.spans, '') AS spans
+FROM d LEFT JOIN own USING (row) LEFT JOIN listed USING (row)"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_secret_scans": secrets_sql(),
     "op11_centroid_clustering": lloyd_sql(),
     "op4_chat_formatting": """
 WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
