@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import chat_format
+from .collocations import collocations
 from .common import table
 from .crf import fit_quality, quality_scores
 from .decontaminate import contamination, judged
@@ -100,6 +101,10 @@ def op12_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed("base").cast("binary"), 256).alias("base_sha256"), listed("base", "linked").alias("spans"))
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"), least=30, percent=80, top=2000)
+
+
 QUERIES = {
     "op1_license_scans": op1_license_scans,
     "op1_license_scans_wrapped": op1_license_scans_wrapped,
@@ -114,6 +119,7 @@ QUERIES = {
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op11_centroid_clustering": op11_centroid_clustering,
     "op12_secret_scans": op12_secret_scans,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }
 
 
@@ -172,6 +178,18 @@ FROM d LEFT JOIN own USING (row) LEFT JOIN listed USING (row)"""
 
 
 ORACLE_SQL: dict[str, str] = {
+    "op13_phrase_collocations": f"""
+WITH p AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOWERED}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+f AS MATERIALIZED (SELECT lang, k, phrase, lang || chr(9) || phrase AS key, count(*) AS f FROM (SELECT lang, k, array_to_string(w[s : s + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS s FROM p, (VALUES (1), (2), (3), (4)) x(k) WHERE len(w) >= k)) GROUP BY ALL),
+c AS MATERIALIZED (SELECT * FROM f WHERE k > 1 AND f >= 30),
+cut AS (SELECT lang, phrase, k, f AS a, j, string_split(phrase, ' ') AS w FROM (SELECT *, unnest(generate_series(1, k - 1)) AS j FROM c)),
+scored AS (SELECT cut.lang, cut.phrase, cut.k, a, j, x.f AS l, y.f AS r, (2000000::HUGEINT * a // (x.f + y.f))::BIGINT AS score
+  FROM cut JOIN f x ON x.key = cut.lang || chr(9) || array_to_string(w[1:j], ' ') JOIN f y ON y.key = cut.lang || chr(9) || array_to_string(w[j + 1 : cut.k], ' ')),
+worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+kept AS (SELECT * FROM worst WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.lang = worst.lang AND c.k > worst.k AND contains(' ' || c.phrase || ' ', ' ' || worst.phrase || ' ') AND 100 * c.f >= 80 * worst.a))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept JOIN n USING (lang) QUALIFY rank <= 2000
+""",
     "op12_secret_scans": secrets_sql(),
     "op11_centroid_clustering": lloyd_sql(),
     "op4_chat_formatting": """
