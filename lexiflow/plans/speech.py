@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import functions as F
 
 from ..functions import canonical, hangul, numbers, phonology, streams, text
-from ..operators import align, intervals, records, state
+from ..operators import align, chains, intervals, records, state
 from .catalogue import query, table
 
 HANGUL = ["같이 굳이 읽고", "담요와 색연필", "많이 먹었다", "국물이 좋다", "신라의 독립", "2024-05-17 3시 30분에 사과 3개", "값이 12,500원", "학교 앞 칼날"]
@@ -101,22 +101,30 @@ def pack_intervals(spark, sf_dir):
     return state.per_key_streamed(e, "user_id", ["ts", "event_id"], partial(state.pack_to_target_steps, target=3_600_000, least=60_000, most=7_200_000), ["s", "e", "silent"], "start long, end long")
 
 
-def _vowel(x: str) -> bool:
-    return x[:1].lower() in "aeiou"
+PHONES = """p AS MATERIALIZED (SELECT p_partkey, i - 1 AS i, length(p_name) AS n, (i - 1) * 100 AS s, i * 100 AS e, substr(p_name, i::INT, 1) AS l FROM (SELECT *, unnest(generate_series(1, length(p_name))) AS i FROM part))"""
 
 
-@query()
-def splice_phones(spark, sf_dir):
+def _phones(spark, sf_dir):
     p = table(spark, sf_dir, "part").select("p_partkey", F.posexplode(F.split("p_name", "")).alias("i", "label"))
-    p = p.withColumn("s", F.col("i") * 100).withColumn("e", F.col("i") * 100 + 100)
-    return state.per_key(p, "p_partkey", ["i"], partial(state.splice, least=300, most=600, is_vowel=_vowel), ["s", "e", "label"], "first long, last long")
+    return p.withColumn("s", F.col("i").cast("long") * 100).withColumn("e", F.col("s") + 100)
 
 
-@query()
+@query(f"""WITH RECURSIVE {PHONES}, v AS (SELECT p_partkey, i FROM (SELECT *, lag(l) OVER (PARTITION BY p_partkey ORDER BY i) AS before FROM p) WHERE l IN ('a', 'e', 'i', 'o', 'u') AND before NOT IN ('a', 'e', 'i', 'o', 'u')),
+  a AS (SELECT *, coalesce((SELECT min(q.i) FROM p q WHERE q.p_partkey = p.p_partkey AND q.e >= p.s + 600), n) AS far, coalesce((SELECT min(q.i) + 1 FROM p q WHERE q.p_partkey = p.p_partkey AND q.e >= p.s + 300), n) AS near FROM p),
+  b AS MATERIALIZED (SELECT p_partkey, i, n, greatest(i + 1, near, coalesce((SELECT max(v.i) FROM v WHERE v.p_partkey = a.p_partkey AND v.i > a.i + 1 AND v.i <= least(far, n - 1)), far)) AS j FROM a),
+  c AS (SELECT p_partkey, 0::BIGINT AS i FROM p WHERE i = 0 UNION ALL SELECT b.p_partkey, j FROM c JOIN b ON b.p_partkey = c.p_partkey AND b.i = c.i WHERE j < n)
+  SELECT p_partkey, i AS first, j AS last FROM c JOIN b USING (p_partkey, i)""")
+def splice_phones(spark, sf_dir):
+    """Runs of phones up to a length, cut back to a vowel after a consonant."""
+    return chains.spliced(_phones(spark, sf_dir), ["p_partkey"], ["i"], "s", "e", F.lower("label").isin(*"aeiou"), 300, 600)
+
+
+@query(f"""WITH {PHONES}, a AS (SELECT *, coalesce((SELECT min(q.i) + 1 FROM p q WHERE q.p_partkey = p.p_partkey AND q.e >= p.s + 300), n) AS near, coalesce((SELECT min(q.i) FROM p q WHERE q.p_partkey = p.p_partkey AND q.e > p.s + 500), n) AS far FROM p WHERE i % 2 = 0),
+  b AS (SELECT p_partkey, i, s, least(least(n, greatest(i + 3, near)), greatest(far, i + 1)) AS j FROM a)
+  SELECT b.p_partkey, b.i AS first, j AS last FROM b JOIN p ON p.p_partkey = b.p_partkey AND p.i = j - 1 WHERE p.e - b.s BETWEEN 300 AND 500 AND j - b.i >= 3""")
 def phone_groups(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select("p_partkey", F.posexplode(F.split("p_name", "")).alias("i", "label"))
-    p = p.withColumn("s", F.col("i") * 100).withColumn("e", F.col("i") * 100 + 100)
-    return state.per_key(p, "p_partkey", ["i"], partial(state.phone_groups, least=300, most=500, fewest=3, stride=2), ["s", "e"], "first long, last long")
+    """Overlapping groups of phones between two lengths."""
+    return chains.groups_from_each(_phones(spark, sf_dir), ["p_partkey"], ["i"], "s", "e", 300, 500, 3, 2)
 
 
 @query("""SELECT doc_id, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) / greatest(1, length(regexp_replace(text, '[\\s\\p{Z}]', '', 'g'))) AS latin, regexp_replace(lower(coalesce(text, '')), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') AS head FROM documents""")
