@@ -49,11 +49,6 @@ def rolling(buffer: bytes, chunk: bytes, keep: int) -> bytes:
     return (buffer + chunk)[-keep:]
 
 
-def voiced(votes: list[bool], level_db: float, floor_db: float = -40.0) -> bool:
-    """Majority of votes; without any, the level decides."""
-    return 2 * sum(votes) > len(votes) if votes else level_db > floor_db
-
-
 def step(state: tuple, chunk: dict, gain: int = 2, lag_ms: int = 900, least: int = 3, silence_ms: int = 700, longest_ms: int = 12_000) -> tuple[tuple, list[tuple]]:
     """One chunk of a session: new state and emissions (kind, text, duration).
 
