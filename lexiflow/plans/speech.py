@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import functions as F
 
 from ..functions import canonical, hangul, numbers, phonology, streams, text
-from ..operators import align, chains, intervals, records, state
+from ..operators import align, chains, intervals, machines, records
 from .catalogue import query, table
 
 HANGUL = ["같이 굳이 읽고", "담요와 색연필", "많이 먹었다", "국물이 좋다", "신라의 독립", "2024-05-17 3시 30분에 사과 3개", "값이 12,500원", "학교 앞 칼날"]
@@ -79,26 +79,44 @@ def syllable_chunk_scores(spark, sf_dir):
     return align.syllable_scores(k, flat, "id")
 
 
-@query()
+@query("""WITH RECURSIVE d AS MATERIALIZED (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i, list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda w: w <> '') AS w FROM documents),
+  c AS MATERIALIZED (SELECT source, i, w, count(*) AS n FROM (SELECT source, i, unnest(w) AS w FROM d) GROUP BY ALL), q AS MATERIALIZED (SELECT source, i, sum(n * n) AS q FROM c GROUP BY ALL),
+  s AS MATERIALIZED (SELECT a.source, a.i, b.i AS j, sum(a.n * b.n)::DOUBLE / sqrt((any_value(x.q) * any_value(y.q))::DOUBLE) AS sim FROM c a JOIN c b ON a.source = b.source AND a.w = b.w AND a.i < b.i JOIN q x ON x.source = a.source AND x.i = a.i JOIN q y ON y.source = b.source AND y.i = b.i GROUP BY a.source, a.i, b.i HAVING sim >= 0.9),
+  k AS (SELECT source, 1::BIGINT AS i, 1::BIGINT AS last FROM d WHERE i = 1 UNION ALL SELECT k.source, d.i, CASE WHEN s.sim IS NULL THEN d.i ELSE k.last END FROM k JOIN d ON d.source = k.source AND d.i = k.i + 1 LEFT JOIN s ON s.source = k.source AND s.i = k.last AND s.j = d.i)
+  SELECT source, doc_id AS kept FROM k JOIN d USING (source, i) WHERE last = i""")
 def near_dup_prev_kept(spark, sf_dir):
+    """Documents of a source that aren't like the last one kept."""
     d = table(spark, sf_dir, "documents").select("source", "doc_id", "text")
-    return state.per_key_streamed(d, "source", ["doc_id"], partial(state.unlike_last_kept_steps, threshold=0.9), ["doc_id", "text"], "kept long")
+    return machines.machine_over_keys(d, ["source"], ["doc_id"], partial(machines.UnlikeLastKept, 0.9), ["doc_id", "text"], ["kept"])
 
 
 def _frames(spark, sf_dir):
     return table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.col("event_type").isin("view", "click").alias("voiced"))
 
 
-@query()
+@query("""WITH RECURSIVE r AS MATERIALIZED (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, event_type IN ('view', 'click') AS v FROM events),
+  h AS (SELECT user_id, -1::BIGINT AS i, NULL::BIGINT AS start, 0::BIGINT AS run, NULL::BOOLEAN AS last, NULL::BIGINT AS a, NULL::BIGINT AS b FROM (SELECT DISTINCT user_id FROM r)
+    UNION ALL SELECT user_id, i, CASE WHEN start IS NULL AND v AND n >= 2 THEN i - n + 1 WHEN start IS NOT NULL AND NOT v AND n >= 3 THEN NULL ELSE start END, n, v, CASE WHEN start IS NOT NULL AND NOT v AND n >= 3 THEN start END, i - n + 1
+    FROM (SELECT h.user_id, r.i, start, r.v, CASE WHEN r.v = last THEN run + 1 ELSE 1 END AS n FROM h JOIN r ON r.user_id = h.user_id AND r.i = h.i + 1)),
+  e AS (SELECT user_id, start AS a, i + 1 AS b FROM h JOIN (SELECT user_id, max(i) AS i FROM r GROUP BY user_id) USING (user_id, i) WHERE start IS NOT NULL)
+  SELECT user_id, a * 10 AS start_ms, b * 10 AS end_ms FROM (SELECT user_id, a, b FROM h WHERE a IS NOT NULL UNION ALL SELECT * FROM e)""")
 def vad_hysteresis(spark, sf_dir):
-    return state.per_key_streamed(_frames(spark, sf_dir), "user_id", ["ts", "event_id"], partial(state.hysteresis_steps, frame_ms=10, start_ms=20, end_ms=30), ["voiced"], "start_ms long, end_ms long")
+    """Speech regions of frames."""
+    return machines.machine_over_keys(_frames(spark, sf_dir), ["user_id"], ["ts", "event_id"], partial(machines.Hysteresis, frame_ms=10, start_ms=20, end_ms=30), ["voiced"], ["start_ms", "end_ms"])
 
 
-@query()
+@query("""WITH RECURSIVE r AS MATERIALIZED (SELECT user_id, (epoch_us(ts) // 1000)::BIGINT AS s, event_type = 'error' AS silent, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+  x AS (SELECT user_id, 0::BIGINT AS i, NULL::BIGINT AS c, NULL::BIGINT AS e, NULL::BIGINT AS a, NULL::BIGINT AS b FROM (SELECT DISTINCT user_id FROM r)
+    UNION ALL SELECT user_id, i, CASE WHEN silent OR t - n >= 3600000 THEN NULL ELSE n END, t, CASE WHEN silent THEN c WHEN t - n >= 3600000 THEN n END, CASE WHEN silent THEN e ELSE t END
+    FROM (SELECT r.user_id, r.i, silent, x.c, x.e, coalesce(x.c, r.s) AS n, r.s + 60000 AS t FROM x JOIN r ON r.user_id = x.user_id AND r.i = x.i + 1)),
+  p AS (SELECT user_id, a, b FROM x WHERE a IS NOT NULL UNION ALL SELECT user_id, c, e FROM x JOIN (SELECT user_id, max(i) AS i FROM r GROUP BY user_id) USING (user_id, i) WHERE c IS NOT NULL),
+  q AS (SELECT user_id, a + k * 7200000 AS start, least(b, a + (k + 1) * 7200000) AS "end" FROM (SELECT *, unnest(range(greatest(1, ceil((b - a) / 7200000)::BIGINT))) AS k FROM p WHERE b - a >= 60000))
+  SELECT * FROM q WHERE "end" - start >= 60000""")
 def pack_intervals(spark, sf_dir):
+    """Adjacent intervals joined until a target, silence closes a pack."""
     e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("long").alias("s"), (F.col("event_type") == "error").alias("silent"))
     e = e.withColumn("e", F.col("s") + 60_000)
-    return state.per_key_streamed(e, "user_id", ["ts", "event_id"], partial(state.pack_to_target_steps, target=3_600_000, least=60_000, most=7_200_000), ["s", "e", "silent"], "start long, end long")
+    return machines.machine_over_keys(e, ["user_id"], ["ts", "event_id"], partial(machines.Packs, 3_600_000, 60_000, 7_200_000), ["s", "e", "silent"], ["start", "end"])
 
 
 PHONES = """p AS MATERIALIZED (SELECT p_partkey, i - 1 AS i, length(p_name) AS n, (i - 1) * 100 AS s, i * 100 AS e, substr(p_name, i::INT, 1) AS l FROM (SELECT *, unnest(generate_series(1, length(p_name))) AS i FROM part))"""
