@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .scans import ordered, plain, scanned
+
 
 def _bucketed(rows: DataFrame, start: str, end: str, width: float, name: str) -> DataFrame:
     lo, hi = F.floor(F.col(start) / width).cast("long"), F.floor(F.greatest(F.col(start), F.col(end)) / width).cast("long")
@@ -81,16 +83,19 @@ def tumbling(rows: DataFrame, start: str, end: str, size: int, least: int = 0) -
 
 
 def islands(rows: DataFrame, key: list[str], start: str, end: str, gap: float, order: list[str] = ()) -> DataFrame:
-    """``island`` of each row: a new one starts where the gap to everything before exceeds ``gap``."""
-    w = W.partitionBy(*key).orderBy(start, end, *order)
-    reach = F.max(end).over(w.rowsBetween(W.unboundedPreceding, -1))
-    return rows.withColumn("_new", F.when(reach.isNull() | (F.col(start) - reach > gap), 1).otherwise(0)).withColumn("island", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_new")
+    """``island`` of each row: a new one starts where the gap to everything before exceeds ``gap`` (E4, I6); a key may have any number of rows."""
+    return plain(_islands(rows, key, start, end, gap, order)).drop("_reach", "_new")
+
+
+def _islands(rows: DataFrame, key: list[str], start: str, end: str, gap: float, order: list[str] = ()) -> DataFrame:
+    found = scanned(ordered(rows, key, [start, end, *order]), _reach=("max_before", F.col(end)))
+    new = F.when(F.col("_reach").isNull() | (F.col(start) - F.col("_reach") > gap), 1).otherwise(0)
+    return scanned(found.withColumn("_new", new), island=("sum", F.col("_new")))
 
 
 def merge_gaps(rows: DataFrame, key: list[str], start: str, end: str, gap: float) -> DataFrame:
     """Merged intervals, how many each holds, and the largest gap inside."""
-    w = W.partitionBy(*key).orderBy(start, end).rowsBetween(W.unboundedPreceding, -1)
-    found = islands(rows, key, start, end, gap).withColumn("_gap", F.greatest(F.lit(0), F.col(start) - F.max(end).over(w)))
+    found = _islands(rows, key, start, end, gap).withColumn("_gap", F.greatest(F.lit(0), F.col(start) - F.col("_reach")))
     inner = F.when(F.col("_gap") <= gap, F.col("_gap")).otherwise(0)
     return found.groupBy(*key, "island").agg(F.min(start).alias("start"), F.max(end).alias("end"), F.count("*").alias("n"), F.coalesce(F.max(inner), F.lit(0)).alias("max_gap"))
 
@@ -154,10 +159,12 @@ def neighbours(rows: DataFrame, key: list[str], order: list[str], label: str) ->
 
 
 def positions(rows: DataFrame, key: list[str], place: str, is_vowel: str) -> DataFrame:
-    """Onset, nucleus or coda by the first and last vowel of each chunk."""
-    w = W.partitionBy(*key)
-    lo, hi = F.min(F.when(F.col(is_vowel), F.col(place))).over(w), F.max(F.when(F.col(is_vowel), F.col(place))).over(w)
-    return rows.withColumn("position", F.when(lo.isNull() | (F.col(place) < lo), "onset").when(F.col(place) > hi, "coda").otherwise("nucleus"))
+    """Onset, nucleus or coda by the first and last vowel of each chunk (E18); a chunk may have any number of rows."""
+    vowel = F.when(F.col(is_vowel), F.col(place))
+    found = scanned(ordered(rows, key, [place]), _seen=("last", vowel), _ahead=("next", vowel))
+    onset = F.col("_seen").isNull() & (F.col("_ahead").isNull() | (F.col("_ahead") > F.col(place)))
+    coda = F.col("_ahead").isNull() & (F.col("_seen") < F.col(place))
+    return plain(found.withColumn("position", F.when(onset, "onset").when(coda, "coda").otherwise("nucleus"))).drop("_seen", "_ahead")
 
 
 def uniform_windows(t: Column, n: int, overlap: float) -> Column:

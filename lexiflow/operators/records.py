@@ -40,9 +40,11 @@ def page_counts(rows: DataFrame, offset: int, limit: int) -> DataFrame:
 
 
 def ordinal(rows: DataFrame, key: list[str], order: list[str], final: int = 5) -> DataFrame:
-    """Each row's number among those of its key so far, and whether it completes it."""
-    n = F.row_number().over(W.partitionBy(*key).orderBy(*order))
-    return rows.withColumn("count_after", n.cast("long")).withColumn("finalize", F.col("count_after") >= final)
+    """Each row's number among those of its key so far, and whether it completes it (D19); a key may have any number of rows."""
+    from .scans import ordered, plain, scanned
+
+    numbered = plain(scanned(ordered(rows, key, order), count_after=("sum", F.lit(1))))
+    return numbered.withColumn("finalize", F.col("count_after") >= final)
 
 
 def profile(rows: DataFrame, key: str, amount: str, ts: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 
 def seeded(key: str | Column, seed: str) -> Column:
-    """A hash that any engine computes alike; orders rows in a fixed random way."""
+    """A hash that any engine computes alike; orders rows in a fixed random way, null keys first."""
     key = F.col(key) if isinstance(key, str) else key
     return F.md5(F.concat(F.lit(f"{seed}|"), key.cast("string")))
 
@@ -37,13 +37,18 @@ def stratified_split(rows: DataFrame, label: list[str], key: str, ratios: dict[s
 
 
 def group_split(rows: DataFrame, group: str, ratios: dict[str, float], seed: str) -> DataFrame:
-    """``split`` of each row, all rows of a group in the same one (F8); groups are ranked over range partitions."""
+    """``split`` of each row, all rows of a group in the same one (F8); groups are ranked over range partitions.
+
+    Rows without a group are one group. As many rows as there are groups are joined; partitions of frequent groups are split at
+    run time.
+    """
     from .records import dense_ids
 
     groups = dense_ids(rows.select(group).distinct(), [seeded(group, seed), F.col(group)])
     n = groups.agg(F.count("*").alias("_n"))
     named = groups.join(F.broadcast(n)).select(group, _named(F.col("id") + 1, F.col("_n"), ratios).alias("split"))  # one row
-    return rows.join(named, group)
+    named = named.select(F.struct(group).alias("_group"), "split")  # a struct is never null
+    return rows.withColumn("_group", F.struct(group)).join(named, "_group").drop("_group")
 
 
 def hashed_split(rows: DataFrame, group: str, ratios: dict[str, float], seed: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources import jsonl, lexicon, textgrid
+from ..sources import jsonl, lexicon, store, textgrid
 from ..sources.tables import shared_path
 from ..streaming import sessions
 from .catalogue import query, table
@@ -147,7 +147,7 @@ def level_files(spark, sf_dir):
     item = F.struct(F.col("n_name").alias("text"), F.lit("x").alias("ipa"))
     levels = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("level")).agg(F.array_sort(F.collect_list(item)).alias("items"))
     levels.select("level", F.concat(F.lit("focus "), F.col("level").cast("string")).alias("focus"), "items", F.col("level").alias("k")).repartition("k").write.partitionBy("k").json(path)
-    read = jsonl.read_levels(spark, [f"{path}/k={k}" for k in range(5)])
+    read = jsonl.read_levels(spark, f"{path}/*")
     light = jsonl.level_list(read)
     return read.select("level", F.size("items").alias("n_items"), F.col("items")[0]["text"].alias("first_item")).join(light, "level").select("level", "focus", "n_items", "first_item")
 
@@ -199,3 +199,29 @@ def recogniser_sessions(spark, sf_dir):
     stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
     made = spark.read.schema(stream.schema).parquet(f"{root}/out").where("out_of_order = 0")
     return made.groupBy("session_id").agg(F.count_if(F.col("kind") == "partial").alias("n_partials"), F.max(F.when((F.col("kind") == "final") & (F.length("text") > 0), "done")).alias("last"), F.max(F.when(F.col("kind") == "final", F.col("duration_ms"))).alias("duration_ms"))
+
+
+@query("SELECT DISTINCT sha1('{\"event_type\":\"' || event_type || '\",\"user_id\":' || user_id || '}') AS key, event_type || ':' || user_id AS source, upper(event_type) || '#' || length(event_type) AS blob FROM events")
+def stored_blobs(spark, sf_dir):
+    """Derived values kept under a fingerprint and built once (A5, A6, A28): a stream is put, replayed by the same writer, and put by another one."""
+    root = shared_path(spark, "store")
+    e = table(spark, sf_dir, "events").select("event_type", "user_id")
+    e.withColumn("key", jsonl.blob_key("event_type", "user_id")).withColumn("source", F.concat_ws(":", "event_type", "user_id")).select("key", "source").repartition(4).write.parquet(f"{root}/in")
+    kept = store.Store(spark, f"{root}/kept", "key string, source string, blob string")
+    kind = F.substring_index("source", ":", 1)
+    build = lambda rows: rows.withColumn("blob", F.concat_ws("#", F.upper(kind), F.length(kind).cast("string")))
+    for run, writer in (("a", "one"), ("b", "one"), ("c", "two")):
+        stream = spark.readStream.schema("key string, source string").option("maxFilesPerTrigger", 2).parquet(f"{root}/in")
+        stream.writeStream.foreachBatch(kept.sink(writer, build)).option("checkpointLocation", f"{root}/state-{run}").trigger(availableNow=True).start().awaitTermination()
+    return kept.rows()
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 50 = 0 THEN 'new ' || p_name ELSE p_name END AS p_name, CASE WHEN p_partkey % 100 = 0 THEN 99 ELSE p_size END AS p_size FROM part""")
+def updated_buckets(spark, sf_dir):
+    """A table updated where it lies: only buckets that hold updated keys are written again."""
+    path, schema = shared_path(spark, "buckets"), "p_partkey long, p_name string, p_size int"
+    p = _part(spark, sf_dir)
+    store.write_buckets(p, path, "p_partkey", 64)
+    new = p.where("p_partkey % 50 = 0").select("p_partkey", F.concat(F.lit("new "), "p_name").alias("p_name"), F.when(F.col("p_partkey") % 100 == 0, 99).alias("p_size"))
+    store.update_buckets(spark, path, schema, new, "p_partkey", 64)
+    return store.read_buckets(spark, path, schema).drop("_bucket")

@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import functions as F
 
 from ..functions import canonical, hangul, numbers, phonology, streams, text
-from ..operators import align, chains, intervals, machines, records
+from ..operators import align, chains, intervals, machines, records, scans
 from .catalogue import query, table
 
 HANGUL = ["같이 굳이 읽고", "담요와 색연필", "많이 먹었다", "국물이 좋다", "신라의 독립", "2024-05-17 3시 30분에 사과 3개", "값이 12,500원", "학교 앞 칼날"]
@@ -224,9 +224,7 @@ def boundary_snaps_whole(spark, sf_dir):
   SELECT event_id, CASE WHEN first IS NULL OR i < first THEN 'onset' WHEN i > last THEN 'coda' ELSE 'nucleus' END AS position
   FROM (SELECT *, min(CASE WHEN event_type = 'purchase' THEN i END) OVER (PARTITION BY user_id) AS first, max(CASE WHEN event_type = 'purchase' THEN i END) OVER (PARTITION BY user_id) AS last FROM w)""")
 def chunk_positions(spark, sf_dir):
-    from pyspark.sql import Window as W
-
-    e = table(spark, sf_dir, "events").withColumn("i", F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id"))).withColumn("v", F.col("event_type") == "purchase")
+    e = scans.plain(scans.scanned(scans.ordered(table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type"), ["user_id"], ["ts", "event_id"]), i=("sum", F.lit(1)))).withColumn("v", F.col("event_type") == "purchase")
     return intervals.positions(e, ["user_id"], "i", "v").select("event_id", "position")
 
 
