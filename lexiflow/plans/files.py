@@ -119,9 +119,9 @@ def lexicon_policies(spark, sf_dir):
     """One lexicon by its three policies: all variants, the most probable one, the last one."""
     path = shared_path(spark, "lexicon")
     p = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.regexp_replace("p_name", " ", "-"), F.lit("\t"), F.col("p_size").cast("string"), F.lit(".5 sil "), "p_type").alias("value"))
-    # One file: the policies go by the order of its lines.
-    p.repartition(1).sortWithinPartitions("p_partkey").select("value").write.text(path)
-    every = lexicon.read_lexicon(spark, path, "append").select("word", F.struct("line_no", F.concat(F.floor("prob").cast("string"), F.lit(":"), F.array_join("phones", " ")).alias("x")).alias("v"))
+    # Files whose names follow each other as their ranges do: the policies go by files and lines.
+    p.repartitionByRange("p_partkey").sortWithinPartitions("p_partkey").select("value").write.text(path)
+    every = lexicon.read_lexicon(spark, path, "append").select("word", F.struct("file", "line_no", F.concat(F.floor("prob").cast("string"), F.lit(":"), F.array_join("phones", " ")).alias("x")).alias("v"))
     every = every.groupBy("word").agg(F.array_join(F.transform(F.array_sort(F.collect_list("v")), lambda v: v["x"]), "|").alias("every"))
     best = lexicon.read_lexicon(spark, path, "best").select("word", F.array_join("phones", " ").alias("best"))
     last = lexicon.read_lexicon(spark, path, "last", 2).select("word", F.array_join("phones", " ").alias("last"))
