@@ -120,6 +120,30 @@ def syllable_scores(chunks: DataFrame, confidences: DataFrame, row_id: str) -> D
     return sounded.join(confidences, [row_id, "place"], "left").groupBy(row_id, "chunk", "label").agg(F.avg(F.coalesce("conf", F.lit(0.0))).alias("score"))
 
 
+def syllable_details(chunks: DataFrame, confidences: DataFrame, row_id: str, tau: float = 1.0) -> DataFrame:
+    """Syllables (row_id, chunk, label, conf, score, jamo) with power means of their flat confidences.
+
+    A silent onset is shown as certain and left out of the mean; a syllable of nothing else has 0, as has a missing
+    confidence. Confidences beyond the last jamo make one more row, with neither chunk nor label. ``jamo`` lists each jamo
+    with its confidence, its score of 100 and whether it is silent; a row's text is one array.
+    """
+    one = chunks.select(row_id, F.posexplode("chunks").alias("chunk", "c"))
+    flat = F.flatten(F.transform(F.col("chunks"), lambda c, i: F.transform(c["jamos"], lambda j, k: F.struct(i.alias("chunk"), c["label"].alias("label"), k.alias("inner"), j.alias("jamo")))))
+    placed = chunks.select(row_id, F.posexplode(flat).alias("place", "x")).select(row_id, "place", "x.*")
+    both = placed.join(confidences.select(row_id, "place", F.col("conf").cast("double").alias("conf")), [row_id, "place"], "full")
+    silent = F.coalesce((F.col("inner") == 0) & (F.col("jamo") == "ㅇ"), F.lit(False))
+    both = both.withColumn("silent", silent).withColumn("conf", F.coalesce("conf", F.lit(0.0)))
+    clipped = F.greatest(F.lit(1e-9), F.least(F.lit(1.0), F.col("conf")))
+    mean = F.pow(F.avg(F.when(~F.col("silent"), F.pow(clipped, F.lit(tau)))), F.lit(1 / tau))
+    shown = F.when(F.col("silent"), F.lit(1.0)).otherwise(F.col("conf"))
+    whole = lambda x: F.bround(100 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))).cast("int")
+    items = F.array_sort(F.collect_list(F.struct("place", F.coalesce("jamo", F.lit("")).alias("jamo"), shown.alias("conf"), whole(shown).alias("score"), "silent")))
+    made = both.groupBy(row_id, "chunk", F.coalesce("label", F.lit("")).alias("label")).agg(F.coalesce(mean, F.lit(0.0)).alias("conf"), items.alias("jamo"))
+    empty = one.where(F.size("c.jamos") == 0).select(row_id, "chunk", F.col("c.label").alias("label"), F.lit(0.0).alias("conf"), F.array().cast(made.schema["jamo"].dataType).alias("jamo"))
+    made = made.unionByName(empty)
+    return made.select(row_id, "chunk", "label", "conf", whole(F.col("conf")).alias("score"), "jamo")
+
+
 def missing_ratio(conf: str, threshold: float) -> Column:
     """Share of low confidences, 1 without any."""
     return F.coalesce(F.avg(F.when(F.col(conf) < threshold, 1.0).otherwise(0.0)), F.lit(1.0))

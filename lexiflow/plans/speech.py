@@ -79,6 +79,27 @@ def syllable_chunk_scores(spark, sf_dir):
     return align.syllable_scores(k, flat, "id")
 
 
+@query(f"""WITH p AS (SELECT p_partkey AS id, ({HANGUL!r})[p_partkey % {len(HANGUL)} + 1] || ' ' || p_name AS text FROM part),
+  c AS (SELECT id, i, substr(text, i::INT, 1) AS ch, unicode(substr(text, i::INT, 1)) - 44032 AS n FROM (SELECT *, unnest(generate_series(1, length(text))) AS i FROM p)),
+  g AS (SELECT *, n BETWEEN 0 AND 11171 AS syl, sum((n BETWEEN 0 AND 11171)::INT) OVER (PARTITION BY id ORDER BY i) - 1 AS chunk FROM c),
+  s AS (SELECT id, chunk, string_agg(CASE WHEN syl OR regexp_matches(ch, '\\p{{P}}') THEN ch END, '' ORDER BY i) AS label, max(n) FILTER (syl) AS n FROM g WHERE chunk >= 0 GROUP BY id, chunk),
+  f AS (SELECT *, 2 + (n % 28 > 0)::INT AS len, sum(2 + (n % 28 > 0)::INT) OVER (PARTITION BY id ORDER BY chunk)::BIGINT - 2 - (n % 28 > 0)::INT AS first, (sum(2 + (n % 28 > 0)::INT) OVER (PARTITION BY id))::BIGINT AS total FROM s),
+  j AS (SELECT id, chunk, label, k, first + k AS place, total, k = 0 AND n // 588 = 11 AS silent FROM f, LATERAL (SELECT unnest(range(len)) AS k)),
+  v AS (SELECT *, CASE WHEN place < total + id % 5 - 2 THEN (place * 7 % 10) / 10.0 ELSE 0.0 END::DOUBLE AS conf FROM j),
+  x AS (SELECT DISTINCT id, total, unnest(range(total, total + id % 5 - 2)) AS place FROM f),
+  r AS (SELECT id, chunk, label, coalesce(avg(greatest(conf, 1e-9)) FILTER (NOT silent), 0) AS conf, sum(CASE WHEN silent THEN 100 ELSE round_even(100 * conf, 0) END)::BIGINT AS shown, count(*) FILTER (silent) AS n_silent FROM v GROUP BY id, chunk, label
+    UNION ALL SELECT id, NULL, '', avg(greatest((place * 7 % 10) / 10.0::DOUBLE, 1e-9)), sum(round_even(100 * ((place * 7 % 10) / 10.0::DOUBLE), 0))::BIGINT, 0 FROM x GROUP BY id)
+  SELECT id, chunk::INT AS chunk, label, round(conf, 6) AS conf, round_even(100 * conf, 0)::INT AS score, shown, n_silent FROM r""")
+def syllable_scores_detailed(spark, sf_dir):
+    """Syllables with silent onsets, missing confidences and those beyond the last jamo."""
+    k = _korean(spark, sf_dir).select("id", hangul.syllable_chunks("text").alias("chunks"))
+    total = F.size(F.flatten("chunks.jamos"))
+    places = k.withColumn("n", total + F.col("id") % 5 - 2).where("n > 0").select("id", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("place"))
+    done = align.syllable_details(k, places.withColumn("conf", (F.col("place") * 7 % 10) / 10), "id")
+    shown = F.aggregate("jamo", F.lit(0).cast("long"), lambda a, x: a + x["score"])
+    return done.select("id", "chunk", "label", F.round("conf", 6).alias("conf"), "score", shown.alias("shown"), F.size(F.filter("jamo", lambda x: x["silent"])).cast("long").alias("n_silent"))
+
+
 @query("""WITH RECURSIVE d AS MATERIALIZED (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i, list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda w: w <> '') AS w FROM documents),
   c AS MATERIALIZED (SELECT source, i, w, count(*) AS n FROM (SELECT source, i, unnest(w) AS w FROM d) GROUP BY ALL), q AS MATERIALIZED (SELECT source, i, sum(n * n) AS q FROM c GROUP BY ALL),
   s AS MATERIALIZED (SELECT a.source, a.i, b.i AS j, sum(a.n * b.n)::DOUBLE / sqrt((any_value(x.q) * any_value(y.q))::DOUBLE) AS sim FROM c a JOIN c b ON a.source = b.source AND a.w = b.w AND a.i < b.i JOIN q x ON x.source = a.source AND x.i = a.i JOIN q y ON y.source = b.source AND y.i = b.i GROUP BY a.source, a.i, b.i HAVING sim >= 0.9),
