@@ -9,6 +9,7 @@ document's share of good text, which a logistic curve fitted on the same documen
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from operator import eq
 
@@ -22,8 +23,8 @@ from .common import text_bytes, text_source, texts
 
 #: Most labelled rows to train on: those with the least hashes of their doc_id.
 TRAIN_ROWS = 4000
-#: Most bytes of a text to learn from.
-TRAIN_BYTES = 1 << 20
+#: Most lines of a text to learn from: a run of its lines, from a place that the text's hash gives.
+TRAIN_LINES = 512
 #: Base features of a line: their square roots join them, then the neighbours' mean of both.
 BASE = 12
 
@@ -159,18 +160,27 @@ def scores(batch: Batch, model: dict) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(a * _view(batch.good_share(model)) + b, -30, 30)))
 
 
-def _measured(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    lines = [text_lines(t) for t in texts]
+def _run(lines: list[bytes], most: int, place: int) -> list[bytes]:
+    """At most ``most`` neighbouring lines."""
+    start = place % (len(lines) - most + 1) if len(lines) > most else 0
+    return lines[start : start + most]
+
+
+def _measured(lines: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     flat = [x for t in lines for x in t]
     return np.array([line_features(x) for x in flat]).reshape(-1, BASE), np.array([len(x) for x in flat]), np.array([len(t) for t in lines])
 
 
-def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(0, batch.num_rows, 256):
-            part = batch.slice(i, 256)
-            made = [_measured([t.as_buffer().to_pybytes()]) for t in part["text"]]
-            yield pa.RecordBatch.from_arrays([part["quality"], pa.array([b.astype("<f4").tobytes() for b, _, _ in made], pa.binary()), pa.array([n.astype("<i4").tobytes() for _, n, _ in made], pa.binary())], ["quality", "features", "lengths"])
+def _feature_batches(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                whole = (t.as_buffer().to_pybytes() for t in part["text"])
+                made = [_measured([_run(text_lines(t), most, zlib.crc32(t))]) for t in whole]
+                yield pa.RecordBatch.from_arrays([part["quality"], pa.array([b.astype("<f4").tobytes() for b, _, _ in made], pa.binary()), pa.array([n.astype("<i4").tobytes() for _, n, _ in made], pa.binary())], ["quality", "features", "lengths"])
+
+    return run
 
 
 def _score_batches(model: dict):
@@ -178,24 +188,27 @@ def _score_batches(model: dict):
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                found = scores(Batch(*_measured(list(texts(part)))), model)
+                found = scores(Batch(*_measured([text_lines(t) for t in texts(part)])), model)
                 yield pa.RecordBatch.from_arrays([part["carried"], pa.array(found)], ["carried", "score"])
 
     return run
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES) -> dict:
+def fit_quality(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_bytes: int | None = None, train_lines: int = TRAIN_LINES) -> dict:
     """A model from at most ``train_rows`` rows of ``labels`` (doc_id, quality) with a text in ``docs``.
 
     The caller leaves held-out rows out of ``labels``. Null labels are left out; of several for one doc_id the smallest counts,
-    and of several texts the least. Texts of more than ``train_bytes`` bytes are not learned from, so what the driver gets
-    is bounded by ``train_rows`` times the features of so long a text.
+    and of several texts the least. Of a text with more than ``train_lines`` lines a run of so many neighbouring ones is learned
+    from, so what the driver gets is at most ``train_rows * train_lines`` lines of 52 bytes (106 MB), however long texts are.
+    With ``train_bytes``, texts of more bytes are left out besides.
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    rows = docs.select("doc_id", text_bytes().alias("text")).join(F.broadcast(sample), "doc_id").where(F.octet_length("text") <= train_bytes)  # the broadcast is bounded by train_rows
+    rows = docs.select("doc_id", text_bytes().alias("text")).join(F.broadcast(sample), "doc_id")  # the broadcast is bounded by train_rows
+    if train_bytes is not None:
+        rows = rows.where(F.octet_length("text") <= train_bytes)
     rows = rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
-    made = sorted((r["quality"], bytes(r["features"]), bytes(r["lengths"])) for r in rows.select("quality", "text").mapInArrow(_feature_batches, "quality int, features binary, lengths binary").collect())
+    made = sorted((r["quality"], bytes(r["features"]), bytes(r["lengths"])) for r in rows.select("quality", "text").mapInArrow(_feature_batches(train_lines), "quality int, features binary, lengths binary").collect())
     if not made:
         return train(np.zeros((0, BASE)), np.zeros(0), np.zeros(0, np.int64), np.zeros(0))
     lengths = [np.frombuffer(n, "<i4") for _, _, n in made]
