@@ -204,29 +204,34 @@ def advice(rows: DataFrame, rules: DataFrame, key: list[str], symbol: str, limit
     """At most ``limit`` distinct tips for the low symbols of each key, in their order.
 
     ``rules`` (rule_idx, tip and any of the conditions covers, prev_in, next_in, class_in, rule_position, rule_env,
-    next_is_vowel, pair_a with pair_b) has at most ``most`` rows (more are an error) and is broadcast; a condition that is
+    next_is_vowel, pair_a with pair_b) has at most ``most`` rows (more are an error) and is broadcast as one array; a condition that is
     null or no column always holds (J4). ``rows`` has place, and of prev, next, class, position and env what rules ask for. A
     pair holds where one of its sets has the symbol and the other the next one, either way round.
     """
     n = rules.count()
     if n > most:
         raise ValueError(f"{n} rules, {most} are allowed")
-    among = lambda listed, c: F.array_contains(listed, F.col(c))
     conditions = {
-        "covers": lambda: among("covers", symbol),
-        "prev_in": lambda: among("prev_in", "prev"),
-        "next_in": lambda: among("next_in", "next"),
-        "class_in": lambda: among("class_in", "class"),
-        "rule_position": lambda: F.col("rule_position") == F.col("position"),
-        "rule_env": lambda: F.col("rule_env") == F.col("env"),
-        "next_is_vowel": lambda: ~F.col("next_is_vowel") | F.col("next").isin(*vowels),
-        "pair_a": lambda: (among("pair_a", symbol) & among("pair_b", "next")) | (among("pair_b", symbol) & among("pair_a", "next")),
+        "covers": lambda r: F.array_contains(r["covers"], F.col(symbol)),
+        "prev_in": lambda r: F.array_contains(r["prev_in"], F.col("prev")),
+        "next_in": lambda r: F.array_contains(r["next_in"], F.col("next")),
+        "class_in": lambda r: F.array_contains(r["class_in"], F.col("class")),
+        "rule_position": lambda r: r["rule_position"] == F.col("position"),
+        "rule_env": lambda r: r["rule_env"] == F.col("env"),
+        "next_is_vowel": lambda r: ~r["next_is_vowel"] | F.col("next").isin(*vowels),
+        "pair_a": lambda r: (F.array_contains(r["pair_a"], F.col(symbol)) & F.array_contains(r["pair_b"], F.col("next"))) | (F.array_contains(r["pair_b"], F.col(symbol)) & F.array_contains(r["pair_a"], F.col("next"))),
     }
-    holds = F.lit(True)
-    for name, condition in conditions.items():
-        if name in rules.columns:
-            holds &= F.col(name).isNull() | condition()
+
+    def holds(r: Column) -> Column:
+        out = F.lit(True)
+        for name, condition in conditions.items():
+            if name in rules.columns:
+                out &= r[name].isNull() | condition(r)
+        return out
+
+    listed_rules = rules.agg(F.collect_list(F.struct(*rules.columns)).alias("_rules"))
+    met = rows.join(F.broadcast(listed_rules)).select(*key, "place", F.explode(F.filter("_rules", holds)).alias("_r")).select(*key, "place", "_r.tip", "_r.rule_idx")  # one row
     # A tip's first place is combined before the shuffle, so a key has no more rows than there are tips.
-    first = rows.join(F.broadcast(rules), holds).groupBy(*key, "tip").agg(F.min(F.struct("place", "rule_idx")).alias("at"))
+    first = met.groupBy(*key, "tip").agg(F.min(F.struct("place", "rule_idx")).alias("at"))
     listed = first.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("at", "tip"))).alias("t"))
     return listed.select(*key, F.slice(F.transform("t", lambda x: x["tip"]), 1, limit).alias("tips"))
