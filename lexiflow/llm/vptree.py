@@ -239,8 +239,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float =
     Both have vec_id and embedding; a query's own id is no candidate for it. Vectors that are null, zero or hold null or
     non-finite numbers take no part. Scores are inner products in double precision; ties go to the smaller vec_id. Equal
     vectors are one point of a tree, with as many of their smallest ids as a result can hold, so ties among copies are exact
-    and a vector with very many copies costs no more than one. Rows of one vec_id and vector count once; vectors of
-    different lengths are an error. Empty tables give no rows.
+    and a vector with very many copies costs no more than one. Rows of one vec_id and vector count once; a vec_id with
+    several vectors is a candidate, and a query, for each of them; vectors of different lengths are an error. Empty tables give no rows.
     """
     rows = usable(vectors)
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
