@@ -162,6 +162,17 @@ def frame_confidence(p: str) -> Column:
     return F.coalesce(F.avg(F.when(F.col(p) > 0.1, F.col(p))), F.avg(p))
 
 
+def mean_in_order(values: Column) -> Column:
+    """Mean of an array's values, added up in its order, so that no rounding hangs on how rows are dealt; nulls are passed over."""
+    some = F.filter(values, lambda x: x.isNotNull())
+    return F.when(F.size(some) > 0, F.aggregate(some, F.lit(0.0), lambda a, x: a + x) / F.size(some))
+
+
+def frame_confidence_in_order(p: Column) -> Column:
+    """``frame_confidence`` of an array in its order."""
+    return F.coalesce(mean_in_order(F.filter(p, lambda x: x > 0.1)), mean_in_order(p))
+
+
 def greedy_decode(frames: DataFrame, key: list[str], order: str, label: str, p: str, blank: str, threshold: float, release: float | None = None, keep_blank: bool = True) -> DataFrame:
     """Best labels of frames as a text: repeats collapse, blanks go (K7; the label of a frame is given).
 
