@@ -117,7 +117,10 @@ def syllable_scores(chunks: DataFrame, confidences: DataFrame, row_id: str) -> D
     one = chunks.select(row_id, F.posexplode("chunks").alias("chunk", "c")).select(row_id, "chunk", F.col("c.label").alias("label"), F.posexplode("c.jamos").alias("inner", "jamo"))
     flat = one.withColumn("place", F.row_number().over(W.partitionBy(row_id).orderBy("chunk", "inner")) - 1)
     sounded = flat.where(~((F.col("inner") == 0) & (F.col("jamo") == "ㅇ")))
-    return sounded.join(confidences, [row_id, "place"], "left").groupBy(row_id, "chunk", "label").agg(F.avg(F.coalesce("conf", F.lit(0.0))).alias("score"))
+    # Exploded rows are many more than Spark reckons from the files, so it is told not to broadcast them.
+    both = sounded.join(confidences.hint("merge"), [row_id, "place"], "left")
+    listed = F.array_sort(F.collect_list(F.struct("inner", F.coalesce(F.col("conf").cast("double"), F.lit(0.0)).alias("conf"))))
+    return both.groupBy(row_id, "chunk", "label").agg(mean_in_order(F.transform(listed, lambda x: x["conf"])).alias("score"))
 
 
 def syllable_details(chunks: DataFrame, confidences: DataFrame, row_id: str, tau: float = 1.0) -> DataFrame:
