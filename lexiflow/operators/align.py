@@ -71,19 +71,24 @@ def symbol_scores(aligned_rows: DataFrame, row_id: str, ref: str, hyp: str, pair
     return one.withColumn("score", F.when(F.col("hyp").isNull(), 0.0).otherwise(similarity_column(F.col("ref"), F.col("hyp"), soft, mismatch)))
 
 
+def _with_words(details: DataFrame, words: DataFrame, row_id: str) -> DataFrame:
+    """Symbols with their words; exploded rows are many more than Spark reckons from the files, so neither side is broadcast."""
+    return details.join(words.hint("merge"), [row_id, "ri"])
+
+
 def word_scores(details: DataFrame, words: DataFrame, row_id: str, kind: str = "none", low: float = 0.85) -> DataFrame:
     """Scores by word from ``details`` (row_id, ri, ref, score) and ``words`` (row_id, ri, word_no, label, duration) (K4, by_word).
 
     ``avg_score`` is plain, ``avg_score_dur`` weighted by the durations, ``low`` the symbols below the limit in order.
     """
-    both = details.join(words, [row_id, "ri"])
+    both = _with_words(details, words, row_id)
     listed = F.array_sort(F.collect_list(F.when(F.col("score") < low, F.struct("ri", "ref"))))
     return both.groupBy(row_id, "word_no", "label").agg(F.count("*").alias("n"), F.avg("score").alias("avg_score"), weighted_mean("score", "duration", kind).alias("avg_score_dur"), F.transform(listed, lambda x: x["ref"]).alias("low"))
 
 
 def overall_scores(details: DataFrame, words: DataFrame, row_id: str, kind: str = "none") -> DataFrame:
     """Plain and weighted mean over all reference symbols of each row (K4, overall)."""
-    return details.join(words, [row_id, "ri"]).groupBy(row_id).agg(F.count("*").alias("n"), F.avg("score").alias("avg_score"), weighted_mean("score", "duration", kind).alias("avg_score_dur"))
+    return _with_words(details, words, row_id).groupBy(row_id).agg(F.count("*").alias("n"), F.avg("score").alias("avg_score"), weighted_mean("score", "duration", kind).alias("avg_score_dur"))
 
 
 def transferred(pairs: Column, durations: Column, default: float) -> Column:

@@ -199,7 +199,7 @@ def word_and_overall_scores(spark, sf_dir):
     first = F.when(F.col("word_no") == 0, 0).otherwise(F.length(F.get("w", F.lit(0))))
     words = p.select("p_partkey", "w", F.posexplode("w").alias("word_no", "label")).select("p_partkey", "word_no", "label", F.explode(F.sequence(first, first + F.length("label") - 1)).alias("ri"), F.lit(1.0).alias("duration"))
     by_word, overall = align.word_scores(details, words, "p_partkey"), align.overall_scores(details, words, "p_partkey")
-    return by_word.select("p_partkey", "word_no", "n", F.round("avg_score", 9).alias("avg_score")).join(overall.select("p_partkey", F.round("avg_score", 9).alias("overall")), "p_partkey")
+    return by_word.select("p_partkey", "word_no", "n", F.round("avg_score", 9).alias("avg_score")).join(overall.select("p_partkey", F.round("avg_score", 9).alias("overall")).hint("merge"), "p_partkey")
 
 
 FRAMES = "SELECT user_id, event_id, substr(event_type, 1, 1) AS l, value / 100.0 AS p, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM events"

@@ -5,7 +5,7 @@ import pytest
 from lexiflow.plans import QUERIES
 
 
-@pytest.mark.parametrize("name", ["syllable_chunk_scores"])
+@pytest.mark.parametrize("name", ["syllable_chunk_scores", "word_and_overall_scores"])
 def test_no_broadcast_of_exploded_rows(spark, sf_dir, name):
     done = QUERIES[name](spark, sf_dir)
     plan = done._jdf.queryExecution()
