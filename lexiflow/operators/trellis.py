@@ -6,12 +6,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Cells (utterances x frames x states) that one step of the trellis holds.
 CELLS = 1 << 21
+#: Rows of a batch of paths.
+ROWS = 1 << 14
 
 
 @dataclass(frozen=True)
@@ -138,30 +141,97 @@ def forced_confidences(frames: DataFrame, refs: DataFrame, key: list[str], blank
     return both.mapInArrow(_forced(blank, classes, roles or {}), schema).select("_key.*", "unit", "label", "first_frame", "last_frame", "n_frames", "confidence")
 
 
+class _Monotonic:
+    """The best monotonic path over rows given one by one: the sums of the last row, and a byte a cell for its step."""
+
+    def __init__(self, width: int):
+        self.width, self.rows, self.moved = width, 0, bytearray()
+        self.best, self.before = np.full(width, -np.inf), np.full(width, -np.inf)
+
+    def add(self, v: np.ndarray) -> None:
+        y, self.before[1:] = self.rows, self.best[:-1]
+        moved = self.before > self.best
+        if y < self.width:  # the diagonal comes from the one above it
+            moved[y] = y > 0
+        self.best = (np.fmax(self.best, self.before) if y else np.where(np.arange(self.width) == 0, 0.0, -np.inf)) + v
+        self.moved += moved.tobytes()
+        self.rows += 1
+
+    def path(self) -> np.ndarray | None:
+        if not 0 < self.width <= self.rows:
+            return None
+        out, x, w, moved = np.empty(self.rows, np.int32), self.width - 1, self.width, self.moved
+        for y in range(self.rows - 1, -1, -1):
+            out[y] = x
+            x -= moved[y * w + x]
+        return out
+
+
 def monotonic_path(values: Column) -> Column:
     """Column of each row of a matrix (rows x columns, as many rows as columns at least) on the best monotonic path.
 
-    The path begins in the first column, stays or goes on by one in every row, and ends in the last. Sums fill the band of
-    cells that such paths can meet; ties stay. All of it is array functions on the JVM; a matrix is one row.
+    The path begins in the first column, stays or goes on by one in every row, and ends in the last; ties stay. A matrix is
+    one value here; ``monotonic_paths`` takes its rows as rows.
+    """
+
+    def run(matrices: pd.Series) -> pd.Series:
+        out = []
+        for m in matrices:
+            lines = _Monotonic(len(m[0]) if m is not None and len(m) else 0)
+            for v in m if lines.width else ():
+                lines.add(np.asarray(v, np.float64))
+            out.append(lines.path())
+        return pd.Series(out, dtype=object)
+
+    return F.pandas_udf(run, "array<int>")(values)
+
+
+def _monotonic(key: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list[pa.Array] = []
+        paths: list[np.ndarray] = []
+        lines, own, held = _Monotonic(0), None, 0
+
+        def end() -> None:
+            path = lines.path()
+            if path is not None:
+                keys.append(own)
+                paths.append(path)
+
+        def made() -> Iterator[pa.RecordBatch]:
+            of = pa.concat_arrays(keys)
+            which, x = np.repeat(np.arange(len(paths)), [len(p) for p in paths]), np.concatenate(paths)
+            y = np.concatenate([np.arange(len(p), dtype=np.int32) for p in paths])
+            for a in range(0, len(x), ROWS):
+                yield pa.RecordBatch.from_arrays([of.take(pa.array(which[a : a + ROWS])), pa.array(y[a : a + ROWS]), pa.array(x[a : a + ROWS])], [key, "y", "x"])
+            keys.clear()
+            paths.clear()
+
+        for batch in batches:
+            flat, offsets = batch["v"].flatten().to_numpy(zero_copy_only=False).astype(np.float64), batch["v"].value_lengths().fill_null(0).to_numpy()
+            offsets = np.r_[0, np.cumsum(offsets)].tolist()
+            for i, y in enumerate(batch["y"].to_pylist()):
+                if y == 0:
+                    end()
+                    held += lines.rows
+                    if held > ROWS and paths:
+                        yield from made()
+                        held = 0
+                    lines, own = _Monotonic(offsets[i + 1] - offsets[i]), batch[key].slice(i, 1)
+                lines.add(flat[offsets[i] : offsets[i + 1]])
+        end()
+        if paths:
+            yield from made()
+
+    return run
+
+
+def monotonic_paths(rows: DataFrame, key: list[str]) -> DataFrame:
+    """The place ``x`` of each row (key, y, v: values of one length within a key) on the best monotonic path of its key.
+
+    Rows are numbered by ``y`` from 0. As ``monotonic_path``, but rows of a key stream through a task in their order, which
+    holds a byte for each value of one key. Keys with fewer rows than values a row have no path.
     """
-    rows, width = F.size(values), F.size(F.get(values, F.lit(0)))
-    cell = lambda m, y, x: F.get(F.get(m, y), x)
-    low = F.lit(-1e9)
-
-    def line(done: Column, y: Column) -> Column:
-        above = lambda x: cell(done, y - 1, x)
-        stay = lambda x: F.when(x == y, low).otherwise(above(x))
-        step = lambda x: F.when(x == 0, F.when(y == 0, F.lit(0.0)).otherwise(low)).otherwise(above(x - 1))
-        within = lambda x: (x >= F.greatest(F.lit(0), width + y - rows)) & (x <= y)
-        return F.transform(F.sequence(F.lit(0), width - 1), lambda x: F.when(within(x), cell(values, y, x) + F.greatest(stay(x), step(x))).otherwise(cell(values, y, x)))
-
-    sums = F.aggregate(F.sequence(F.lit(0), rows - 1), F.array().cast("array<array<double>>"), lambda done, y: F.concat(done, F.array(line(done, y))))
-
-    def back(acc: Column, y: Column) -> Column:
-        x = acc["x"]
-        down = (x != 0) & ((x == y) | (cell(acc["sums"], y - 1, x) < cell(acc["sums"], y - 1, x - 1)))
-        return F.struct(F.when(down, x - 1).otherwise(x).alias("x"), F.concat(F.array(x), acc["path"]).alias("path"), acc["sums"].alias("sums"))
-
-    start = F.struct((width - 1).alias("x"), F.array().cast("array<int>").alias("path"), sums.alias("sums"))
-    found = F.aggregate(F.sequence(rows - 1, F.lit(0)), start, back, lambda acc: acc["path"])
-    return F.when((rows >= width) & (width > 0), found)
+    one = rows.select(F.struct(*key).alias("_key"), F.col("y").cast("int").alias("y"), F.col("v").cast("array<double>").alias("v"))
+    dealt = one.repartition("_key").sortWithinPartitions("_key", "y")
+    return dealt.mapInArrow(_monotonic("_key"), f"_key {one.schema['_key'].dataType.simpleString()}, y int, x int").select("_key.*", "y", "x")

@@ -52,8 +52,8 @@ def forced_units(spark, sf_dir):
   SELECT user_id, y, x FROM b""")
 def monotonic_paths(spark, sf_dir):
     """Events of a user aligned to a few columns, in order."""
-    order = F.struct("ts", "event_id")
-    one = table(spark, sf_dir, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["event_id"]).alias("ids"))
-    one = one.withColumn("tx", F.least(F.size("ids"), F.lit(2) + F.col("user_id") % 9))
-    values = F.transform("ids", lambda i: F.transform(F.sequence(F.lit(0).cast("long"), F.col("tx") - 1), lambda x: ((i * (x + 3)) % 17) / 4.0))
-    return one.select("user_id", F.posexplode(trellis.monotonic_path(values)).alias("y", "x"))
+    user = W.partitionBy("user_id")
+    r = table(spark, sf_dir, "events").select("user_id", "event_id", (F.row_number().over(user.orderBy("ts", "event_id")) - 1).alias("y"), F.count("*").over(user).alias("ty"))
+    last = F.least(F.col("ty"), F.lit(2) + F.col("user_id") % 9) - 1
+    values = F.transform(F.sequence(F.lit(0).cast("long"), last), lambda x: ((F.col("event_id") * (x + 3)) % 17) / 4.0)
+    return trellis.monotonic_paths(r.select("user_id", "y", values.alias("v")), ["user_id"])
