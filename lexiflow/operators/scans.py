@@ -33,8 +33,11 @@ def scanned(rows: DataFrame, **values: tuple[str, Column]) -> DataFrame:
     The layout stays, so results can be scanned again.
     """
     here, over = W.partitionBy("_part", "_key").orderBy("_n"), W.partitionBy("_key").orderBy("_part")
-    upto, past, ahead = (here.rowsBetween(a, b) for a, b in ((W.unboundedPreceding, 0), (W.unboundedPreceding, -1), (0, W.unboundedFollowing)))
-    earlier, later = over.rowsBetween(W.unboundedPreceding, -1), over.rowsBetween(1, W.unboundedFollowing)
+    upto, past = (here.rowsBetween(W.unboundedPreceding, b) for b in (0, -1))
+    earlier = over.rowsBetween(W.unboundedPreceding, -1)
+    # What lies ahead runs backwards: a frame that ends with the last row is made anew for each row, in the square of a range's rows.
+    ahead = W.partitionBy("_part", "_key").orderBy(F.desc("_n")).rowsBetween(W.unboundedPreceding, 0)
+    later = W.partitionBy("_key").orderBy(F.desc("_part")).rowsBetween(W.unboundedPreceding, -1)
     local, partial, carried, joined = {}, [], [], {}
     for name, (kind, value) in values.items():
         p, c, own = f"_p_{name}", f"_c_{name}", F.col(f"_l_{name}")
@@ -48,7 +51,7 @@ def scanned(rows: DataFrame, **values: tuple[str, Column]) -> DataFrame:
         elif kind in ("last", "last_before"):
             made = (F.last(value, True).over(past if kind == "last_before" else upto), F.max_by(value, seen), F.last(p, True).over(earlier), F.coalesce(own, c))
         elif kind == "next":
-            made = (F.first(value, True).over(ahead), F.min_by(value, seen), F.first(p, True).over(later), F.coalesce(own, c))
+            made = (F.last(value, True).over(ahead), F.min_by(value, seen), F.last(p, True).over(later), F.coalesce(own, c))
         elif kind in ("before", "after"):
             boxed = F.struct(value.alias("v"))
             if kind == "before":
